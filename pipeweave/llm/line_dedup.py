@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import WS
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -36,7 +37,7 @@ def _digests(text: str, min_chars: int):
     """For each line its key's 16-byte digest, or None for a short key."""
     import xxhash
 
-    digest, ws = xxhash.xxh3_128_digest, common.WS
+    digest, ws = xxhash.xxh3_128_digest, WS
     out = []
     for line in text.split("\n"):
         key = line.strip(ws)
