@@ -92,3 +92,17 @@ def fold(doc_id: str, modulus: int):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def worker_memory(key, make):
+    """What ``make`` returned in this Python worker; it outlives a task.
+
+    Only for what depends on ``key`` alone, so that a lost worker loses time and nothing else.
+    """
+    import sys
+    import types
+
+    home = sys.modules.setdefault("_pipeweave_worker", types.ModuleType("_pipeweave_worker"))
+    if key not in home.__dict__:
+        home.__dict__[key] = make()
+    return home.__dict__[key]
