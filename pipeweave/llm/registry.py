@@ -54,6 +54,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.find(common.documents(spark, sf_dir))
+    base = F.concat(*(pii.listed(k) for k in pii.BASE))
+    return found.select(
+        "doc_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.BASE), F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, pii.listed("secret")), ",").alias("spans"))
+
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH lines AS (
