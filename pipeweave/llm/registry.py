@@ -47,6 +47,19 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), words=2)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    out = dedup_substrings(common.documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contained_items
+
+    return contained_items(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import counts
 
@@ -78,6 +91,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_
 FROM marked GROUP BY doc_id""",
 }
 
+_KEYED = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+ORACLES["op8_decontaminate"] = f"""
+WITH items AS (SELECT item_id, {_KEYED} AS ws FROM benchmark),
+shingled AS (SELECT DISTINCT item_id, least(5, len(ws)) AS k, list_slice(ws, i, i + least(5, len(ws)) - 1) AS s
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM items WHERE len(ws) > 0) x),
+sizes AS (SELECT item_id, count(*) AS n FROM shingled GROUP BY item_id),
+lengths AS (SELECT DISTINCT k FROM shingled),
+docs AS (SELECT doc_id, {_KEYED} AS ws FROM documents),
+own AS (SELECT DISTINCT doc_id, k, list_slice(ws, i, i + k - 1) AS s FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM docs, lengths WHERE len(ws) >= k) x)
+SELECT doc_id, item_id, any_value(n)::BIGINT AS n_item_shingles, count(*)::BIGINT AS n_shared
+FROM own JOIN shingled USING (k, s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
