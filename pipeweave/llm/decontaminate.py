@@ -81,42 +81,49 @@ def _sketches(items, words: int, permutations: int, percent: int):
     return out
 
 
+def make_search(sketches, percent: int):
+    """A function text -> (item number, its shingles, shared shingles) of each contained item."""
+    import numpy as np
+
+    shinglers = [make_shingler(k) for k, *_ in sketches]
+
+    def search(text: str) -> list[tuple[int, int, int]]:
+        tokens, out = None, []
+        for (k, keys, owner, need, sets), shingler in zip(sketches, shinglers, strict=True):
+            h = shingler(text)
+            if not len(h):
+                continue
+            at = np.searchsorted(h, keys)
+            at[at == len(h)] = 0
+            hit = owner[h[at] == keys]
+            for number, hits in zip(*(x.tolist() for x in np.unique(hit, return_counts=True)), strict=True):
+                if hits < need[number]:
+                    continue
+                if tokens is None:
+                    tokens = text.encode().lower().split()
+                own = sets[number]
+                both = len(own.intersection(zip(*(tokens[i:] for i in range(k)))))
+                if 100 * both >= percent * len(own):
+                    out.append((number, len(own), both))
+        return out
+
+    return search
+
+
 def _pass(docs: DataFrame, items: list, item_type: str, doc_id: str, text: str, words: int, percent: int, permutations: int) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
     sketches = _sketches(items, words, permutations, percent)
     ids = [i for i, _ in items]
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        shinglers = [make_shingler(k) for k, *_ in sketches]
+        search = make_search(sketches, percent)
         for b in batches:
-            rows, found, sizes, shared = [], [], [], []
-            for row, t in enumerate(b.column(1).to_pylist()):
-                tokens = None
-                for (k, keys, owner, need, sets), shingler in zip(sketches, shinglers, strict=True):
-                    h = shingler(t or "")
-                    at = np.searchsorted(h, keys)
-                    at[at == len(h)] = 0
-                    hit = owner[h[at] == keys] if len(h) else owner[:0]
-                    if not len(hit):
-                        continue
-                    for number, hits in zip(*np.unique(hit, return_counts=True)):
-                        number = int(number)
-                        if hits < need[number]:
-                            continue
-                        if tokens is None:
-                            tokens = (t or "").encode().lower().split()
-                        own = sets[number]
-                        both = len(own.intersection(zip(*(tokens[i:] for i in range(k)))))
-                        if 100 * both >= percent * len(own):
-                            rows.append(row)
-                            found.append(ids[number])
-                            sizes.append(len(own))
-                            shared.append(both)
+            found = [(row, *hit) for row, t in enumerate(b.column(1).to_pylist()) for hit in search(t or "")]
+            rows, numbers, sizes, shared = zip(*found, strict=True) if found else ((),) * 4
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64() if item_type == "bigint" else None), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())],
+                [b.column(0).take(pa.array(rows, pa.int64())), pa.array([ids[n] for n in numbers], pa.int64() if item_type == "bigint" else None), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())],
                 ["doc_id", "item_id", "n_item_shingles", "n_shared"])
 
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, item_id {item_type}, n_item_shingles bigint, n_shared bigint")
@@ -142,8 +149,25 @@ def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     return out
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that contain no item."""
-    doc_id = options.get("doc_id", "doc_id")
-    leaked = contained_items(docs, items, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs[doc_id].eqNullSafe(leaked["leaked_id"]), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, *, text: str = "text", item_text: str = "text", words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no item; nothing is shuffled."""
+    common.small_batches(docs.sparkSession)
+    place, block = docs.columns.index(text), []
+    for r in items.select(items[item_text].alias("text")).toLocalIterator():
+        block.append((None, r["text"]))
+        if len(block) >= block_items:
+            docs, block = _without(docs, block, place, words, percent, permutations), []
+    return _without(docs, block, place, words, percent, permutations) if block else docs
+
+
+def _without(docs: DataFrame, items: list, place: int, words: int, percent: int, permutations: int) -> DataFrame:
+    sketches = _sketches(items, words, permutations, percent)
+
+    def run(batches):
+        import pyarrow as pa
+
+        search = make_search(sketches, percent)
+        for b in batches:
+            yield b.filter(pa.array([not search(t or "") for t in b.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -170,7 +170,10 @@ def _ranges(docs: DataFrame, doc_id: str, batches: int) -> list:
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """doc_id, text (kept lines), n_lines, n_dropped; one row for each input row."""
+    """doc_id, text (kept lines), n_lines, n_dropped; one row for each input row.
+
+    ``rest``: a struct of the other columns, as they were.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -201,8 +204,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 else:
                     n_dropped.append(0)
                     texts.append(t or "")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), b.column(3)], ["doc_id", "text", "n_lines", "n_dropped", "rest"])
 
-    whole = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    joined = whole.join(lost, whole["doc_id"].eqNullSafe(lost["lost_id"]), "left").select("doc_id", "text", "lost")
-    return joined.mapInArrow(run, f"doc_id {kind}, text string, n_lines bigint, n_dropped bigint")
+    others = [docs[c] for c in docs.columns if c not in (doc_id, text)] or [F.lit(None).cast("int").alias("none")]
+    whole = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.struct(*others).alias("rest"))
+    joined = whole.join(lost, whole["doc_id"].eqNullSafe(lost["lost_id"]), "left").select("doc_id", "text", "lost", "rest")
+    return joined.mapInArrow(run, f"doc_id {kind}, text string, n_lines bigint, n_dropped bigint, rest {whole.schema['rest'].dataType.simpleString()}")

@@ -77,6 +77,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.concat(base, pii.listed("secret")), ",").alias("spans"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH lines AS (
@@ -105,7 +111,7 @@ FROM own JOIN shingled USING (k, s) JOIN sizes USING (item_id) GROUP BY doc_id,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if (name.startswith("op") or name == "pipeline") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -277,3 +277,24 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(hits, pa.int32())], ["doc_id", "score", "hits"])
 
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, score double, hits int")
+
+
+def accepted(docs: DataFrame, model: Model, *, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``limit``; nothing is shuffled."""
+    common.small_batches(docs.sparkSession)
+    place = docs.columns.index(text)
+    terms, weights, prior = model.terms, model.weights, model.prior
+
+    def run(batches):
+        import pyarrow as pa
+
+        figures = worker_memory(("toxicity", hash(frozenset(terms.items()))), lambda: make_features(terms))
+        for b in batches:
+            keep = []
+            for t in b.column(place).to_pylist():
+                x = figures(t or "")
+                z = sum(a * c for a, c in zip(x, weights)) + (weights[-1] if weights else 0.0)
+                keep.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if weights else prior) < limit)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
