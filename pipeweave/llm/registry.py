@@ -55,6 +55,16 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), words=2)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pitman_yor
+
+    docs = common.documents(spark, sf_dir)
+    held_out = common.fold("doc_id", 7) == 2
+    model = pitman_yor.fit(docs.where(~held_out))
+    out = pitman_yor.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
