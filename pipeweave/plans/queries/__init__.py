@@ -1,3 +1,3 @@
 """Query modules; importing this package registers all of them."""
 
-from . import formulas, lookups, spatial, trees  # noqa: F401
+from . import formulas, lookups, spatial, texts, trees, validation  # noqa: F401

@@ -32,6 +32,17 @@ VIEWS = {
         FROM (SELECT c_custkey AS id FROM {customer}) c CROSS JOIN (SELECT CAST(column1 AS INT) AS k FROM (VALUES (0), (1), (2), (3), (4), (5)) AS v(column1)) v""",
     "sections": """SELECT CAST(l_orderkey AS BIGINT) AS link, CAST(l_linenumber AS BIGINT) AS obstacle, CAST(min((l_partkey * 13) % 400) AS DOUBLE) AS s0,
         CAST(min((l_partkey * 13) % 400) + max(l_quantity) AS DOUBLE) AS s1, CAST(100 + (l_linenumber * 15) % 80 AS BIGINT) AS kspec_pct FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
+    "out_lines": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE concat('v', CAST(1 + o_orderkey % 3 AS VARCHAR(3))) END AS variant,
+        CASE WHEN o_orderkey % 89 = 0 THEN 'pipe' ELSE 'heat_network' END AS object_type, CASE WHEN o_orderkey % 83 = 0 THEN o_orderkey - 1 ELSE o_orderkey END AS out_id,
+        CAST(o_orderkey AS BIGINT) AS start_node, CASE WHEN o_orderkey % 53 = 0 THEN CAST(-7 AS BIGINT) ELSE CAST(floor((o_orderkey - 1) / 2) AS BIGINT) END AS end_node,
+        CASE WHEN o_orderkey % 61 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(floor(o_totalprice) AS BIGINT) % 20000 + 10 END AS flow_dt,
+        CAST(CASE WHEN o_orderkey % 59 = 0 THEN 110 WHEN o_orderkey % 5 = 0 THEN 300 WHEN o_orderkey % 5 = 1 THEN 500 ELSE 700 END AS INT) AS du,
+        CAST((o_orderkey * 7919) % 400000 + 1000 AS BIGINT) AS true_mm, CAST((o_orderkey * 7919) % 400000 + 1000 + CASE WHEN o_orderkey % 47 = 0 THEN 30 WHEN o_orderkey % 43 = 0 THEN 15 ELSE 0 END AS BIGINT) AS length_mm,
+        CASE WHEN o_orderkey % 67 = 0 THEN 'air' WHEN o_orderkey % 4 = 0 THEN 'special' ELSE 'base' END AS laying, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 160 ELSE 100 END AS BIGINT) AS kspec_pct,
+        CASE WHEN o_orderkey % 71 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(500 + (o_orderkey * 17) % 5000 AS BIGINT) END AS depth0_mm, CAST(500 + (o_orderkey * 17) % 5000 + CASE WHEN o_orderkey % 37 = 0 THEN 20000 ELSE (o_orderkey % 3) * 40 END AS BIGINT) AS depth1_mm,
+        CASE WHEN o_orderkey % 4 = 0 THEN CASE CAST(o_orderkey % 20 AS INT) WHEN 0 THEN 'road' WHEN 4 THEN 'tram_tracks' WHEN 8 THEN 'gas_pipeline' WHEN 12 THEN 'power_cable' ELSE 'heat_network' END END AS crossed_type, CAST((o_orderkey * 13) % 100 AS BIGINT) AS angle FROM {orders}""",
+    "out_nodes": """SELECT CAST(c_custkey AS BIGINT) AS id, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'consumer' WHEN 1 THEN 'technical_node' WHEN 2 THEN 'heat_chamber' ELSE 'existing_chamber' END AS kind,
+        CAST(CASE WHEN c_custkey % 5 = 0 THEN 300 ELSE 700 END AS INT) AS du, CAST(CASE WHEN c_custkey % 5 = 0 THEN 5000000 WHEN c_custkey % 31 = 0 THEN 1 ELSE 8000000 END AS BIGINT) AS cost FROM {customer}""",
     "uploads": """SELECT CAST(user_id AS BIGINT) AS upload, CAST(event_id AS BIGINT) % 7 AS part, event_type, ts, CAST(event_id AS BIGINT) AS event_id FROM {events}""",
 }
 for _name in ("du_table", "rules", "vertical_rules", "chamber_cost", "strategies"):
