@@ -1,3 +1,3 @@
 """Query modules; importing this package registers all of them."""
 
-from . import formulas, ingest, lookups, spatial, texts, trees, validation  # noqa: F401
+from . import formulas, ingest, lookups, planning, spatial, texts, trees, validation  # noqa: F401
