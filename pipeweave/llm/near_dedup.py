@@ -10,11 +10,12 @@ sets of words, not on hashes.
 
 Documents with the same set are folded into one before banding, so copies
 never make pairs. In a band bucket every member is compared with the smallest
-member; members of a bucket that this leaves in different components are then
-compared with each other where they share at least ``MIN_SHARED`` bands (at
-the threshold two sets share 13 of 32 on average; fewer than 3 happens once in
-90,000). Components come from star contraction. With 32 bands of 4
-coordinates a link at the threshold is no candidate with probability 5e-8.
+member, then with the member that meets most others if it is still apart from
+it. Candidate groups (documents connected by such comparisons) that still hold several
+components are compared in blocks: the members outside the group's largest
+component against all members, without a row for each pair. Components come
+from star contraction. With 32 bands of 4 coordinates a link at the threshold
+is no candidate with probability 5e-8.
 
 Defined results: a document without words has no shingles and is linked with
 nothing; rows with a null id are linked with nothing (component null, kept);
@@ -32,7 +33,9 @@ from .components import components
 
 BANDS = 32
 ROWS = 4
-MIN_SHARED = 3
+#: Rows of a block of queries and of members in the comparison of what the stars leave apart.
+QUERY_BLOCK = 128
+MEMBER_BLOCK = 512
 
 
 def make_sketcher(coordinates: int):
@@ -138,66 +141,125 @@ def fingerprints(docs: DataFrame, *, doc_id: str, text: str, words: int, bands:
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, *, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    kind = docs.schema[doc_id].dataType.simpleString()
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    whole = docs.select(docs[doc_id].alias("id"), docs[text].alias("t"))
-    texts = common.table(whole.join(ids, "id", "left_semi"), "candidate-texts")
+def make_shingle_set(words: int):
+    """A function text -> the set of its word shingles, A-Z lower-cased; the words themselves, no hashes."""
+
+    def shingle_set(t):
+        w = (t or "").encode().lower().split()
+        return set(zip(*(w[i:] for i in range(words)))) if len(w) >= words else ({tuple(w)} if w else set())
+
+    return shingle_set
+
+
+def similar(x: set, y: set, percent: int) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if not small or 100 * small < percent * large:
+        return False
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. ``texts``: id, t."""
+    kind = texts.schema["id"].dataType.simpleString()
     first = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     second = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
 
     def run(batches):
         import pyarrow as pa
 
-        def shingle_set(t):
-            w = (t or "").encode().lower().split()
-            return set(zip(*(w[i:] for i in range(words)))) if len(w) >= words else ({tuple(w)} if w else set())
-
-        last, last_set = object(), set()
+        shingle_set, last, last_set = make_shingle_set(words), object(), set()
         for batch in batches:
             keep = []
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if ta != last:
                     last, last_set = ta, shingle_set(ta)
-                other = shingle_set(tb)
-                small, large = sorted((len(last_set), len(other)))
-                if 100 * small < percent * large or not small:
-                    keep.append(False)
-                    continue
-                both = len(last_set & other)
-                keep.append(100 * both >= percent * (len(last_set) + len(other) - both))
+                keep.append(similar(last_set, shingle_set(tb), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(second.hint("merge"), "b").join(first.hint("merge"), "a").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _links_between(members: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """Links between the components of a candidate group, without a row for each pair.
+
+    ``members``: grp, id, component, t. All but the members of a group's
+    largest component are its queries. Queries and members are dealt to
+    blocks; each pair of blocks is one task group, which keeps the links that join two components first.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+    sizes = members.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("g"), (F.sum("c") - F.max("c")).alias("q"))
+    rows = members.join(main, "grp").where("q > 0")
+    m_blocks, q_blocks = F.ceil(F.col("g") / MEMBER_BLOCK).cast("int"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int")
+    h = F.xxhash64("id")
+    dealt = rows.select("grp", "id", "component", "t", "main", m_blocks.alias("mb"), q_blocks.alias("qb"), F.pmod(h, m_blocks).cast("int").alias("mi"), F.pmod(h, q_blocks).cast("int").alias("qi"))
+    as_member = dealt.select("grp", F.col("mi").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(False).alias("query"), "id", "component", "t")
+    as_query = dealt.where("component <> main").select("grp", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.col("qi").alias("q"), F.lit(True).alias("query"), "id", "component", "t")
+
+    def compare(table):
+        import pyarrow as pa
+
+        shingle_set = make_shingle_set(words)
+        rows = list(zip(table.column("query").to_pylist(), table.column("id").to_pylist(), table.column("component").to_pylist(), map(shingle_set, table.column("t").to_pylist()), strict=True))
+        up: dict = {}
+
+        def top(c):
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        others = sorted((r for r in rows if not r[0]), key=lambda r: len(r[3]))
+        a, b = [], []
+        for _, i, c, x in (r for r in rows if r[0]):
+            for _, j, d, y in others:
+                if 100 * len(y) < percent * len(x):
+                    continue
+                if percent * len(y) > 100 * len(x):
+                    break
+                if top(c) != top(d) and similar(x, y, percent):
+                    up[top(c)] = top(d)
+                    a.append(min(i, j))
+                    b.append(max(i, j))
+        t = table.schema.field("id").type
+        return pa.table({"a": pa.array(a, t), "b": pa.array(b, t)})
+
+    return as_member.unionByName(as_query).groupBy("grp", "m", "q").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept."""
-    checks = {"doc_id": doc_id, "text": text, "words": words, "percent": percent}
+    checks = {"words": words, "percent": percent}
     prints = common.table(fingerprints(docs, doc_id=doc_id, text=text, words=words, bands=bands, rows=rows), "fingerprints")
     linkable = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = common.table(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
+    classes = common.table(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = common.table(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a"), F.max("rep").alias("z")).where("m > 1"), "buckets")
     of_two = shared.where("m = 2 AND a <> z").select("a", F.col("z").alias("b"))
-    wide = common.table(banded.join(shared.where("m > 2").select("band", "a"), "band"), "wide-buckets")
-    stars = of_two.unionByName(wide.where("rep <> a").select("a", F.col("rep").alias("b"))).distinct()
-    tried = common.table(stars, "pairs")
-    links = common.table(verified(tried, docs, **checks), "links")
+    wide = common.table(banded.join(shared.where("m > 2").select("band", "a", "m"), "band"), "wide-buckets")
+    tried = common.table(of_two.unionByName(wide.where("rep <> a").select("a", F.col("rep").alias("b"))).distinct(), "pairs")
+    ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
+    whole = docs.select(docs[doc_id].alias("id"), docs[text].alias("t"))
+    texts = common.table(whole.join(ids.hint("merge"), "id", "left_semi"), "candidate-texts")
+    links = common.table(verified(tried, texts, **checks), "links")
+    found = common.table(components(links), "components")
+
+    # Second stars: around the member of a bucket that meets most others, for those still apart from it.
+    weight = wide.groupBy("rep").agg(F.sum("m").alias("weight"))
+    members = wide.select("band", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(weight, "rep").select("band", "rep", "weight", F.coalesce("component", "rep").alias("component"))
+    pivots = members.groupBy("band").agg(F.max_by(F.struct("rep", "component"), F.struct("weight", "rep")).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band", "p")
+    second = members.join(pivots, "band").where("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    second = common.table(second.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = common.table(links.unionByName(verified(second, texts, **checks)), "links")
     found = common.table(components(links), "components")
 
-    # Members of one bucket that the stars left apart.
-    members = wide.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = members.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
-    apart = common.table(members.join(mixed, "band"), "mixed-buckets")
-    x, y = apart.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), apart.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = (x.join(y, "band").where(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).where(f"m >= {MIN_SHARED}").select("a", "b")
-            .join(tried, ["a", "b"], "left_anti"))
-    rest = common.table(rest, "pairs")
-    if not rest.isEmpty():
-        more = common.table(verified(rest, docs, **checks), "links")
+    # The rest: candidate groups that still hold several components, in blocks.
+    groups = components(tried).select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    held = groups.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "grp", F.coalesce("component", "id").alias("component"))
+    split = held.groupBy("grp").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("g")).where("c0 <> c1 AND g > 2").select("grp")
+    held = common.table(held.join(split, "grp"), "groups-apart")
+    more = common.table(_links_between(held.join(texts.hint("merge"), "id"), **checks), "links")
+    if not more.isEmpty():
         found = common.table(components(links.unionByName(more)), "components")
 
     named = classes.select("d1", "d2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class"))
