@@ -1,3 +1,3 @@
 """Query modules; importing this package registers all of them."""
 
-from . import formulas, ingest, lookups, more, planning, spatial, texts, trees, validation  # noqa: F401
+from . import admission, formulas, ingest, lookups, more, planning, spatial, texts, trees, validation  # noqa: F401
