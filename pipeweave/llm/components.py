@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """The edges as a table, with their number and a sum of hashes seen on the way."""
+    seen = Observation()
+    out, path = common.write_table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "edges")
+    return out, path, (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,20 +24,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, path = common.write_table(edges, "edges")
-    before = _mark(edges)
+    edges, path, before = _written(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         stars = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(stars, F.col("a") == F.col("u"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(stars.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        after_edges, after_path = common.write_table(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
-        common.remove(spark, path)
-        edges, path = after_edges, after_path
-        after = _mark(edges)
+        old = path
+        edges, path, after = _written(small)
+        common.remove(spark, old)
         if after == before:
             break
         before = after

@@ -10,8 +10,7 @@ sets of words, not on hashes.
 
 Documents with the same set are folded into one before banding, so copies
 never make pairs. In a band bucket every member is compared with the smallest
-member, then with the member that meets most others if it is still apart from
-it. Candidate groups (documents connected by such comparisons) that still hold several
+member and with the one that meets most others. Candidate groups (documents connected by such comparisons) that still hold several
 components are compared in blocks: the members outside the group's largest
 component against all members, without a row for each pair. Components come
 from star contraction. With 32 bands of 4 coordinates a link at the threshold
@@ -33,9 +32,9 @@ from .components import components
 
 BANDS = 32
 ROWS = 4
-#: Rows of a block of queries and of members in the comparison of what the stars leave apart.
-QUERY_BLOCK = 128
-MEMBER_BLOCK = 512
+#: Bytes of text in a block of queries and of members in the comparison of what the stars leave apart.
+QUERY_BYTES = 500_000
+MEMBER_BYTES = 2_000_000
 
 
 def make_sketcher(coordinates: int):
@@ -188,20 +187,30 @@ def _links_between(members: DataFrame, *, words: int, percent: int) -> DataFrame
     blocks; each pair of blocks is one task group, which keeps the links that join two components first.
     """
     kind = members.schema["id"].dataType.simpleString()
-    sizes = members.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("grp").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("g"), (F.sum("c") - F.max("c")).alias("q"))
-    rows = members.join(main, "grp").where("q > 0")
-    m_blocks, q_blocks = F.ceil(F.col("g") / MEMBER_BLOCK).cast("int"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int")
+    size = F.octet_length("t").cast("bigint")
+    sizes = members.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(size).alias("s"))
+    main = sizes.groupBy("grp").agg(F.max_by(F.struct("component", "s"), F.struct("c", "component")).alias("top"), F.sum("s").alias("g"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = members.join(main, "grp")
+    m_blocks, q_blocks = F.ceil(F.col("g") / MEMBER_BYTES).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("g") - F.col("top.s")) / QUERY_BYTES).cast("int"))
     h = F.xxhash64("id")
-    dealt = rows.select("grp", "id", "component", "t", "main", m_blocks.alias("mb"), q_blocks.alias("qb"), F.pmod(h, m_blocks).cast("int").alias("mi"), F.pmod(h, q_blocks).cast("int").alias("qi"))
+    dealt = rows.select("grp", "id", "component", "t", F.col("top.component").alias("main"), m_blocks.alias("mb"), q_blocks.alias("qb"), F.pmod(h, m_blocks).cast("int").alias("mi"), F.pmod(h, q_blocks).cast("int").alias("qi"))
     as_member = dealt.select("grp", F.col("mi").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), F.lit(False).alias("query"), "id", "component", "t")
     as_query = dealt.where("component <> main").select("grp", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.col("qi").alias("q"), F.lit(True).alias("query"), "id", "component", "t")
 
     def compare(table):
+        from collections import Counter
+
+        import numpy as np
         import pyarrow as pa
 
         shingle_set = make_shingle_set(words)
         rows = list(zip(table.column("query").to_pylist(), table.column("id").to_pylist(), table.column("component").to_pylist(), map(shingle_set, table.column("t").to_pylist()), strict=True))
+        others, asked = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+        here, there = {r[1] for r in others}, {r[1] for r in asked}
+        in_others, in_asked = Counter(s for r in others for s in r[3]), Counter(s for r in asked for s in r[3])
+        n = np.array([len(r[3]) for r in others])
+        # No pair can share more shingles than stand anywhere on the other side: an exact bound.
+        most = np.array([sum(in_asked[s] > (r[1] in there) for s in r[3]) for r in others])
         up: dict = {}
 
         def top(c):
@@ -209,14 +218,11 @@ def _links_between(members: DataFrame, *, words: int, percent: int) -> DataFrame
                 c = up[c]
             return c
 
-        others = sorted((r for r in rows if not r[0]), key=lambda r: len(r[3]))
         a, b = [], []
-        for _, i, c, x in (r for r in rows if r[0]):
-            for _, j, d, y in others:
-                if 100 * len(y) < percent * len(x):
-                    continue
-                if percent * len(y) > 100 * len(x):
-                    break
+        for _, i, c, x in asked:
+            share = np.minimum(most, sum(in_others[s] > (i in here) for s in x))
+            for k in np.flatnonzero((share > 0) & (100 * share >= percent * (len(x) + n - share))).tolist():
+                _, j, d, y = others[k]
                 if top(c) != top(d) and similar(x, y, percent):
                     up[top(c)] = top(d)
                     a.append(min(i, j))
@@ -236,23 +242,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     banded = classes.select("rep", F.explode("bands").alias("band"))
     shared = common.table(banded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a"), F.max("rep").alias("z")).where("m > 1"), "buckets")
     of_two = shared.where("m = 2 AND a <> z").select("a", F.col("z").alias("b"))
-    wide = common.table(banded.join(shared.where("m > 2").select("band", "a", "m"), "band"), "wide-buckets")
-    tried = common.table(of_two.unionByName(wide.where("rep <> a").select("a", F.col("rep").alias("b"))).distinct(), "pairs")
+    wide = banded.join(shared.where("m > 2").select("band", "a", "m"), "band")
+    weight = wide.groupBy("rep").agg(F.sum("m").alias("weight"))
+    wide = common.table(wide.select("band", "rep", "a").join(weight, "rep"), "wide-buckets")
+    pivots = wide.groupBy("band").agg(F.max_by("rep", F.struct("weight", "rep")).alias("p"))
+    to_pivot = wide.join(pivots, "band").where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+    tried = common.table(of_two.unionByName(wide.where("rep <> a").select("a", F.col("rep").alias("b"))).unionByName(to_pivot).distinct(), "pairs")
     ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
     whole = docs.select(docs[doc_id].alias("id"), docs[text].alias("t"))
     texts = common.table(whole.join(ids.hint("merge"), "id", "left_semi"), "candidate-texts")
     links = common.table(verified(tried, texts, **checks), "links")
     found = common.table(components(links), "components")
 
-    # Second stars: around the member of a bucket that meets most others, for those still apart from it.
-    weight = wide.groupBy("rep").agg(F.sum("m").alias("weight"))
-    members = wide.select("band", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(weight, "rep").select("band", "rep", "weight", F.coalesce("component", "rep").alias("component"))
-    pivots = members.groupBy("band").agg(F.max_by(F.struct("rep", "component"), F.struct("weight", "rep")).alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band", "p")
-    second = members.join(pivots, "band").where("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-    second = common.table(second.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = common.table(links.unionByName(verified(second, texts, **checks)), "links")
-    found = common.table(components(links), "components")
-
     # The rest: candidate groups that still hold several components, in blocks.
     groups = components(tried).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     held = groups.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "grp", F.coalesce("component", "id").alias("component"))
@@ -263,11 +264,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         found = common.table(components(links.unionByName(more)), "components")
 
     named = classes.select("d1", "d2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class"))
-    of_doc = linkable.join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class").alias("class")) if _repeats(linkable) else linkable.join(named, ["d1", "d2"]).select("doc_id", "class")
+    of_doc = linkable.join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class").alias("class"))
     out = prints.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("class", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _repeats(rows: DataFrame) -> bool:
-    """Whether an id occurs twice."""
-    return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
