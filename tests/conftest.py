@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     base = tmp_path_factory.mktemp("spark")
-    session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+    session = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
                .config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", str(base / "warehouse")).config("spark.checkpoint.dir", f"file://{base}/shared").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session

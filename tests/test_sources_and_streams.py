@@ -15,7 +15,7 @@ def test_feature_collection(spark, tmp_path):
         17]}
     (tmp_path / "a.geojson").write_text(json.dumps(doc))
     rows = geojson.typed(geojson.read(spark, str(tmp_path / "a.geojson")))
-    got = {(r.index, r.code) for r in geojson.diagnostics(rows).collect()}
+    got = {(r["index"], r["code"]) for r in geojson.diagnostics(rows).collect()}
     assert got == {(1, "NON_STANDARD_DIAMETER"), (2, "MISSING_ID"), (2, "MISSING_GEOMETRY"), (2, "MISSING_FLOW"), (3, "DUPLICATE_ID"), (4, "BAD_FEATURE")}
     assert [len(r.points or []) for r in rows.orderBy("index").collect()][:4] == [1, 2, 0, 4]
     assert geojson.document_issues(spark, str(tmp_path)).count() == 0
@@ -39,7 +39,7 @@ def test_job_stream(spark, tmp_path):
     stream = lifecycle.job_states(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("jobs").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    got = sorted((r.job, r.status, r.accepted) for r in spark.table("jobs").collect())
+    got = sorted(((r.job, r.status, r.accepted) for r in spark.table("jobs").collect()), key=repr)
     assert got.count((1, "RUNNING", False)) == 1 and (1, "DONE", True) in got and (2, "FAILED", True) in got
 
 
