@@ -93,9 +93,12 @@ def make_search(sketches, percent: int):
             h = shingler(text)
             if not len(h):
                 continue
-            at = np.searchsorted(h, keys)
-            at[at == len(h)] = 0
-            hit = owner[h[at] == keys]
+            at = np.searchsorted(keys, h)
+            at[at == len(keys)] = 0
+            found = at[keys[at] == h]
+            if not len(found):
+                continue
+            hit = np.concatenate([owner[i:j] for i, j in zip(found.tolist(), np.searchsorted(keys, keys[found], "right").tolist(), strict=True)])
             for number, hits in zip(*(x.tolist() for x in np.unique(hit, return_counts=True)), strict=True):
                 if hits < need[number]:
                     continue
