@@ -237,6 +237,8 @@ def test_pitman_yor(docs, nothing):
     assert Counter((r.doc_id, r.n_tokens, round(r.base_score, 4)) for r in got) == want and model.n_tokens == n and model.vocabulary == v
     assert all(r.score <= 0 and r.n_known == r.n_tokens for r in got)
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    whole = pitman_yor.score(docs, model).collect()
+    assert Counter((r.doc_id, round(r.score, 3)) for r in whole) == Counter((r.doc_id, round(r.score, 3)) for r in got)
     unseen = pitman_yor.score(docs, pitman_yor.fit(nothing)).collect()
     assert all(r.base_score == 0 and r.n_known == 0 for r in unseen) and pitman_yor.score(nothing, model).count() == 0
 
