@@ -69,8 +69,17 @@ def inside_forbidden(s):
   t AS (SELECT child, greatest(0, CASE WHEN dx <> 0 THEN least((xmin-ax)/dx, (xmax-ax)/dx) ELSE 0 END, CASE WHEN dy <> 0 THEN least((ymin-ay)/dy, (ymax-ay)/dy) ELSE 0 END) AS lo, least(1, CASE WHEN dx <> 0 THEN greatest((xmin-ax)/dx, (xmax-ax)/dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((ymin-ay)/dy, (ymax-ay)/dy) ELSE 1 END) AS hi FROM near)
   SELECT child, count(*)::BIGINT AS n FROM t WHERE lo <= hi GROUP BY child""")
 def blocked(s):
-    """Links of every twentieth consumer (a stated query set) against all water boxes."""
-    lines = s.links.where("child % 20 = 0")
+    """Links of every twentieth consumer, as its SQL has it, against all water boxes."""
+    return blocked_by_water(s, s.links.where("child % 20 = 0"))
+
+
+@query("p08_all_blocked_segments")
+def all_blocked(s):
+    """Every link against all water boxes."""
+    return blocked_by_water(s, s.links)
+
+
+def blocked_by_water(s, lines):
     boxed = spatial.dealt(lines, F.least("ax", "bx"), F.least("ay", "by_"), F.greatest("ax", "bx"), F.greatest("ay", "by_"), 250.0)
     water = spatial.dealt(s.restrictions.where("restriction_type = 'water'"), "xmin", "ymin", "xmax", "ymax", 250.0)
     cell = lambda c: F.floor(c / 250.0)
@@ -83,10 +92,21 @@ def blocked(s):
   SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.k < b.k WHERE ((a.bx-a.ax)*(b.ay-a.ay)-(a.by_-a.ay)*(b.ax-a.ax)) * ((a.bx-a.ax)*(b.by_-a.ay)-(a.by_-a.ay)*(b.bx-a.ax)) < 0
    AND ((b.bx-b.ax)*(a.ay-b.ay)-(b.by_-b.ay)*(a.ax-b.ax)) * ((b.bx-b.ax)*(a.by_-b.ay)-(b.by_-b.ay)*(a.bx-b.ax)) < 0""")
 def segment_crossings(s):
+    """Lines of every fifteenth consumer, as its SQL has it, among themselves."""
+    return crossings_of(s.vertices.where("id % 15 = 0"))
+
+
+@query("j17_all_segment_crossings")
+def all_segment_crossings(s):
+    """Every line with every other."""
+    return crossings_of(s.vertices)
+
+
+def crossings_of(vertices):
     from pyspark.sql import Window
 
     w = Window.partitionBy("id").orderBy("k")
-    edges = s.vertices.where("id % 15 = 0").select((F.col("id") * 10 + F.col("k")).alias("key"), F.lag("x").over(w).alias("ax"), F.lag("y").over(w).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by_")).where("ax IS NOT NULL")
+    edges = vertices.select((F.col("id") * 10 + F.col("k")).alias("key"), F.lag("x").over(w).alias("ax"), F.lag("y").over(w).alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by_")).where("ax IS NOT NULL")
     return spatial.crossing_segments(edges, "key", 60.0)
 
 
