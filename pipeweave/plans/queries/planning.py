@@ -31,9 +31,9 @@ def variants(s):
 
 @query("o13_depth_profiles")
 def profiles(s):
-    """One chain for each order of the line table, its crossings from the sections."""
+    """One chain for each order of the line table, its crossings from all its sections."""
     kinds = F.array(*(F.lit(k) for k in ("road", "tram_tracks", "gas_pipeline", "power_cable")))
-    at = s.sections.where("obstacle <= 3").withColumn("restriction_type", F.element_at(kinds, (F.col("link") % 4 + 1).cast("int")))
+    at = s.sections.withColumn("restriction_type", F.element_at(kinds, (F.col("link") % 4 + 1).cast("int")))
     v = s.vertical_rules
     rows = at.join(F.broadcast(v), "restriction_type").select(
         F.col("link").alias("chain"), F.lit(500.0).alias("length_m"), F.lit(83530.0).alias("price"), (F.col("s0") + 20).alias("lo"), (F.col("s0") + 24).alias("hi"), F.when(F.col("method") == "COVER", "COVER").otherwise("GAP").alias("kind"), F.lit(0.16).alias("new_height"),
