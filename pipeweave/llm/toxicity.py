@@ -14,7 +14,8 @@ bound of the fit); scoring covers every whole text.
 
 Defined results: a null or empty text has no hits and gets the model's score
 for that; repeated rows are scored alike; without labelled rows of both
-classes the score is the smoothed share of toxic rows (0.5 without any); an
+classes nothing is fitted: the score is the smoothed share of toxic rows (0.5
+without any), which says nothing of a text, and ``accepted`` keeps every row; an
 empty table gives no rows; other columns are ignored whatever their names.
 """
 
@@ -280,10 +281,12 @@ def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
 
 
 def accepted(docs: DataFrame, model: Model, *, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``limit``; nothing is shuffled."""
+    """The rows of ``docs``, all columns, whose score is below ``limit``, or all rows without a fitted model; nothing is shuffled."""
+    if not model.weights:
+        return docs
     common.small_batches(docs.sparkSession)
     place = docs.columns.index(text)
-    terms, weights, prior = model.terms, model.weights, model.prior
+    terms, weights = model.terms, model.weights
 
     def run(batches):
         import pyarrow as pa
@@ -293,8 +296,8 @@ def accepted(docs: DataFrame, model: Model, *, text: str = "text", limit: float
             keep = []
             for t in b.column(place).to_pylist():
                 x = figures(t or "")
-                z = sum(a * c for a, c in zip(x, weights)) + (weights[-1] if weights else 0.0)
-                keep.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if weights else prior) < limit)
+                z = sum(a * c for a, c in zip(x, weights)) + weights[-1]
+                keep.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) < limit)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
