@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import engineering as E
+from ..functions import geometry as G
 from ..plans import rules
 from ..sources import geojson
-from . import routing
+from . import routing, tie_ins
 from .shared import table
 
 
@@ -25,10 +26,12 @@ class Job:
     diagnostics: DataFrame
     links: DataFrame
     variants: DataFrame
+    #: What was planned with: parents below 0 are roots and tie-ins here, by -1 - id.
+    planned: DataFrame | None = None
 
 
 def scene_features(rows: DataFrame) -> DataFrame:
-    """Rows of ``geojson.typed`` as the planner's features: consumers, roots (chambers), boxes (forbidden objects with their clearance)."""
+    """Rows of ``geojson.typed`` as the planner's features: consumers, roots (chambers), tie-ins on lines, boxes and buildings (forbidden objects with their clearance)."""
     scene = F.xxhash64("file").alias("scene")
     first = F.element_at("points", 1)
     place = [first["x"].alias("x"), first["y"].alias("y"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1")]
@@ -39,8 +42,19 @@ def scene_features(rows: DataFrame) -> DataFrame:
     boxed = held.where("object_type = 'restriction'").join(F.broadcast(rule), "restriction_type").where("kind = 'FORBIDDEN'").drop("kind")
     grow = E.clearance_mm(F.col("restriction_type"), F.col("clearance_mm"), F.lit(400)) / 1000 + 0.685
     x, y = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
-    boxes = boxed.select(scene, F.lit("box").alias("kind"), F.col("index").cast("bigint").alias("id"), (F.array_min(x) - grow).alias("x"), (F.array_min(y) - grow).alias("y"), (F.array_max(x) + grow).alias("x1"), (F.array_max(y) + grow).alias("y1"), F.lit(0).cast("bigint").alias("flow_dt"), F.lit(0).alias("degree"))
-    return consumers.unionByName(roots).unionByName(boxes)
+    boxes = boxed.select(scene, F.when(F.col("restriction_type") == "oks", "building").otherwise("box").alias("kind"), F.col("index").cast("bigint").alias("id"), (F.array_min(x) - grow).alias("x"), (F.array_min(y) - grow).alias("y"), (F.array_max(x) + grow).alias("x1"), (F.array_max(y) + grow).alias("y1"), F.lit(0).cast("bigint").alias("flow_dt"), F.lit(0).alias("degree"))
+    return tie_ins.with_tie_ins(consumers.unionByName(roots).unionByName(boxes), network_segments(rows))
+
+
+def network_segments(rows: DataFrame) -> DataFrame:
+    """scene, line, k, last, ax, ay, bx, by_ of the heat network; each part of a MultiLineString is a line of its own."""
+    lines = rows.where("object_type = 'heat_network' AND gtype IN ('LineString', 'MultiLineString')")
+    parts = F.when(F.col("gtype") == "LineString", F.array("lonlat")).otherwise(F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<array<array<double>>>"))
+    each = lines.select(F.xxhash64("file").alias("scene"), "index", F.posexplode(parts).alias("part", "line"))
+    each = each.select("scene", F.struct("index", "part").alias("line"), F.transform("line", lambda p: G.to_metric(p[0], p[1])).alias("at")).where("size(at) > 1")
+    pieces = each.select("scene", "line", "at", F.explode(F.sequence(F.lit(1), F.size("at") - 1)).alias("k"))
+    a, b = F.element_at("at", F.col("k")), F.element_at("at", F.col("k") + 1)
+    return pieces.select("scene", F.col("line.index").cast("bigint").alias("line"), F.col("line.part").alias("part"), "k", (F.size("at") - 1).alias("last"), a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by_"))
 
 
 def table_of_rules(spark: SparkSession) -> DataFrame:
@@ -50,8 +64,9 @@ def table_of_rules(spark: SparkSession) -> DataFrame:
 def run(spark: SparkSession, path: str) -> Job:
     """Plan all scenes under ``path``; nothing is written but intermediate tables."""
     rows = table(geojson.typed(geojson.read(spark, path)), "features")
-    links = table(routing.plan_scenes(scene_features(rows)), "links")
-    return Job(rows, geojson.diagnostics(rows), links, routing.ranked_variants(links))
+    planned = table(scene_features(rows), "planned")
+    links = table(routing.plan_scenes(planned), "links")
+    return Job(rows, geojson.diagnostics(rows), links, routing.ranked_variants(links), planned)
 
 
 def write_report(job: Job, path: str) -> None:

@@ -88,16 +88,41 @@ def order_consumers(order: str, consumers: list, roots: list) -> list:
     return sorted(consumers, key=lambda c: (key(c), c[0]))
 
 
-def build(consumers: list, roots: list, boxes: list, strategy: tuple) -> tuple[dict, dict, set]:
-    """Greedy forest: parent and (length, vertices) by child; consumers left over."""
-    _, order, junctions, _, _ = strategy
+def leave(x: float, y: float, boxes: list, strict: int) -> tuple | None:
+    """Where a consumer's lines begin and the way there: outside all boxes it is its place, inside one building the nearest free point of the edge.
+
+    The first ``strict`` boxes are left by no line, nor are two buildings at once.
+    """
+    holding = [i for i, b in enumerate(boxes) if b[0] < x < b[2] and b[1] < y < b[3]]
+    if not holding:
+        return x, y, 0.0
+    if len(holding) > 1 or holding[0] < strict:
+        return None
+    own = boxes[holding[0]]
+    others = [b for i, b in enumerate(boxes) if i != holding[0]]
+    graph = Graph(others, [])
+    for way, ex, ey in sorted(((x - own[0], own[0], y), (own[2] - x, own[2], y), (y - own[1], x, own[1]), (own[3] - y, x, own[3]))):
+        if not graph.inside(ex, ey) and not blocked([x], [y], [ex], [ey], graph.boxes)[0]:
+            return ex, ey, way
+    return None
+
+
+def build(consumers: list, roots: list, boxes: list, strategy: tuple, buildings: list = ()) -> tuple[dict, dict, set]:
+    """Greedy forest: parent and (length, vertices) by child; consumers left over. Roots: id, x, y, degree, whether their chamber is new."""
+    roots = [r if len(r) > 4 else (*r, False) for r in roots]
+    _, order, junctions, policy, _ = strategy
+    roots = [r for r in roots if policy == "ANY" or (policy == "NEW_ONLY") == r[4]]
+    everything = [*boxes, *buildings]
+    exits = {c[0]: leave(c[1], c[2], everything, len(boxes)) for c in consumers}
+    lost = {c for c, e in exits.items() if e is None}
+    consumers = [(c[0], *exits[c[0]][:2], c[3]) for c in consumers if c[0] not in lost]
     points = [(x, y) for _, x, y, *_ in [*consumers, *roots]]
-    graph = Graph(boxes, points)
+    graph = Graph(everything, points)
     index = {("c", c[0]): i for i, c in enumerate(consumers)} | {("r", r[0]): len(consumers) + i for i, r in enumerate(roots)}
     owner = {i: k for k, i in index.items()}
     slots = {("r", r[0]): rules.MAX_DEGREE - r[3] for r in roots}
     joined: set = set()
-    parent, route, lost = {}, {}, set()
+    parent, route = {}, {}
     for c in order_consumers(order, consumers, roots):
         targets = {index[k] for k, free in slots.items() if free > 0} | ({index[k] for k in joined if slots.get(k, 1) > 0} if junctions else set())
         found = shortest(graph, index["c", c[0]], targets, lambda v: v not in owner)
@@ -107,14 +132,15 @@ def build(consumers: list, roots: list, boxes: list, strategy: tuple) -> tuple[d
         target = min(found, key=lambda v: (found[v][0] + (0 if owner[v][0] == "r" else 20.0), v))
         k = owner[target]
         parent[c[0]] = -1 - k[1] if k[0] == "r" else k[1]
-        route[c[0]] = (found[target][1], len(found[target][2]))
+        way = exits[c[0]][2]
+        route[c[0]] = (found[target][1] + way, len(found[target][2]) + (way > 0))
         slots[k] = slots.get(k, rules.MAX_DEGREE - 1) - 1
         joined.add(("c", c[0]))
     return parent, route, lost
 
 
 def plan_scenes(features: DataFrame, strategies: list[tuple] | None = None) -> DataFrame:
-    """features: scene, kind (consumer, root, box), id, x, y, x1, y1, flow_dt, degree. Links of every strategy."""
+    """features: scene, kind (consumer, root: existing chamber, tie_in: new chamber on a line, box, building), id, x, y, x1, y1, flow_dt, degree. Links of every strategy."""
     chosen = strategies or rules.STRATEGY_ROWS
     price = {row[0]: row[3] for row in rules.DU_ROWS}
 
@@ -126,9 +152,9 @@ def plan_scenes(features: DataFrame, strategies: list[tuple] | None = None) -> D
         group = group.sort_values(["kind", "id"])
         pick = lambda k: group[group["kind"] == k]
         consumers = [(int(r.id), r.x, r.y, int(r.flow_dt)) for r in pick("consumer").itertuples()]
-        roots = [(int(r.id), r.x, r.y, int(r.degree)) for r in pick("root").itertuples()]
-        boxes = [(r.x, r.y, r.x1, r.y1) for r in pick("box").itertuples()]
-        parent, route, lost = build(consumers, roots, boxes, strategy)
+        roots = [(int(r.id), r.x, r.y, int(r.degree), kind == "tie_in") for kind in ("root", "tie_in") for r in pick(kind).itertuples()]
+        boxes, buildings = ([(r.x, r.y, r.x1, r.y1) for r in pick(kind).itertuples()] for kind in ("box", "building"))
+        parent, route, lost = build(consumers, roots, boxes, strategy, buildings)
         children: dict = {}
         for c, p in parent.items():
             children.setdefault(p, []).append(c)

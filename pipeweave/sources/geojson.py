@@ -16,6 +16,8 @@ from ..plans import rules
 
 OBJECT_TYPES = ("heat_network", "heat_chamber", "source", "consumer", "restriction")
 POINT_TYPES = ("heat_chamber", "source", "consumer")
+#: The name of a consumer in input files; rows hold ``consumer`` for either.
+CONSUMER = "oks_connection_point"
 #: Byte estimate of a retained feature: fixed, for each position, part and hole.
 ESTIMATE = (256, 24, 128, 128)
 DEPTH_OF = {"Point": 1, "LineString": 2, "MultiPoint": 2, "Polygon": 3, "MultiLineString": 3, "MultiPolygon": 4}
@@ -58,6 +60,7 @@ def typed(features: DataFrame) -> DataFrame:
     raw = features.select("*", F.to_json(F.struct(F.expr("try_variant_get(try_parse_json(feature), '$.properties.id', 'string')").alias("v"))).alias("_id"), F.expr("schema_of_variant(try_variant_get(try_parse_json(feature), '$.properties.id'))").alias("id_kind"),
                           get("$.properties.id").alias("id_text"), T.type_code(get("$.properties.object_type")).alias("object_type"), get("$.geometry.type").alias("gtype"), get("$.geometry.coordinates").alias("_coordinates"),
                           get("$.properties.flow_tph").try_cast("double").alias("flow_tph"), get("$.properties.diameter").try_cast("int").alias("diameter"), T.type_code(get("$.properties.restriction_type")).alias("restriction_type"))
+    raw = raw.withColumn("object_type", F.when(F.col("object_type") == CONSUMER, "consumer").otherwise(F.col("object_type")))
     out = raw.withColumn("lonlat", positions(F.col("_coordinates"), depth)).drop("_id", "_coordinates")
     out = out.withColumn("numeric_id", F.col("id_kind") != "STRING")
     return out.withColumn("points", F.transform("lonlat", lambda p: G.to_metric(p[0], p[1])))
