@@ -44,7 +44,7 @@ BASE = {
 }
 #: A text without this string or class has no match.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
-OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 KEYWORD = "(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 #: Generators of further candidates.
 MORE = {
