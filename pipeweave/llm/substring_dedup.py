@@ -16,8 +16,10 @@ A word is removed if a window that covers it also starts in a document with a
 smaller id; windows are judged on the input.
 
 Defined results: a null text has no words; rows with a null id lose nothing
-and make nothing else lose words; rows that share an id are one document; an
-empty table gives no rows; other columns are ignored whatever their names.
+and make nothing else lose words; rows that share an id are windows of one
+document (they never remove each other's words), each with places of its own,
+held apart by a hash of the text; an empty table gives no rows; other columns
+are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -80,10 +82,10 @@ def _super_kmers(docs: DataFrame, window: int, kmer: int, kind: str) -> DataFram
                 continue
             minimiser, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(np.concatenate(rows))), pa.array(minimiser), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                ["doc_id", "minimiser", "start", "windows"])
+                [*(b.column(c).take(pa.array(np.concatenate(rows))) for c in (0, 2)), pa.array(minimiser), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                ["doc_id", "own", "minimiser", "start", "windows"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, minimiser bigint, start int, windows int")
+    return docs.mapInArrow(run, f"doc_id {kind}, own bigint, minimiser bigint, start int, windows int")
 
 
 def _digests(packed: bytes, window: int):
@@ -104,12 +106,12 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     common.small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    whole = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    whole = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("own"))
     named = whole.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     places, places_path = common.write_table(_super_kmers(named, window, kmer, kind), "super-kmers")
     repeated = places.groupBy("minimiser").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("minimiser")
-    kept = places.join(repeated, "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "start", "windows")).alias("runs"))
+    kept = places.join(repeated, "minimiser").groupBy("doc_id", "own").agg(F.collect_list(F.struct("minimiser", "start", "windows")).alias("runs"))
 
     def pack(batches):
         import pyarrow as pa
@@ -127,10 +129,10 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                     starts.append(s)
                     packed.append(p)
                     keys.append(xxhash.xxh3_128_digest(p))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(minimisers, pa.int64()), pa.array(starts, pa.int32()), pa.array(packed, pa.binary()), pa.array(keys, pa.binary())],
-                                             ["doc_id", "minimiser", "start", "packed", "key"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows, pa.int64())) for c in (0, 3)), pa.array(minimisers, pa.int64()), pa.array(starts, pa.int32()), pa.array(packed, pa.binary()), pa.array(keys, pa.binary())],
+                                             ["doc_id", "own", "minimiser", "start", "packed", "key"])
 
-    strings = named.join(kept, "doc_id").select("doc_id", "text", "runs").mapInArrow(pack, f"doc_id {kind}, minimiser bigint, start int, packed binary, key binary")
+    strings = named.join(kept, ["doc_id", "own"]).select("doc_id", "text", "runs", "own").mapInArrow(pack, f"doc_id {kind}, own bigint, minimiser bigint, start int, packed binary, key binary")
     strings = common.table(strings, "packed")
     common.remove(spark, places_path)
     unique, unique_path = common.write_table(strings.groupBy("minimiser", "key", "packed").agg(F.min("doc_id").alias("doc_id")), "packed-once")
@@ -190,9 +192,9 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     firsts = common.table(firsts, "window-firsts")
     common.remove(spark, unique_path)
 
-    lost = (strings.select("doc_id", "start", "key").join(firsts, "key")
-            .select("doc_id", "start", F.expr("transform(first, f -> f < doc_id)").alias("later")).where("exists(later, x -> x)")
-            .groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_list(F.struct("start", "later")).alias("lost")))
+    lost = (strings.select("doc_id", "own", "start", "key").join(firsts, "key")
+            .select("doc_id", "own", "start", F.expr("transform(first, f -> f < doc_id)").alias("later")).where("exists(later, x -> x)")
+            .groupBy(F.col("doc_id").alias("lost_id"), F.col("own").alias("lost_own")).agg(F.collect_set(F.struct("start", "later")).alias("lost")))
 
     def cut(batches):
         import numpy as np
@@ -216,5 +218,5 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
                 n_removed.append(n - len(words))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
-    joined = whole.join(lost, whole["doc_id"] == lost["lost_id"], "left").select("doc_id", "text", "lost")
+    joined = whole.join(lost, (whole["doc_id"] == lost["lost_id"]) & (whole["own"] == lost["lost_own"]), "left").select("doc_id", "text", "lost")
     return joined.mapInArrow(cut, f"doc_id {kind}, text string, n_words bigint, n_removed bigint")

@@ -277,6 +277,14 @@ def test_substring_dedup(docs, nothing, hot):
     assert substring_dedup.dedup_substrings(nothing).count() == 0
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    w = [f"a{i}" for i in range(60)]
+    other = [f"b{i}" for i in range(500)]
+    rows = [(1, " ".join(w)), (2, " ".join(other + w)), (2, "a b c"), (2, " ".join(w[:55])), (2, " ".join(w[:55])), (3, " ".join(other))]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == Counter([(1, 60, 0), (2, 560, 60), (2, 3, 0), (2, 55, 55), (2, 55, 55), (3, 500, 500)])
+
+
 @pytest.mark.parametrize("block", [2, 100])
 def test_decontamination(spark, docs, nothing, block):
     texts = dict(r for r in make_docs() if r[0] is not None)
