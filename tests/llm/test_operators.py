@@ -84,14 +84,38 @@ def test_bpe_and_token_counts_equal_the_libraries(text):
     memo = test_bpe_and_token_counts_equal_the_libraries.__dict__
     encode = memo.setdefault("encode", bpe.make_encoder(ranks, P.PATTERN))
     own = memo.setdefault("own", tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}))
-    packed = encode([text])[0]
-    assert np.frombuffer(packed, "<u4").tolist() == own.encode_ordinary(text)
-    assert bpe.make_decoder(ranks)(packed).decode() == text
+    (ids, counts), = encode([[text, text + " x", text]])
+    assert ids.tolist() == [*own.encode_ordinary(text), *own.encode_ordinary(text + " x"), *own.encode_ordinary(text)]
+    assert [x.decode() for x in bpe.make_decoder(ranks)(ids, counts).to_pylist()] == [text, text + " x", text]
+    assert np.frombuffer(b"".join(bpe.packed(ids, counts).to_pylist()), "<u4").tolist() == ids.tolist()
     t = memo.setdefault("t", Tokenizer.from_file(P.path("byte_bpe_50k.json")))
     count = token_counts.piece_counter(lambda b: [len(x) for x in t.encode_batch_fast(b, add_special_tokens=False)], 64, 10)
     assert count([text, text + " again", text]) == [len(t.encode(x, add_special_tokens=False).ids) for x in (text, text + " again", text)]
 
 
+@pytest.mark.parametrize("few", [0, 6, 10**6])
+def test_merge_replay_equals_the_library(few, monkeypatch):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "FEW", few)
+    memo = test_bpe_and_token_counts_equal_the_libraries.__dict__
+    ranks = memo.setdefault("ranks", bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(12)
+    words = ["".join(r.choices(letters, k=r.randrange(1, 30))) for letters in ("ab", "aeioustrnl", "eéñü漢字и", "=-_.", "0129") for _ in range(200)]
+    words = [w for w in words if re.fullmatch(r"[^\W\d_]+|[0-9]+|[=\-_.]+", w)]
+    ids, counts = bpe.make_replay(ranks)([w.encode() for w in words])
+    assert ids.tolist() == [i for w in words for i in own.encode_ordinary(w)] and counts.tolist() == [len(own.encode_ordinary(w)) for w in words]
+
+
+def test_bpe_memory_starts_anew(monkeypatch):
+    ranks = test_bpe_and_token_counts_equal_the_libraries.__dict__.setdefault("ranks", bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
+    small, large = (bpe.make_encoder(ranks, P.PATTERN, 8, m) for m in (2, 10**6))
+    for texts in (["one two", " three", ""], ["two two  four", "\n\none"], ["one  "], [], ["six one two"]):
+        (a, b), (c, d) = next(small([texts])), next(large([texts]))
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist() and len(b) == len(texts)
+
+
 def test_bpe_round_trip(docs, nothing):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     got = bpe.round_trip(docs, path, P.PATTERN)
