@@ -248,39 +248,95 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(n)} | {500: 500, 600: 500}
 
 
-def test_pitman_yor(docs, nothing):
+def test_pitman_yor(docs, nothing, monkeypatch):
+    import math
+
     rows = make_docs()
+    monkeypatch.setattr(pitman_yor, "BUCKET_CHARS", 3000)
     model = pitman_yor.fit(docs)
-    got = pitman_yor.score(docs, model, block_chars=3000).collect()
+    got = pitman_yor.score(docs, model).collect()
     tokens = [[w.encode().lower() for w in words_of(t)] + [b"\n"] for _, t in rows]
     c = Counter(w for ws in tokens for w in ws)
     n, v = sum(c.values()), len(c)
+    want = Counter((i, len(ws), len(ws), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 4)) for (i, _), ws in zip(rows, tokens, strict=True))
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want and model.n_tokens == n and model.vocabulary == v
+    assert all(r.score <= 0 for r in got) and sum(r.score for r in got) > sum(r.base_score for r in got)
+    unseen = pitman_yor.score(docs, pitman_yor.fit(nothing)).collect()
+    assert all(r.base_score == 0 and r.score == 0 and r.n_known == 0 for r in unseen) and len(unseen) == len(rows) and pitman_yor.score(nothing, model).count() == 0
+
+
+def test_pitman_yor_scores_are_those_of_its_table(spark, docs):
+    """Word by word: the pair's part, the context's part and the word's part, as dictionaries."""
     import math
 
-    want = Counter((i, len(ws), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 4)) for (i, _), ws in zip(rows, tokens, strict=True))
-    assert Counter((r.doc_id, r.n_tokens, round(r.base_score, 4)) for r in got) == want and model.n_tokens == n and model.vocabulary == v
-    assert all(r.score <= 0 and r.n_known == r.n_tokens for r in got)
-    assert sum(r.score for r in got) > sum(r.base_score for r in got)
-    whole = pitman_yor.score(docs, model).collect()
-    assert Counter((r.doc_id, round(r.score, 3)) for r in whole) == Counter((r.doc_id, round(r.score, 3)) for r in got)
-    unseen = pitman_yor.score(docs, pitman_yor.fit(nothing)).collect()
-    assert all(r.base_score == 0 and r.n_known == 0 for r in unseen) and pitman_yor.score(nothing, model).count() == 0
+    import numpy as np
+
+    held_out = [(1, "w1 w2 w1 never w2"), (2, ""), (3, "W1  w2\nw1"), (3, "W1  w2\nw1"), (4, None), (None, "never never")]
+    model = pitman_yor.fit(docs)
+    table = {r.key: r.lp + r.back for r in model.table.collect()}
+    hasher, key = pitman_yor.make_hasher(), lambda u, w: int(pitman_yor.pair_key(np.array([u], dtype=np.uint64), np.array([w], dtype=np.uint64)).view(np.int64)[0])
+
+    def brute(t):
+        ws = [int(hasher([w.encode()])[0].view(np.int64)[0]) for w in words_of(t)]
+        unsigned = lambda x: x % 2**64
+        total = table[pitman_yor.START]
+        for u, w in zip([pitman_yor.START, *ws], [*ws, pitman_yor.END]):
+            total += math.log10(model.unknown) + table.get(w, 0.0) + table.get(key(unsigned(u), unsigned(w)), 0.0)
+        return total
+
+    got = pitman_yor.score(spark.createDataFrame(held_out, SCHEMA), model).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted((str(i), round(brute(t), 6)) for i, t in held_out)
+
+
+def test_pitman_yor_predictions_sum_to_one(spark):
+    """Over the vocabulary and the unknown word, in every context."""
+    import numpy as np
+
+    r = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(12)]
+    texts = [" ".join(r.choices(vocabulary, weights=range(1, 13), k=r.randrange(0, 20))) for _ in range(60)]
+    train = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    model = pitman_yor.fit(train, samples=3)
+    table = {x.key: (x.lp, x.back) for x in model.table.collect()}
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    pair = lambda u, w: signed(pitman_yor.pair_key(np.array([u], dtype=np.uint64), np.array([w], dtype=np.uint64))[0])
+    words = [*(x for w in sorted({w for t in texts for w in t.split()}) for x in pitman_yor.make_hasher()([w.encode()])[0].tolist()), pitman_yor.END]
+    for u in [pitman_yor.START, *words[:-1]]:
+        back = 10 ** table[signed(u)][1]
+        known = [10 ** (table[signed(w)][0] + table.get(pair(u, w), (0.0, 0.0))[0]) for w in words]
+        assert 0 < back <= 1 and sum(known) * back * model.unknown + back * model.unknown == pytest.approx(1.0)
+    assert sum(pair(u, w) in table for u in words for w in words) > 30
 
 
 def test_seats_follow_the_restaurant_process():
     import numpy as np
 
     r = np.random.default_rng(3)
-    c = np.full(4000, 12)
-    t = pitman_yor.seat(c, np.full(4000, 1.5), 0.5, r)
-    slow = []
-    for _ in range(4000):
-        k = 1
-        for i in range(1, 12):
-            k += r.random() < 1.5 / (1.5 + i - 0.5 * k)
-        slow.append(k)
-    assert t.min() >= 1 and t.max() <= 12 and abs(t.mean() - np.mean(slow)) < 0.15
-    assert (pitman_yor.seat(np.array([1, 10**7]), np.array([1.0, 1.0]), 0.5, r) >= 1).all()
+    for a, d, n in ((1.5, 0.5, 12), (0.05, 0.8, 3), (20.0, 0.7, 40)):
+        t = pitman_yor.seat(np.full(6000, n), np.full(6000, a), d, r)
+        slow = []
+        for _ in range(6000):
+            k = 1
+            for i in range(1, n):
+                k += r.random() < a / (a + i - d * k)
+            slow.append(k)
+        assert t.min() >= 1 and t.max() <= n and abs(t.mean() - np.mean(slow)) < 0.05 * np.mean(slow) and abs(t.std() - np.std(slow)) < 0.1 * np.std(slow) + 0.02
+    assert pitman_yor.seat(np.array([0, 1, 10**9, 2]), np.array([1.0, 1.0, 1e-9, 1e-300]), 0.5, r).tolist()[:2] == [0, 1]
+
+
+def test_word_hashes(monkeypatch):
+    import numpy as np
+
+    from pipeweave.llm import word_hashes
+
+    texts = ["", "A b", " b\x0ba ", "x" * 70, "é É ü", "one two three " * 40, "y" * 300 + " z"]
+    whole = word_hashes.make_hasher()([t.encode() for t in texts])
+    monkeypatch.setattr(word_hashes, "BLOCK", 16)
+    parts = word_hashes.make_hasher()([t.encode() for t in texts])
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    names = [w.encode().lower() for t in texts for w in words_of(t)]
+    assert whole[1].tolist() == [k for k, t in enumerate(texts) for _ in words_of(t)] and len(dict(zip(names, whole[0].tolist()))) == len(set(whole[0].tolist())) == len(set(zip(names, whole[0].tolist())))
+    assert (whole[0] & np.uint64(1) == 1).all() and len(word_hashes.make_hasher()([])[0]) == 0
 
 
 @pytest.mark.parametrize("hot", [20_000, 1])
