@@ -24,13 +24,13 @@ from .common import worker_memory
 from .pieces import Numbers, make_cutter
 
 #: Bytes of distinct words replayed at once.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 #: Bytes of texts whose new words are learned together.
-GROUP_BYTES = 1 << 25
+GROUP_BYTES = 12_000_000
 #: Merges of one rank up to this number are applied one by one.
 FEW = 6
 #: Pieces whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
