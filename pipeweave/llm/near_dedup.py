@@ -35,6 +35,8 @@ ROWS = 4
 #: Bytes of text in a block of queries and of members in the comparison of what the stars leave apart.
 QUERY_BYTES = 500_000
 MEMBER_BYTES = 2_000_000
+#: Candidate groups left apart whose sizes may be broadcast.
+FEW_GROUPS = 10_000
 
 
 def make_sketcher(coordinates: int):
@@ -180,7 +182,7 @@ def verified(pairs: DataFrame, texts: DataFrame, *, words: int, percent: int) ->
 
 
 def _links_between(members: DataFrame, *, words: int, percent: int) -> DataFrame:
-    """Links between the components of a candidate group, without a row for each pair.
+    """Links (a, b) between components of a candidate group, by their names, without a row for each pair.
 
     ``members``: grp, id, component, t. All but the members of a group's
     largest component are its queries. Queries and members are dealt to
@@ -190,6 +192,9 @@ def _links_between(members: DataFrame, *, words: int, percent: int) -> DataFrame
     size = F.octet_length("t").cast("bigint")
     sizes = members.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(size).alias("s"))
     main = sizes.groupBy("grp").agg(F.max_by(F.struct("component", "s"), F.struct("c", "component")).alias("top"), F.sum("s").alias("g"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    main = common.table(main, "group-sizes")
+    if main.count() <= FEW_GROUPS:
+        main = F.broadcast(main)  # a checked size; beyond it the groups are joined by a shuffle
     rows = members.join(main, "grp")
     m_blocks, q_blocks = F.ceil(F.col("g") / MEMBER_BYTES).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("g") - F.col("top.s")) / QUERY_BYTES).cast("int"))
     h = F.xxhash64("id")
@@ -225,8 +230,8 @@ def _links_between(members: DataFrame, *, words: int, percent: int) -> DataFrame
                 _, j, d, y = others[k]
                 if top(c) != top(d) and similar(x, y, percent):
                     up[top(c)] = top(d)
-                    a.append(min(i, j))
-                    b.append(max(i, j))
+                    a.append(c)
+                    b.append(d)
         t = table.schema.field("id").type
         return pa.table({"a": pa.array(a, t), "b": pa.array(b, t)})
 
@@ -254,14 +259,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = common.table(verified(tried, texts, **checks), "links")
     found = common.table(components(links), "components")
 
-    # The rest: candidate groups that still hold several components, in blocks.
-    groups = components(tried).select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    held = groups.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "grp", F.coalesce("component", "id").alias("component"))
-    split = held.groupBy("grp").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("g")).where("c0 <> c1 AND g > 2").select("grp")
+    # The rest: candidate groups that still hold several components. What follows works on components, not on documents.
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    apart = (tried.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).where("a <> b"))
+    groups = components(apart).select(F.col("node").alias("component"), F.col("component").alias("grp"))
+    held = (ids.join(of("id"), "id", "left").select("id", F.coalesce("id_in", "id").alias("component")).join(groups, "component"))
+    # Two single documents that were compared need no second look.
+    split = held.groupBy("grp").agg(F.count(F.lit(1)).alias("g")).where("g > 2").select("grp")
     held = common.table(held.join(split, "grp"), "groups-apart")
     more = common.table(_links_between(held.join(texts.hint("merge"), "id"), **checks), "links")
     if not more.isEmpty():
-        found = common.table(components(links.unionByName(more)), "components")
+        joined = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        alone = joined.join(found, "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+        found = common.table(found.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(alone), "components")
 
     named = classes.select("d1", "d2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("class"))
     of_doc = linkable.join(named, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class").alias("class"))
