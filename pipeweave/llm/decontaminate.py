@@ -3,16 +3,20 @@
 Items are short and documents long, so resemblance says little; containment of
 the item in the document is searched instead. Items are partitioned by the
 size of their shingle set (powers of two). An item's sketch holds the shingles
-that are smallest under each of ``permutations`` hashes; in a document that
-contains a share c of the item each of them is found with probability c. The
-partition sets how many must be found: as many as a containment at the
-threshold misses with a probability of 1e-9 at most; partitions whose items
-have no more shingles than the sketch hold all of them, exactly. Candidates
-are verified on the full sets of words.
-
-Items are taken in blocks of ``block_items`` (a bound on what one pass holds);
-each block is one pass over the documents without a shuffle, so any number of
-items works and documents of any length and skew stay where they are.
+that are smallest under a hash; in a document that contains a share of the
+item as many of them are found as in a draw without replacement. Each
+partition has a sketch size of its own and a number of hits that a document
+must reach: the largest one that containment at the threshold misses with a
+probability of 1e-9 at most at any size of the partition. Partitions whose
+items have no more shingles than the sketch hold all of them, exactly.
+Candidates are verified on the full sets of words.
+
+Items are sketched by Spark tasks and stay in tables. One scan of the
+documents, for any number of items, keeps the shingles that a bitmap of the
+sketches' hashes lets pass (``FILTER_BITS`` bits, whatever the number of
+items: more items let more pass) and only documents that have some; these
+shingles meet the sketches in a join, and texts are shuffled only for
+candidates.
 
 Defined results: items and documents without words match nothing; an item of
 fewer words than a shingle is one shingle of its whole sequence; a null id is
@@ -22,155 +26,173 @@ the result is empty; other columns are ignored whatever their names.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .near_dedup import make_shingler
+from .word_hashes import make_hasher, shingled
 
 PERMUTATIONS = 32
 MISS = 1e-9
-BLOCK_ITEMS = 5_000
-
+#: Bits of the bitmap of sketch hashes that goes to every task: 2 MB.
+FILTER_BITS = 1 << 24
 
-def needed(size: int, permutations: int, percent: int) -> int:
-    """Sketch hits that an item of this size partition needs."""
-    from math import ceil, comb
 
-    if size <= permutations:
-        return max(1, ceil(size * percent / 100))
-    p, below = percent / 100, 0.0
-    for hits in range(permutations + 1):
-        below += comb(permutations, hits) * p**hits * (1 - p) ** (permutations - hits)
-        if below > MISS:
-            return max(1, hits)
-    return permutations
+def sketch_size(partition: int, permutations: int) -> int:
+    """Shingles in the sketch of an item with at most 2**partition shingles: longer items have longer ones."""
+    return permutations + 8 * max(0, partition - 8)
 
 
-def _sketches(items, words: int, permutations: int, percent: int):
-    """For each shingle length: hashes, their items and multiplicities, needed hits, shingle sets."""
-    import numpy as np
+@lru_cache(maxsize=None)
+def needed(partition: int, permutations: int, percent: int) -> int:
+    """Sketch hits that every item of this size partition needs."""
+    from math import ceil, comb
 
-    u = np.uint64
-    seeds = np.random.default_rng(7).integers(1, 2**63, permutations, dtype=np.uint64)[:, None] | u(1)
-    groups: dict[int, list] = {}
-    for number, (_, text) in enumerate(items):
-        tokens = (text or "").encode().lower().split()
-        if tokens:
-            groups.setdefault(min(words, len(tokens)), []).append((number, tokens))
-    out = []
-    for k, members in sorted(groups.items()):
-        shingler = make_shingler(k)
-        hashes, owner, need, sets = [], [], {}, {}
-        for number, tokens in members:
-            h = shingler(b" ".join(tokens).decode())
-            partition = 1 << (len(h) - 1).bit_length()
-            if len(h) <= permutations:
-                chosen, wanted = h, needed(len(h), permutations, percent)
-            else:
-                z = (h[None, :] ^ (h[None, :] >> u(31))) * seeds
-                z ^= z >> u(29)
-                chosen, wanted = h[(z * u(0xBF58476D1CE4E5B9)).argmin(axis=1)], needed(partition, permutations, percent)
-            hashes.append(chosen)
-            owner.append(np.full(len(chosen), number))
-            need[number] = wanted
-            sets[number] = set(zip(*(tokens[i:] for i in range(k))))
-        h, o = np.concatenate(hashes), np.concatenate(owner)
-        order = np.argsort(h, kind="stable")
-        out.append((k, h[order], o[order], need, sets))
-    return out
-
-
-def make_search(sketches, percent: int):
-    """A function text -> (item number, its shingles, shared shingles) of each contained item."""
-    import numpy as np
+    s = sketch_size(partition, permutations)
 
-    shinglers = [make_shingler(k) for k, *_ in sketches]
-
-    def search(text: str) -> list[tuple[int, int, int]]:
-        tokens, out = None, []
-        for (k, keys, owner, need, sets), shingler in zip(sketches, shinglers, strict=True):
-            h = shingler(text)
-            if not len(h):
-                continue
-            at = np.searchsorted(keys, h)
-            at[at == len(keys)] = 0
-            found = at[keys[at] == h]
-            if not len(found):
-                continue
-            hit = np.concatenate([owner[i:j] for i, j in zip(found.tolist(), np.searchsorted(keys, keys[found], "right").tolist(), strict=True)])
-            for number, hits in zip(*(x.tolist() for x in np.unique(hit, return_counts=True)), strict=True):
-                if hits < need[number]:
-                    continue
-                if tokens is None:
-                    tokens = text.encode().lower().split()
-                own = sets[number]
-                both = len(own.intersection(zip(*(tokens[i:] for i in range(k)))))
-                if 100 * both >= percent * len(own):
-                    out.append((number, len(own), both))
-        return out
+    def at(n: int) -> int:
+        k, below = ceil(n * percent / 100), 0.0
+        if n <= s:
+            return max(1, k)
+        for hits in range(s + 1):
+            below += comb(k, hits) * comb(n - k, s - hits) / comb(n, s)
+            if below > MISS:
+                return max(1, hits)
+        return s
 
-    return search
+    sizes = range((1 << partition - 1) + 1, (1 << partition) + 1) if partition else [1]
+    # A draw from few is less spread than one from many; ceilings matter less and less.
+    return min(map(at, sizes if partition <= 9 else [*sizes[:64], *sizes[-64:]]))
 
 
-def _pass(docs: DataFrame, items: list, item_type: str, doc_id: str, text: str, words: int, percent: int, permutations: int) -> DataFrame:
-    kind = docs.schema[doc_id].dataType.simpleString()
-    sketches = _sketches(items, words, permutations, percent)
-    ids = [i for i, _ in items]
+def _sketches(items: DataFrame, words: int, percent: int, permutations: int) -> DataFrame:
+    """uid, k, need, h: the sketch of each item of ``items`` (uid, text)."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        search = make_search(sketches, percent)
+        hasher, u = make_hasher(), np.uint64
         for b in batches:
-            found = [(row, *hit) for row, t in enumerate(b.column(1).to_pylist()) for hit in search(t or "")]
-            rows, numbers, sizes, shared = zip(*found, strict=True) if found else ((),) * 4
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array([ids[n] for n in numbers], pa.int64() if item_type == "bigint" else None), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())],
-                ["doc_id", "item_id", "n_item_shingles", "n_shared"])
+            h, owner = hasher([(t or "").encode() for t in b.column(1).to_pylist()])
+            counts = np.bincount(owner, minlength=b.num_rows)
+            ends = np.cumsum(counts)
+            rows, ks, needs, hashes = [], [], [], []
+            for row, (a, e) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
+                if a == e:
+                    continue
+                k = min(words, e - a)
+                own = np.unique(shingled(h[a:e], owner[a:e], k)[0])
+                partition = (len(own) - 1).bit_length()
+                chosen = own[np.argsort((own ^ (own >> u(31))) * u(0xD6E8FEB86659FD93), kind="stable")[:sketch_size(partition, permutations)]]
+                rows += [row] * len(chosen)
+                ks += [k] * len(chosen)
+                needs += [max(1, -(-len(own) * percent // 100)) if len(chosen) == len(own) else needed(partition, permutations, percent)] * len(chosen)
+                hashes.append(chosen)
+            flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=u)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(ks, pa.int32()), pa.array(needs, pa.int32()), pa.array(flat.view(np.int64))], ["uid", "k", "need", "h"])
+
+    return items.mapInArrow(run, "uid bigint, k int, need int, h bigint")
+
+
+def _bitmap(sketches: DataFrame) -> bytes:
+    """The sketch hashes modulo FILTER_BITS as bits; at most FILTER_BITS / 64 rows come to the driver."""
+    import numpy as np
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, item_id {item_type}, n_item_shingles bigint, n_shared bigint")
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    rows = sketches.selectExpr(f"cast(shiftright(h & {FILTER_BITS - 1}L, 6) as int) AS word", "shiftleft(1L, cast(h & 63L as int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return bits.tobytes()
 
 
-def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id, n_item_shingles, n_shared of every contained item."""
+def _found(docs: DataFrame, columns: list, text: str, items: DataFrame, item_columns: list, item_text: str, words: int, percent: int, permutations: int) -> DataFrame:
+    """``columns`` of the documents, ``item_columns`` of the items they contain, n_item_shingles, n_shared."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    item_type = items.schema[item_id].dataType.simpleString()
-    rows = items.select(items[item_id].alias("item_id"), items[item_text].alias("text")).toLocalIterator()
-    out, block = None, []
-
-    def add(found):
-        return found if out is None else out.unionByName(found)
-
-    for r in rows:
-        block.append((r["item_id"], r["text"]))
-        if len(block) >= block_items:
-            out, block = add(_pass(docs, block, item_type, doc_id, text, words, percent, permutations)), []
-    if block or out is None:
-        out = add(_pass(docs, block, item_type, doc_id, text, words, percent, permutations))
-    return out
-
-
-def clean_documents(docs: DataFrame, items: DataFrame, *, text: str = "text", item_text: str = "text", words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item; nothing is shuffled."""
-    common.small_batches(docs.sparkSession)
-    place, block = docs.columns.index(text), []
-    for r in items.select(items[item_text].alias("text")).toLocalIterator():
-        block.append((None, r["text"]))
-        if len(block) >= block_items:
-            docs, block = _without(docs, block, place, words, percent, permutations), []
-    return _without(docs, block, place, words, percent, permutations) if block else docs
-
-
-def _without(docs: DataFrame, items: list, place: int, words: int, percent: int, permutations: int) -> DataFrame:
-    sketches = _sketches(items, words, permutations, percent)
+    benchmark = items.select(F.monotonically_increasing_id().alias("uid"), *item_columns, items[item_text].alias("item_text"))
+    benchmark = common.table(benchmark, "items")
+    names = [c for c in benchmark.columns if c not in ("uid", "item_text")]
+    sketches = common.table(_sketches(benchmark.select("uid", "item_text"), words, percent, permutations), "sketches")
+    lengths = [r["k"] for r in sketches.select("k").distinct().collect()]  # at most ``words`` numbers
+    bitmap = _bitmap(sketches)
+    whole = docs.select(*columns, docs[text].alias("text"))
+    place = len(whole.columns) - 1
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-    def run(batches):
+        hasher, u = make_hasher(), np.uint64
+        bits, mask = np.frombuffer(bitmap, dtype=u), u(FILTER_BITS - 1)
+        number = TaskContext.get().partitionId() << 33
+        for b in batches:
+            h, owner = hasher([(t or "").encode() for t in b.column(place).to_pylist()])
+            keys, rows = [], []
+            for k in lengths:
+                z, o = shingled(h, owner, k)
+                at = z & mask
+                ok = (bits[(at >> u(6)).astype(np.int64)] >> (at & u(63))) & u(1) > 0
+                keys.append(z[ok])
+                rows.append(o[ok])
+            key, row = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, rows))
+            order = np.lexsort((key, row))
+            key, row = key[order].astype(np.uint64, copy=False), row[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, dtype=bool)
+            key, row = key[new], row[new]
+            there, count = np.unique(row, return_counts=True)
+            ids = np.arange(number, number + len(there))
+            number += len(there)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(key.view(np.int64)))
+            taken = [c.take(pa.array(there.astype(np.int64))) for c in b.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists, *taken], ["doc_uid", "keys", *b.schema.names])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema)
+    # Written before it is read twice, so the numbers of its rows stay.
+    hits = common.table(whole.mapInArrow(scan, f"doc_uid bigint, keys array<bigint>, {fields}"), "hits")
+    met = hits.select("doc_uid", F.explode("keys").alias("h")).join(sketches.select("h", "uid", "need"), "h")
+    candidates = met.groupBy("doc_uid", "uid").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need")).where("hits >= need").select("doc_uid", "uid")
+    pairs = candidates.join(benchmark, "uid").join(hits.drop("keys"), "doc_uid")
+    own = whole.columns[:-1]
+
+    def verify(batches):
         import pyarrow as pa
 
-        search = make_search(sketches, percent)
+        last, tokens = object(), []
         for b in batches:
-            yield b.filter(pa.array([not search(t or "") for t in b.column(place).to_pylist()], pa.bool_()))
+            keep, sizes, shared = [], [], []
+            for row, (item, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if t != last:
+                    last, tokens = t, t.encode().lower().split()
+                q = item.encode().lower().split()
+                k = min(words, len(q))
+                mine = set(zip(*(q[i:] for i in range(k))))
+                both = len(mine.intersection(zip(*(tokens[i:] for i in range(k)))))
+                if 100 * both >= percent * len(mine):
+                    keep.append(row)
+                    sizes.append(len(mine))
+                    shared.append(both)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[2:]), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], [*b.schema.names[2:], "n_item_shingles", "n_shared"])
+
+    out = pairs.select("item_text", "text", *own, *names)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[2:])
+    return out.mapInArrow(verify, f"{fields}, n_item_shingles bigint, n_shared bigint")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS) -> DataFrame:
+    """doc_id, item_id, n_item_shingles, n_shared of every contained item."""
+    return _found(docs, [docs[doc_id].alias("doc_id")], text, items, [items[item_id].alias("item_id")], item_text, words, percent, permutations)
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, *, text: str = "text", item_text: str = "text", words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no item.
 
-    return docs.mapInArrow(run, docs.schema)
+    What a row contains is told by its text, so texts that contain an item are named by 96 bits and left out.
+    """
+    name = lambda c: [F.xxhash64(c).alias("leak_1"), F.hash(c).alias("leak_2")]
+    leaks = common.table(_found(docs, name(docs[text]), text, items, [], item_text, words, percent, permutations).select("leak_1", "leak_2").distinct(), "leaks")
+    one, two = name(docs[text])
+    return docs.join(leaks, (one == leaks["leak_1"]) & (two == leaks["leak_2"]), "left_anti")

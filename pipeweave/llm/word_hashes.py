@@ -93,3 +93,24 @@ def make_hasher():
         return np.concatenate(hashes), np.concatenate(owners)
 
     return run
+
+
+def shingled(hashes, owners, k: int):
+    """(hash, text) of every run of ``k`` words of one text; ``k`` is part of the hash."""
+    import numpy as np
+
+    u = np.uint64
+    n = len(hashes) - k + 1
+    if n < 1:
+        return hashes[:0], owners[:0]
+    z = np.full(n, k, dtype=u)
+    for i in range(k):
+        z *= u(0x9E3779B97F4A7C15)
+        z += hashes[i:n + i]
+        z ^= z >> u(32)
+    z *= u(0xBF58476D1CE4E5B9)
+    z ^= z >> u(29)
+    z *= u(0x94D049BB133111EB)
+    z ^= z >> u(32)
+    same = owners[:n] == owners[k - 1:]
+    return z[same], owners[:n][same]

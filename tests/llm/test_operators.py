@@ -366,8 +366,9 @@ def test_substring_dedup_of_rows_that_share_an_id(spark):
     assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == Counter([(1, 60, 0), (2, 560, 60), (2, 3, 0), (2, 55, 55), (2, 55, 55), (3, 500, 500)])
 
 
-@pytest.mark.parametrize("block", [2, 100])
-def test_decontamination(spark, docs, nothing, block):
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_decontamination(spark, docs, nothing, bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
     texts = dict(r for r in make_docs() if r[0] is not None)
     items = [(1, " ".join(texts[3].split()[20:60])), (2, "one"), (3, None), (4, " ".join(texts[9].upper().split()[:30]) + " other words come at the end"), (5, "no such words at all in them"), (6, "")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -380,13 +381,37 @@ def test_decontamination(spark, docs, nothing, block):
             own = set(zip(*(q[j:] for j in range(k)))) if q else set()
             if own and 100 * len(own & set(zip(*(w[j:] for j in range(k))))) >= 80 * len(own):
                 want.add((i, n))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, bench, block_items=block).collect() if r.doc_id is not None}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, bench).collect() if r.doc_id is not None}
     assert got == want and want
-    clean = decontaminate.clean_documents(docs, bench, block_items=block)
+    clean = decontaminate.clean_documents(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} - {None} == set(texts) - {i for i, _ in want}
     assert decontaminate.contained_items(nothing, bench).count() == 0 and decontaminate.clean_documents(docs, bench.where("false")).count() == docs.count()
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "bigint", "double", "date"])
+def test_decontamination_item_ids_of_any_type(spark, kind):
+    import datetime
+
+    ids = {"string": ["a", "b", None], "date": [datetime.date(2020, 1, 1), datetime.date(2020, 1, 2), None], "double": [1.0, 2.0, None]}.get(kind, [1, 2, None])
+    items = spark.createDataFrame(list(zip(ids, ["a b c d e f", "one two", "a b c d e f"])), f"item_id {kind}, text string")
+    found = decontaminate.contained_items(spark.createDataFrame([(1, "x a b c d e f y"), (1, "x a b c d e f y"), (2, "no hit")], SCHEMA), items)
+    assert Counter((r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in found.collect()) == {(1, ids[0], 2, 2): 2, (1, None, 2, 2): 2}
+    none = decontaminate.contained_items(spark.createDataFrame([(2, "no hit")], SCHEMA), items)
+    assert none.count() == 0 and none.schema["item_id"].dataType.simpleString() == kind
+
+
+def test_sketch_thresholds_follow_the_partition():
+    from math import comb
+
+    assert [decontaminate.needed(p, 32, 80) for p in range(6)] == [1, 2, 3, 4, 8, 14]
+    chosen = [decontaminate.needed(p, 32, 80) / decontaminate.sketch_size(p, 32) for p in range(6, 14)]
+    assert all(0.2 < x < 0.8 for x in chosen)
+    for n in (70, 100, 128, 300, 512):
+        p = (n - 1).bit_length()
+        s, k, need = decontaminate.sketch_size(p, 32), -(-n * 80 // 100), decontaminate.needed(p, 32, 80)
+        assert sum(comb(k, h) * comb(n - k, s - h) for h in range(need)) / comb(n, s) <= decontaminate.MISS
+
+
 HARD = ["mail a.b@c.de, x@y.z_w@q.rs and @no or a@b", "1.2.3.4.5.6.7.8 256.1.1.1 01.02.003.255", "at 10.0.0.1 and 127.0.0.1 x 8.8.8.8", "0.0.0.0 000.00.0.0 0256.0.0.1 10.0.0.256", "4111 1111 1111 1111 and 4111-1111-1111-1112 5", "+1 (373) 555-5176 +12 +1 2 3", "é😀 +49 30 1234567 x@ä.de ü 1.1.1.1", "password=6eaa3019d54b407dfe token = \"0641917ea4e9feb9cda83477b57ac2654884f485\"",
         "1 " * 9000, "a" * 60000, "a.b." * 9000 + "@c.d", "+" * 500 + "1 2 3 4 5 6 7 8", "9" * 5000, "", None, "ends with 4111111111111111"]
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
