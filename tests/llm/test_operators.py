@@ -144,10 +144,47 @@ def test_quality(spark, docs, nothing):
         c = Counter(zip(w, w[1:], w[2:]))
         cover = {i + d for i, g in enumerate(zip(w, w[1:], w[2:])) if c[g] > 1 for d in range(3)}
         assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(cover))
+        t = dict(make_docs())[r.doc_id] or ""
+        lines = [x for x in t.split("\n") if words_of(x)]
+        assert (r.n_symbols, r.n_dup_lines) == (sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)))
         assert r.base_failed == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and r.kept != r.base_failed
     assert quality.fit(nothing, labels) is None and quality.judge(nothing, model).count() == 0
 
 
+def test_symbols_and_repeated_lines(spark):
+    rows = [(1, "a # b\n|x|\n a # b\na # b\n\n \n \na # b"), (2, "<<>>%&$*"), (3, "x\r\nx\r\nx"), (4, "\n\n\n"), (5, None)]
+    got = {r.doc_id: (r.n_symbols, r.n_dup_lines, r.n_words, r.word_chars) for r in quality.judge(spark.createDataFrame(rows, SCHEMA), None).collect()}
+    assert got == {1: (6, 2, 13, 15), 2: (8, 0, 1, 8), 3: (0, 1, 3, 3), 4: (0, 0, 0, 0), 5: (0, 0, 0, 0)}
+
+
+def test_navigation_lines_are_boilerplate_inside_a_good_document(spark):
+    r = random.Random(7)
+    menu = ["home", "next page", "about us", "log in", "share", "contact"]
+
+    def paragraph():
+        return " ".join(r.choices(WORDS, k=r.randrange(25, 40))) + "."
+
+    def page():
+        return "\n".join([*r.sample(menu, 2), paragraph(), r.choice(menu), paragraph(), r.choice(menu)])
+
+    def junk():
+        return "\n".join(" ".join(w + "$$$" for w in r.choices(WORDS, k=20)) for _ in range(5))
+
+    rows = [(i, junk() if i % 4 == 0 else page()) for i in range(120)]
+    model = quality.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(120)], "doc_id bigint, quality int"))
+    new = [(1, "\n".join(["home", paragraph(), "next page", paragraph(), "log in"])), (2, junk())]
+    one, two = quality.judge(spark.createDataFrame(new, SCHEMA), model).orderBy("doc_id").collect()
+    assert one.n_content_lines == 2 and 0 < one.content_share < 1 and one.kept
+    assert two.content_share < 0.2 and not two.kept
+
+
+def test_open_labels_leave_the_field_free():
+    """With one line told and its neighbour open, the pair of states must follow the other sequences."""
+    emission, start, move = quality.fit_crf([[16, 16], [2, 2], [16, 2], [2, 16]], [[1, quality.OPEN], [0, quality.OPEN], [1, 0], [0, 1]], [1.0] * 4)
+    decode = quality.make_decoder(emission, start, move)
+    assert [decode(x) for x in ([16, 16], [2, 2], [16, 2], [2, 16])] == [[1, 1], [0, 0], [1, 0], [0, 1]]
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
