@@ -157,10 +157,12 @@ class LineRuns:
 
 
 def _ranges(docs: DataFrame, doc_id: str, batches: int) -> list:
-    """Conditions that split the rows into batches by ranges of the id."""
+    """Conditions that split the rows into batches: by ranges of a number, by a hash of any other id."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    if batches < 2 or kind not in ("bigint", "int", "smallint", "double", "float"):
+    if batches < 2:
         return [F.lit(True)]
+    if kind not in ("bigint", "int", "smallint", "double", "float"):
+        return [F.pmod(F.xxhash64(docs[doc_id]), F.lit(batches)) == k for k in range(batches)]
     low, high = docs.agg(F.min(doc_id), F.max(doc_id)).first()
     if low is None or low == high:
         return [F.lit(True)]

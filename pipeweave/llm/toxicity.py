@@ -31,7 +31,6 @@ from . import common
 from .common import worker_memory
 
 MAX_LABELLED = 20_000
-MAX_TERMS = 4_000
 #: Distinct contexts that a term needs in toxic rows, and how much likelier they must be there.
 MIN_CONTEXTS = 4
 MIN_RATIO = 8.0
@@ -190,7 +189,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     return rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["label_id"]).select("text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train=None, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", train=None, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn terms and weights. ``train``: from a column name to a condition on training rows."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -225,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     clean = tally(0).groupBy("word").agg(F.count(F.lit(1)).alias("q"))
     both = toxic.join(clean, "word", "left").fillna(0, ["q"])
     ratio = (F.col("p") / pos) / ((F.col("q") + 0.5) / neg)
-    found = both.withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc(F.col("ratio") * F.log("p")), "word").limit(max_terms).collect()
+    found = both.withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy("word").collect()  # words of at most max_labelled rows
     terms = {r["word"]: min(6.0, math.log(r["ratio"])) for r in found}
 
     def figures(batches):

@@ -62,6 +62,15 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)", "date"])
+def test_line_dedup_of_ids_that_are_no_numbers(spark, docs, kind):
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    as_kind = F.date_add(F.lit("2020-01-01"), F.col("doc_id").cast("int")) if kind == "date" else F.lpad(F.col("doc_id").cast("string"), 4, "0").cast(kind)
+    found = line_dedup.dedup_lines(own.withColumn("doc_id", as_kind))
+    assert found.schema["doc_id"].dataType.simpleString() == kind
+    assert Counter((r.text, r.n_lines, r.n_dropped) for r in found.collect()) == Counter((r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(own).collect())
+
+
 def test_line_runs_keep_each_key_once(spark):
     index = line_dedup.LineRuns(spark, buckets=2)
     for k in range(4):
@@ -206,6 +215,24 @@ def test_automaton_finds_one_edit():
     assert match("scums") is None and match("scu") is None and match("") is None and match("hello") is None
 
 
+def test_automaton_equals_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abc", k=r.randrange(1, 9)))
+    terms = sorted({word() for _ in range(40)})
+    match = toxicity.make_matcher(dict.fromkeys(terms, 1.0))
+    for w in [*terms, *(word() for _ in range(3000))]:
+        near = sorted((d, t) for t in terms if (d := distance(w, t)) <= (1 if len(t) >= 5 else 0))
+        assert match(w) == ((near[0][1], near[0][0]) if near else None)
+
+
 def test_quoted_terms_are_told_apart():
     figures = toxicity.make_features({"idiot": 3.0})
     assert figures("you idiot go away")[0] > 0 and figures("he said the word idiot there")[2] > 0 and figures("he said the word idiot there")[0] == 0
