@@ -317,7 +317,7 @@ def test_pitman_yor(docs, nothing, monkeypatch):
     import math
 
     rows = make_docs()
-    monkeypatch.setattr(pitman_yor, "BUCKET_CHARS", 3000)
+    [monkeypatch.setattr(pitman_yor, c, 3000) for c in ("BUCKET_CHARS", "SCORE_CHARS", "BLOCK_TOKENS")]
     model = pitman_yor.fit(docs)
     got = pitman_yor.score(docs, model).collect()
     tokens = [[w.encode().lower() for w in words_of(t)] + [b"\n"] for _, t in rows]
@@ -516,3 +516,12 @@ def test_personal_data_redaction(spark):
 def test_digests_are_plain(docs):
     r = docs.where("doc_id = 61").select(F.sha2(F.col("text").cast("binary"), 256).alias("d")).first()
     assert r.d == hashlib.sha256(b"one").hexdigest()
+
+
+def test_messages_keep_large_counts():
+    import numpy as np
+
+    key, texts, at, n = np.array([1, 3, 2**48 - 1], dtype=np.uint64), np.array([2, 1, 1]), np.array([0, 65000, 7, 7]), np.array([1, 255, 256, 1000])
+    k, t, a, c = pitman_yor.unpack_message(pitman_yor.pack_message(key, texts, at, n))
+    assert k.tolist() == key.tolist() and t.tolist() == [2, 2, 4] and np.bincount(np.repeat([0, 1, 2], t), weights=c).tolist() == [256, 256, 1000]
+    assert a.tolist() == [0, 65000, 7, 7, 7, 7, 7, 7]
