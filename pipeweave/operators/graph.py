@@ -11,13 +11,22 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
+#: Steps after which a way is looked at for a cycle.
+CHECKED = 64
+
 
 def closure(links: DataFrame) -> DataFrame:
-    """node, link, step: every link on the way from each node to its root (link: by its child)."""
+    """node, link, step: every link on the way from each node to its root (link: by its child).
+
+    Its rows are nodes x depth, so it serves only where the ways themselves are
+    asked for; see ``gathered``. A way of more than ``CHECKED`` steps is looked at for a cycle, which is refused.
+    """
     up = links.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
     front = table(up.select(F.col("_c").alias("node"), F.col("_c").alias("link"), F.col("_p").alias("top"), F.lit(0).alias("step")), "front")
     parts = [front]
     while not front.isEmpty():
+        if len(parts) == CHECKED:
+            refuse_cycles(links)
         front = table(front.join(up, front["top"] == up["_c"]).select("node", F.col("_c").alias("link"), F.col("_p").alias("top"), (F.col("step") + 1).alias("step")), "front")
         parts.append(front)
     out = parts[0]
@@ -26,10 +35,41 @@ def closure(links: DataFrame) -> DataFrame:
     return out.select("node", "link", "step")
 
 
-def downstream(paths: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
-    """link, total, n: the sum over all nodes whose way passes the link, and their number."""
-    held = nodes.select(F.col("id").alias("node"), value)
-    return paths.join(held, "node").groupBy("link").agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+def refuse_cycles(links: DataFrame) -> None:
+    """Raise if some way never ends: pointers that double each round and are still on a way after as many steps as there are links."""
+    at = table(links.select("child", F.col("parent").alias("top")), "tops")
+    n, steps = at.count(), 1
+    while steps <= n:
+        far = at.select(F.col("child").alias("top"), F.col("top").alias("far"))
+        at = table(at.join(far, "top").select("child", F.col("far").alias("top")), "tops")
+        if at.isEmpty():
+            return
+        steps *= 2
+    raise ValueError(f"links form a cycle, for one above {at.first()['child']}")
+
+
+def gathered(links: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
+    """link, total, n, most: sum, number and maximum over all nodes whose way to the root passes the link (nodes: id, value).
+
+    Pointers double each round: what a link has gathered over fewer than 2^k
+    steps goes to the link 2^k steps nearer the root, so there are as many
+    rounds as the logarithm of the depth, each of one row for a link.
+    """
+    held = nodes.select(F.col("id").alias("child"), F.col(value).alias("_v"))
+    at = links.select("child", F.col("parent").alias("top")).join(held, "child", "left").select("child", "top", F.coalesce("_v", F.lit(0)).alias("total"), F.col("_v").isNotNull().cast("bigint").alias("n"), F.col("_v").alias("most"))
+    at = table(at, "gathered")
+    rows, steps = at.count(), 1
+    while True:
+        sent = at.groupBy(F.col("top").alias("child")).agg(F.sum("total").alias("_t"), F.sum("n").alias("_n"), F.max("most").alias("_m"))
+        far = at.select(F.col("child").alias("top"), F.col("top").alias("far"))
+        after = (at.join(sent, "child", "left").join(far, "top", "left")
+                 .select("child", F.col("far").alias("top"), (F.col("total") + F.coalesce("_t", F.lit(0))).alias("total"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("most", "_m").alias("most")))
+        at = table(after, "gathered")
+        steps *= 2
+        if at.where("top IS NOT NULL").isEmpty():
+            return at.where("n > 0").select(F.col("child").alias("link"), "total", "n", "most")
+        if steps > 2 * rows:
+            raise ValueError("links form a cycle")
 
 
 def depths(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -38,6 +78,8 @@ def depths(links: DataFrame, roots: DataFrame) -> DataFrame:
     front = table(roots.select("id", F.lit(0).alias("depth")), "level")
     parts = [front]
     while not front.isEmpty():
+        if len(parts) == CHECKED:
+            refuse_cycles(links)
         front = table(front.join(down, front["id"] == down["_p"]).select(F.col("_c").alias("id"), (F.col("depth") + 1).alias("depth")), "level")
         parts.append(front)
     out = parts[0]
@@ -70,9 +112,9 @@ def runs(paths: DataFrame, links: DataFrame) -> DataFrame:
     return walk.withColumn("run_mm", F.sum("length_mm").over(Window.partitionBy("node", "_run").orderBy("step"))).drop("_new", "_run")
 
 
-def monotone(paths: DataFrame, links: DataFrame) -> DataFrame:
-    """link, du: a link is at least as wide as every link below it."""
-    return paths.join(links.select(F.col("child").alias("node"), "du"), "node").groupBy("link").agg(F.max("du").alias("du"))
+def monotone(links: DataFrame) -> DataFrame:
+    """link, du: a link is at least as wide as every link that flows into it."""
+    return gathered(links, links.select(F.col("child").alias("id"), "du"), "du").select("link", F.col("most").alias("du"))
 
 
 def chains(links: DataFrame, breaks: DataFrame) -> DataFrame:

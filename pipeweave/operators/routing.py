@@ -155,12 +155,9 @@ def plan_scenes(features: DataFrame, strategies: list[tuple] | None = None) -> D
         roots = [(int(r.id), r.x, r.y, int(r.degree), kind == "tie_in") for kind in ("root", "tie_in") for r in pick(kind).itertuples()]
         boxes, buildings = ([(r.x, r.y, r.x1, r.y1) for r in pick(kind).itertuples()] for kind in ("box", "building"))
         parent, route, lost = build(consumers, roots, boxes, strategy, buildings)
-        children: dict = {}
-        for c, p in parent.items():
-            children.setdefault(p, []).append(c)
         length = {c: int(v[0] * 1000 + 0.5) for c, v in route.items()}
         own = {c[0]: c[3] for c in consumers if c[0] in parent}
-        flow, du, _ = solve(children, parent, own, length, sorted(own))
+        flow, du, _ = solve(parent, own, length)
         rows = [(scene, name, c, parent[c], length[c], flow[c], du.get(c), int(length[c] / 1000 * price[du[c]] + 0.5) if c in du else None, route[c][1], True) for c in sorted(parent)]
         rows += [(scene, name, c, None, None, next(x[3] for x in consumers if x[0] == c), None, None, None, False) for c in sorted(lost)]
         kinds = {"parent": "Int64", "length_mm": "Int64", "flow_dt": "Int64", "du": "Int32", "cost": "Int64", "vertices": "Int32"}

@@ -301,19 +301,10 @@ def crossed_totals(s):
     return s.pieces.select(F.explode(hit).alias("crossed_type")).groupBy("crossed_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j18_chain_objects", "links", "restrictions", oracle="""SELECT l.child, count(*)::BIGINT AS objects FROM links l JOIN restrictions r ON r.restriction_type = 'gas_pipeline' AND least(l.ax, l.bx) - 15 <= r.xmax AND greatest(l.ax, l.bx) + 15 >= r.xmin AND least(l.ay, l.by_) - 15 <= r.ymax AND greatest(l.ay, l.by_) + 15 >= r.ymin WHERE l.length_mm < 300000 GROUP BY l.child""")
+@query("j18_chain_objects", "links", "restrictions", oracle="""SELECT l.child, count(*)::BIGINT AS objects FROM links l JOIN restrictions r ON r.restriction_type = 'gas_pipeline' AND least(l.ax, l.bx) - 15 <= r.xmax AND greatest(l.ax, l.bx) + 15 >= r.xmin AND least(l.ay, l.by_) - 15 <= r.ymax AND greatest(l.ay, l.by_) + 15 >= r.ymin GROUP BY l.child""")
 def chain_objects(s):
-    """Objects whose box lies within 15 m of a short link's box, as its SQL has it."""
-    return objects_near(s, s.links.where("length_mm < 300000"))
-
-
-@query("j18_all_chain_objects")
-def all_chain_objects(s):
-    """Objects whose box lies within 15 m of a link's box, whatever its length."""
-    return objects_near(s, s.links)
-
-
-def objects_near(s, lines):
+    """Objects whose box lies within 15 m of a link's box."""
+    lines = s.links
     boxed = spatial.dealt(lines, F.least("ax", "bx"), F.least("ay", "by_"), F.greatest("ax", "bx"), F.greatest("ay", "by_"), 100.0, 15.0)
     gas = spatial.dealt(s.restrictions.where("restriction_type = 'gas_pipeline'"), "xmin", "ymin", "xmax", "ymax", 100.0)
     x0, y0, x1, y1 = F.least("ax", "bx") - 15, F.least("ay", "by_") - 15, F.greatest("ax", "bx") + 15, F.greatest("ay", "by_") + 15

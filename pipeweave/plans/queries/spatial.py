@@ -65,21 +65,12 @@ def inside_forbidden(s):
 
 
 @query("p08_blocked_segments", "links", "restrictions", oracle="""WITH near AS (SELECT l.child, l.ax, l.ay, l.bx - l.ax AS dx, l.by_ - l.ay AS dy, r.xmin, r.ymin, r.xmax, r.ymax FROM links l JOIN restrictions r ON r.restriction_type = 'water'
-   AND least(l.ax, l.bx) <= r.xmax AND greatest(l.ax, l.bx) >= r.xmin AND least(l.ay, l.by_) <= r.ymax AND greatest(l.ay, l.by_) >= r.ymin WHERE l.child % 20 = 0),
+   AND least(l.ax, l.bx) <= r.xmax AND greatest(l.ax, l.bx) >= r.xmin AND least(l.ay, l.by_) <= r.ymax AND greatest(l.ay, l.by_) >= r.ymin),
   t AS (SELECT child, greatest(0, CASE WHEN dx <> 0 THEN least((xmin-ax)/dx, (xmax-ax)/dx) ELSE 0 END, CASE WHEN dy <> 0 THEN least((ymin-ay)/dy, (ymax-ay)/dy) ELSE 0 END) AS lo, least(1, CASE WHEN dx <> 0 THEN greatest((xmin-ax)/dx, (xmax-ax)/dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((ymin-ay)/dy, (ymax-ay)/dy) ELSE 1 END) AS hi FROM near)
   SELECT child, count(*)::BIGINT AS n FROM t WHERE lo <= hi GROUP BY child""")
 def blocked(s):
-    """Links of every twentieth consumer, as its SQL has it, against all water boxes."""
-    return blocked_by_water(s, s.links.where("child % 20 = 0"))
-
-
-@query("p08_all_blocked_segments")
-def all_blocked(s):
     """Every link against all water boxes."""
-    return blocked_by_water(s, s.links)
-
-
-def blocked_by_water(s, lines):
+    lines = s.links
     boxed = spatial.dealt(lines, F.least("ax", "bx"), F.least("ay", "by_"), F.greatest("ax", "bx"), F.greatest("ay", "by_"), 250.0)
     water = spatial.dealt(s.restrictions.where("restriction_type = 'water'"), "xmin", "ymin", "xmax", "ymax", 250.0)
     cell = lambda c: F.floor(c / 250.0)
@@ -88,21 +79,12 @@ def blocked_by_water(s, lines):
     return boxed.join(water, ["cx", "cy"]).where(once & hit).groupBy("child").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j17_segment_crossings", "vertices", oracle="""WITH e AS (SELECT id * 10 + k AS k, px AS ax, py AS ay, x AS bx, y AS by_ FROM (SELECT id, k, x, y, lag(x) OVER (PARTITION BY id ORDER BY k) AS px, lag(y) OVER (PARTITION BY id ORDER BY k) AS py FROM vertices) v WHERE px IS NOT NULL AND id % 15 = 0)
+@query("j17_segment_crossings", "vertices", oracle="""WITH e AS (SELECT id * 10 + k AS k, px AS ax, py AS ay, x AS bx, y AS by_ FROM (SELECT id, k, x, y, lag(x) OVER (PARTITION BY id ORDER BY k) AS px, lag(y) OVER (PARTITION BY id ORDER BY k) AS py FROM vertices) v WHERE px IS NOT NULL)
   SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.k < b.k WHERE ((a.bx-a.ax)*(b.ay-a.ay)-(a.by_-a.ay)*(b.ax-a.ax)) * ((a.bx-a.ax)*(b.by_-a.ay)-(a.by_-a.ay)*(b.bx-a.ax)) < 0
    AND ((b.bx-b.ax)*(a.ay-b.ay)-(b.by_-b.ay)*(a.ax-b.ax)) * ((b.bx-b.ax)*(a.by_-b.ay)-(b.by_-b.ay)*(a.bx-b.ax)) < 0""")
 def segment_crossings(s):
-    """Lines of every fifteenth consumer, as its SQL has it, among themselves."""
-    return crossings_of(s.vertices.where("id % 15 = 0"))
-
-
-@query("j17_all_segment_crossings")
-def all_segment_crossings(s):
     """Every line with every other."""
-    return crossings_of(s.vertices)
-
-
-def crossings_of(vertices):
+    vertices = s.vertices
     from pyspark.sql import Window
 
     w = Window.partitionBy("id").orderBy("k")

@@ -18,12 +18,12 @@ def paths(s):
 @query("a01_downstream_flow", "links", recursive=True, oracle=PATHS + "SELECT p.link, sum(l.flow_dt)::BIGINT AS flow_dt, count(*)::BIGINT AS consumers FROM paths p JOIN links l ON l.child = p.node GROUP BY p.link")
 def downstream(s):
     held = s.links.select(F.col("child").alias("id"), "flow_dt")
-    return graph.downstream(graph.closure(s.links), held, "flow_dt").select("link", F.col("total").alias("flow_dt"), F.col("n").alias("consumers"))
+    return graph.gathered(s.links, held, "flow_dt").select("link", F.col("total").alias("flow_dt"), F.col("n").alias("consumers"))
 
 
 @query("a08_shared_length", "links", recursive=True, oracle=PATHS + "SELECT count(*)::BIGINT AS shared_links, sum(length_mm)::BIGINT AS shared_mm FROM (SELECT p.link FROM paths p GROUP BY p.link HAVING count(*) >= 2) x JOIN links l ON l.child = x.link")
 def shared(s):
-    many = graph.closure(s.links).groupBy("link").count().where("count >= 2").select(F.col("link").alias("child"))
+    many = graph.gathered(s.links, s.links.select(F.col("child").alias("id"), "flow_dt"), "flow_dt").where("n >= 2").select(F.col("link").alias("child"))
     return s.links.join(many, "child").agg(F.count(F.lit(1)).alias("shared_links"), F.sum("length_mm").alias("shared_mm"))
 
 
@@ -51,10 +51,14 @@ def forest_test(s):
     return nodes.join(edges, "component").withColumn("tree", F.col("edges") == F.col("nodes") - 1)
 
 
-@query("g09_chains", "links", recursive=True, oracle="""WITH kept AS (SELECT * FROM links WHERE child % 2 = 1), degree AS (SELECT parent, count(*) AS n FROM kept GROUP BY parent), up AS (SELECT k.child, k.parent FROM kept k JOIN degree d USING (parent) WHERE d.n = 1 AND k.parent IN (SELECT child FROM kept)),
+ROWS = "kept AS (SELECT id AS child, CASE WHEN id % 7 = 0 THEN CAST(floor(id / 14) AS BIGINT) ELSE id - 1 END AS parent FROM consumers WHERE id > 0)"
+
+
+@query("g09_chains", "consumers", recursive=True, oracle=f"""WITH {ROWS}, degree AS (SELECT parent, count(*) AS n FROM kept GROUP BY parent), up AS (SELECT k.child, k.parent FROM kept k JOIN degree d USING (parent) WHERE d.n = 1 AND k.parent IN (SELECT child FROM kept)),
   walk AS (SELECT child, child AS here FROM kept UNION ALL SELECT w.child, u.parent FROM walk w JOIN up u ON u.child = w.here) SELECT child, min(here)::BIGINT AS chain FROM walk GROUP BY child""")
 def chains(s):
-    links = s.links.where("child % 2 = 1")
+    """All consumers in rows of seven, each row hung on another."""
+    links = s.consumers.where("id > 0").select(F.col("id").alias("child"), F.expr("CASE WHEN id % 7 = 0 THEN CAST(floor(id / 14) AS BIGINT) ELSE id - 1 END").alias("parent"))
     return graph.chains(links, links.where("false").select(F.col("child").alias("id")))
 
 
@@ -64,7 +68,7 @@ SIZED = "sized AS (SELECT l.child, l.parent, l.length_mm, min(d.du) AS du FROM l
 @query("g13_monotone_diameter", "links", "du_table", recursive=True, oracle=PATHS.replace("WITH ", "WITH " + SIZED) + "SELECT p.link, max(s.du)::INT AS du FROM paths p JOIN sized s ON s.child = p.node GROUP BY p.link")
 def monotone(s):
     sized = s.links.withColumn("du", lookups.du_by_flow(F.col("flow_dt")))
-    return graph.monotone(graph.closure(s.links), sized)
+    return graph.monotone(sized)
 
 
 @query("w03_run_length", "links", "du_table", recursive=True, oracle=PATHS.replace("WITH ", "WITH " + SIZED) + """, walk AS (SELECT p.node, p.link, p.step, s.du, s.length_mm, CASE WHEN lag(s.du) OVER (PARTITION BY p.node ORDER BY p.step) = s.du THEN 0 ELSE 1 END AS fresh FROM paths p JOIN sized s ON s.child = p.link),

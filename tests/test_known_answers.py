@@ -1,11 +1,14 @@
 """Known answers of formulas, hydraulics and profiles."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pipeweave.functions import engineering as E
 from pipeweave.functions import geometry as G
 from pipeweave.operators import depth, graph, hydraulics, lookups, ranking, routing
+from pipeweave.plans import rules
 
 
 @pytest.mark.parametrize(("lon", "lat", "x", "y"), [(37.6, 55.75, 412125.4591875144, 6179143.32361831), (37.6262685, 55.690915329577294, 413643.866390186, 6172535.3570095375), (39.0, 56.0, 500000.0, 6206079.587252156)])
@@ -29,11 +32,7 @@ def test_exact_rounding(spark):
 
 
 def solve(links, own):
-    parent = {c: p for c, p, _ in links}
-    children = {}
-    for c, p, _ in links:
-        children.setdefault(p, []).append(c)
-    return hydraulics.solve(children, parent, own, {c: n for c, _, n in links}, sorted(own))
+    return hydraulics.solve({c: p for c, p, _ in links}, own, {c: n for c, _, n in links})
 
 
 def test_hydraulics():
@@ -45,6 +44,88 @@ def test_hydraulics():
     assert solve([(1, 0, 12_000_000)], {1: 40})[2] is False
 
 
+def by_links(links, own):
+    """The rule link by link: raise what it says until nothing is said."""
+    table = rules.DU_ROWS
+    parent, length = {c: p for c, p, _ in links}, {c: n for c, _, n in links}
+    below = {c: [d for d in parent if parent[d] == c] for c in parent}
+
+    def way(c):
+        return [c, *(way(parent[c]) if parent[c] in parent else [])]
+
+    flow = {c: sum(q for leaf, q in own.items() if c in way(leaf)) for c in parent}
+    level = {c: next(i for i, row in enumerate(table) if flow[c] <= row[1]) for c in parent}
+
+    def part(c):
+        found, todo = set(), [c]
+        while todo:
+            x = todo.pop()
+            if x in found:
+                continue
+            found.add(x)
+            if len(below[x]) == 1 and flow[below[x][0]] == flow[x]:
+                todo.append(below[x][0])
+            if parent[x] in parent and len(below[parent[x]]) == 1 and flow[parent[x]] == flow[x]:
+                todo.append(parent[x])
+        return found
+
+    def lift(c, to):
+        for x in part(c):
+            level[x] = max(level[x], to)
+
+    while True:
+        before = dict(level)
+        for c in sorted(parent, key=lambda c: -len(way(c))):
+            lift(c, max([level[c], *(level[d] for d in below[c])]))
+        for leaf in sorted(own):
+            run, last = 0, None
+            for c in way(leaf):
+                run, last = (run if level[c] == last else 0) + length[c], level[c]
+                if run > table[last][2] * 1000:
+                    if last + 1 == len(table):
+                        return None
+                    lift(c, last + 1)
+                    break
+        if level == before:
+            return {c: table[i][0] for c, i in level.items()}
+
+
+def test_hydraulics_of_random_forests_by_links():
+    r = random.Random(9)
+    outcomes = set()
+    for _ in range(300):
+        n = r.randrange(1, 14)
+        links = [(c, r.choice([r.randrange(0, c), c - 1]), r.randrange(1, 400) * 1000) for c in range(1, n + 1)]
+        own = {c: r.randrange(1, 300) for c in range(1, n + 1) if r.random() < 0.5 or c not in {p for _, p, _ in links}}
+        flow, du, ok = solve(links, own)
+        want = by_links(links, own)
+        assert ok == (want is not None) and (not ok or du == want)
+        outcomes.add((ok, len(set(du.values()))))
+    assert len(outcomes) > 3
+
+
+def test_gathered_over_all_below_and_cycles(spark):
+    r = random.Random(4)
+    up = {c: r.randrange(max(0, c - 3), c) for c in range(1, 60)}
+    links = spark.createDataFrame(list(up.items()), "child bigint, parent bigint")
+    nodes = spark.createDataFrame([(c, c * c) for c in up if c % 3], "id bigint, v bigint")
+    got = {x.link: (x.total, x.n, x.most) for x in graph.gathered(links, nodes, "v").collect()}
+    below = {}
+    for c in up:
+        if c % 3:
+            at = c
+            while at in up:
+                below.setdefault(at, []).append(c * c)
+                at = up[at]
+    assert got == {k: (sum(v), len(v), max(v)) for k, v in below.items()}
+    ring = links.unionByName(spark.createDataFrame([(100, 101), (101, 102), (102, 100)], "child bigint, parent bigint"))
+    with pytest.raises(ValueError, match="cycle"):
+        graph.gathered(ring, nodes, "v")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.refuse_cycles(ring)
+    graph.refuse_cycles(links)
+
+
 def test_depth_over_gas():
     assert depth.options("GAP", 0.14, 2.8, 0.4, 0.2, None) == [(0.7, pytest.approx(2.46)), (pytest.approx(3.4), 100.0)]
     points, cost = depth.optimise(100.0, [{"lo": 48.0, "hi": 52.0, "options": depth.options("GAP", 0.16, 2.8, 0.4, 0.2, None)}], 83530)

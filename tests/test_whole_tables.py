@@ -84,19 +84,19 @@ def test_all_links_and_lines(spark, tmp_path):
     side = lambda s, x, y: (s[2] - s[0]) * (y - s[1]) - (s[3] - s[1]) * (x - s[0])
     cross = lambda s, t: side(s, t[0], t[1]) * side(s, t[2], t[3]) < 0 and side(t, s[0], s[1]) * side(t, s[2], s[3]) < 0
     pairs = sorted((a, b) for a, b in combinations(sorted(brute.edges), 2) if cross(brute.edges[a], brute.edges[b]))
-    assert sorted((r.a, r.b) for r in ask("j17_all_segment_crossings")) == pairs
+    assert sorted((r.a, r.b) for r in ask("j17_segment_crossings")) == pairs
     assert any(a // 10 % 15 or b // 10 % 15 for a, b in pairs)
 
     wet = {c: sum(k == "water" and clip(seg, b) is not None for k, *b in brute.boxes) for c, seg in brute.links.items()}
-    assert {r.child: r.n for r in ask("p08_all_blocked_segments")} == {c: n for c, n in wet.items() if n}
+    assert {r.child: r.n for r in ask("p08_blocked_segments")} == {c: n for c, n in wet.items() if n}
 
     verdicts = {c: v for c, seg in brute.links.items() if (v := verdict(seg, brute.boxes))}
-    assert {r.child: tuple(r)[1:] for r in ask("p05_all_segment_check")} == verdicts
+    assert {r.child: tuple(r)[1:] for r in ask("p05_segment_check")} == verdicts
     assert len({c % 25 for c in verdicts}) > 1
 
     meets = lambda s, b: min(s[0], s[2]) - 15 <= b[2] and max(s[0], s[2]) + 15 >= b[0] and min(s[1], s[3]) - 15 <= b[3] and max(s[1], s[3]) + 15 >= b[1]
     gas = {c: sum(k == "gas_pipeline" and meets(seg, b) for k, *b in brute.boxes) for c, seg in brute.links.items()}
-    assert {r.child: r.objects for r in ask("j18_all_chain_objects")} == {c: n for c, n in gas.items() if n}
+    assert {r.child: r.objects for r in ask("j18_chain_objects")} == {c: n for c, n in gas.items() if n}
 
 
 def test_check_of_segments_along_the_axes(spark):
