@@ -210,3 +210,36 @@ def to_wgs84(x: Column, y: Column) -> Column:
     for j, d in enumerate(_DELTA, 1):
         phi = phi + d * F.sin(2 * j * chi)
     return F.struct((CENTRAL + F.degrees(F.atan2(F.sinh(v), F.cos(u)))).alias("lon"), F.degrees(phi).alias("lat"))
+
+
+def offset(a: Column, b: Column, d: Column) -> Column:
+    """The point ``d`` from a in the direction of b; a where they coincide."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    n = F.sqrt(dx * dx + dy * dy)
+    share = F.when(n > 0, d / n).otherwise(0.0)
+    return point(a["x"] + dx * share, a["y"] + dy * share)
+
+
+def nearest_point(line: Column, p: Column) -> Column:
+    """The point of a polyline nearest to p."""
+    return point_at(line, project(line, p))
+
+
+def segments_distance2(a: list[Column], b: list[Column]) -> Column:
+    """Square of the distance of two segments (ax, ay, bx, by): 0 where they meet."""
+    o = [orientation(*a, b[0], b[1]), orientation(*a, b[2], b[3]), orientation(*b, a[0], a[1]), orientation(*b, a[2], a[3])]
+    ends = F.least(point_segment_distance2(a[0], a[1], *b), point_segment_distance2(a[2], a[3], *b), point_segment_distance2(b[0], b[1], *a), point_segment_distance2(b[2], b[3], *a))
+    return F.when((o[0] * o[1] < 0) & (o[2] * o[3] < 0), F.lit(0.0)).otherwise(ends)
+
+
+def profile_cost(price: Column, length: Column, h0: Column, h1: Column, normal: float, rate: float) -> tuple[Column, Column]:
+    """What a straight profile costs beyond the normal depth, and the integral of its distance from it.
+
+    The extra factor is ``rate`` for each metre that lies below ``normal``; a
+    profile through the normal depth counts its two parts.
+    """
+    a, b = h0 - normal, h1 - normal
+    through = a * b < 0
+    low = F.when(through, F.greatest(a, b) * F.greatest(a, b) / (F.abs(a) + F.abs(b)) / 2).otherwise(F.greatest((a + b) / 2, F.lit(0.0)))
+    off = F.when(through, (a * a + b * b) / (F.abs(a) + F.abs(b)) / 2).otherwise(F.abs(a + b) / 2)
+    return price * length * rate * low, length * off

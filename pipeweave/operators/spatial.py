@@ -55,16 +55,46 @@ def nearest(pairs: DataFrame, key: str, other: str, k: int = 1) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("d2", other))).where(F.col("place") <= k)
 
 
+def walked(segments: DataFrame, cell: float = CELL) -> DataFrame:
+    """One row for each cell that a segment (ax, ay, bx, by_) passes, with cx, cy: a long one lies in a row of cells, not in all of its box."""
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by_"))
+    out = segments.withColumn("cx", F.explode(F.sequence(_cell(F.least(ax, bx), cell), _cell(F.greatest(ax, bx), cell))))
+    at = lambda x: F.when(ax != bx, ay + (by - ay) * (x - ax) / (bx - ax))
+    low, high = at(F.greatest(F.least(ax, bx), F.col("cx") * cell)), at(F.least(F.greatest(ax, bx), (F.col("cx") + 1) * cell))
+    # A hair more on both sides, so that rounding at a border loses no cell.
+    return out.withColumn("cy", F.explode(F.sequence(_cell(F.coalesce(F.least(low, high), F.least(ay, by)) - 1e-6, cell), _cell(F.coalesce(F.greatest(low, high), F.greatest(ay, by)) + 1e-6, cell))))
+
+
 def crossing_segments(segments: DataFrame, key: str, cell: float = CELL) -> DataFrame:
-    """Pairs (a, b), a < b, of segments that properly cross."""
-    boxed = segments.select(F.col(key).alias("k"), "ax", "ay", "bx", "by_", F.least("ax", "bx").alias("x0"), F.least("ay", "by_").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by_").alias("y1"))
-    both = dealt(boxed, "x0", "y0", "x1", "y1", cell)
+    """Pairs (a, b), a < b, of segments that properly cross; each is met in the cell of its crossing point."""
+    both = walked(segments.select(F.col(key).alias("k"), "ax", "ay", "bx", "by_"), cell)
     a, b = both.alias("a"), both.alias("b")
-    pair = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.k") < F.col("b.k")))
-    lowest = (_cell(F.greatest("a.x0", "b.x0"), cell) == F.col("a.cx")) & (_cell(F.greatest("a.y0", "b.y0"), cell) == F.col("a.cy"))
-    boxes = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
     ends = lambda n: [F.col(f"{n}.{c}") for c in ("ax", "ay", "bx", "by_")]
-    return pair.where(lowest & boxes & G.segments_cross(ends("a"), ends("b"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+    pair = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.k") < F.col("b.k"))).where(G.segments_cross(ends("a"), ends("b")))
+    p, q = ends("a"), ends("b")
+    o1, o2 = G.orientation(*q, p[0], p[1]), G.orientation(*q, p[2], p[3])
+    share = o1 / (o1 - o2)
+    here = (_cell(p[0] + (p[2] - p[0]) * share, cell) == F.col("a.cx")) & (_cell(p[1] + (p[3] - p[1]) * share, cell) == F.col("a.cy"))
+    return pair.where(here).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+
+
+def segments_in_boxes(segments: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """Segments joined to the closed boxes (xmin .. ymax) they meet; each pair is met in the cell where the segment enters."""
+    pair = walked(segments, cell).join(dealt(boxes, "xmin", "ymin", "xmax", "ymax", cell), ["cx", "cy"])
+    ax, ay, bx, by, x0, y0, x1, y1 = (F.col(c) for c in ("ax", "ay", "bx", "by_", "xmin", "ymin", "xmax", "ymax"))
+    enters = F.greatest(F.lit(0.0), F.when(bx != ax, F.least((x0 - ax) / (bx - ax), (x1 - ax) / (bx - ax))), F.when(by != ay, F.least((y0 - ay) / (by - ay), (y1 - ay) / (by - ay))))
+    x, y = F.greatest(x0, F.least(x1, ax + (bx - ax) * enters)), F.greatest(y0, F.least(y1, ay + (by - ay) * enters))
+    return pair.where(G.liang_barsky(ax, ay, bx, by, x0, y0, x1, y1) & (_cell(x, cell) == F.col("cx")) & (_cell(y, cell) == F.col("cy"))).drop("cx", "cy")
+
+
+def near_segments(segments: DataFrame, others: DataFrame, radius: float, cell: float = CELL) -> DataFrame:
+    """Segments (ax .. by_) joined to others (cx0, cy0, cx1, cy1) at most ``radius`` away, with d2."""
+    a = dealt(segments.withColumns({"x0": F.least("ax", "bx") - radius, "y0": F.least("ay", "by_") - radius, "x1": F.greatest("ax", "bx") + radius, "y1": F.greatest("ay", "by_") + radius}), "x0", "y0", "x1", "y1", cell)
+    b = dealt(others.withColumns({"u0": F.least("cx0", "cx1"), "v0": F.least("cy0", "cy1"), "u1": F.greatest("cx0", "cx1"), "v1": F.greatest("cy0", "cy1")}), "u0", "v0", "u1", "v1", cell)
+    lowest = (_cell(F.greatest("x0", "u0"), cell) == F.col("cx")) & (_cell(F.greatest("y0", "v0"), cell) == F.col("cy"))
+    meet = (F.col("x0") <= F.col("u1")) & (F.col("x1") >= F.col("u0")) & (F.col("y0") <= F.col("v1")) & (F.col("y1") >= F.col("v0"))
+    d2 = G.segments_distance2([F.col(c) for c in ("ax", "ay", "bx", "by_")], [F.col(c) for c in ("cx0", "cy0", "cx1", "cy1")])
+    return a.join(b, ["cx", "cy"]).where(lowest & meet).withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("cx", "cy", "x0", "y0", "x1", "y1", "u0", "v0", "u1", "v1")
 
 
 def box_distance(x: Column, y: Column) -> Column:

@@ -136,8 +136,8 @@ def verdict(issues: DataFrame) -> DataFrame:
 
 def unnecessary_nodes(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """Technical nodes whose two lines agree in all that would justify a split (a warning)."""
-    ends = lines.select(F.explode(F.array("start_node", "end_node")).alias("id"), F.hash("laying", "du", "flow_dt", "crossed_type").alias("kind_of"))
-    same = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("kind_of").alias("a"), F.max("kind_of").alias("b")).where("n = 2 AND a = b")
+    ends = lines.select(F.explode(F.array("start_node", "end_node")).alias("id"), F.struct("laying", "du", "flow_dt", "crossed_type").alias("kind_of"))
+    same = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("kind_of").alias("a"), F.max("kind_of").alias("b")).where((F.col("n") == 2) & F.col("a").eqNullSafe(F.col("b")))
     return nodes.where("kind = 'technical_node'").join(same, "id", "left_semi").select(F.lit("WARN").alias("severity"), F.lit("UNNECESSARY_TECHNICAL_NODE").alias("code"), "id")
 
 
@@ -150,3 +150,60 @@ def unconnected_list(listed: DataFrame, connected: DataFrame, known: DataFrame)
     both = once.join(connected.select("id"), "id", "left_semi")
     neither = known.select("id").join(connected.select("id"), "id", "left_anti").join(once, "id", "left_anti")
     return bad.unionByName(twice).unionByName(issue(both.unionByName(neither), "UNCONNECTED_MISMATCH"))
+
+
+def _issue(rows: DataFrame, code: str, *keys: str, severity: str = "ERROR") -> DataFrame:
+    return rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), *keys)
+
+
+def duplicate_nodes(nodes: DataFrame) -> DataFrame:
+    """Ids that several output nodes bear."""
+    return _issue(nodes.groupBy("id").count().where("count > 1"), "DUPLICATE_NODE_ID", "id")
+
+
+def summaries(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Variants (of ``lines``) against summaries (variant, has_geometry): one each, without a geometry."""
+    held = found.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.max("has_geometry").alias("drawn"))
+    known = lines.where("variant IS NOT NULL").select("variant").distinct()
+    return (_issue(held.where("n > 1"), "DUPLICATE_SUMMARY", "variant").unionByName(_issue(held.where("drawn"), "SUMMARY_GEOMETRY", "variant"))
+            .unionByName(_issue(known.join(held, "variant", "left_anti"), "MISSING_SUMMARY", "variant")))
+
+
+def endpoint_mismatch(lines: DataFrame, nodes: DataFrame, tolerance_m: float = 0.002) -> DataFrame:
+    """Lines (id, end_node, bx, by_) that end farther than the tolerance from the node (id, x, y) they name."""
+    met = lines.join(nodes.select(F.col("id").alias("end_node"), "x", "y"), "end_node")
+    off = (F.col("bx") - F.col("x")) * (F.col("bx") - F.col("x")) + (F.col("by_") - F.col("y")) * (F.col("by_") - F.col("y"))
+    return _issue(met.where(off > tolerance_m * tolerance_m), "ENDPOINT_MISMATCH", "id")
+
+
+def flow_mismatch(lines: DataFrame, gathered: DataFrame, tolerance_dt: float = 0.01) -> DataFrame:
+    """Lines (id, flow_dt) whose flow is not that of the consumers beyond them (link, total)."""
+    return _issue(lines.join(gathered, F.col("id") == F.col("link")).where(F.abs(F.col("flow_dt") - F.col("total")) > tolerance_dt), "FLOW_MISMATCH", "id")
+
+
+def forest(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components of lines (child, parent) with a ring, without a root or with several (roots: id); named by their least node."""
+    from . import graph
+
+    member = graph.components(lines)
+    nodes = member.join(roots.select("id", F.lit(1).alias("root")), "id", "left").groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("root"), F.lit(0)).alias("roots"))
+    edges = lines.join(member.withColumnRenamed("id", "child"), "child").groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    return emitted(nodes.join(edges, "component"), {"CYCLE": F.col("edges") > F.col("nodes") - 1, "NO_ROOT": F.col("roots") == 0, "MULTIPLE_ROOTS": F.col("roots") > 1}, ["component"])
+
+
+def near_existing_chamber(new: DataFrame, existing: DataFrame, radius_m: float = rules.SNAP_M) -> DataFrame:
+    """New chambers (id, x, y, n lines) with an existing one (id, x, y, degree) within the radius that has room for all their lines."""
+    from . import spatial
+
+    others = existing.select(F.col("id").alias("chamber"), F.col("x").alias("rx"), F.col("y").alias("ry"), "degree")
+    met = spatial.points_near_points(new, others, float(radius_m)).where(F.col("degree") + F.col("n") <= rules.MAX_DEGREE)
+    return _issue(met.select("id").distinct(), "EXISTING_CHAMBER_WITHIN_10M", "id")
+
+
+def crossing_lines(lines: DataFrame, key: str, cell: float) -> DataFrame:
+    """Lines that cross others of the output, with how many."""
+    from . import spatial
+
+    pairs = spatial.crossing_segments(lines, key, cell)
+    each = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("crossed"))
+    return _issue(each, "LINES_INTERSECT", "id", "crossed")

@@ -70,13 +70,7 @@ def inside_forbidden(s):
   SELECT child, count(*)::BIGINT AS n FROM t WHERE lo <= hi GROUP BY child""")
 def blocked(s):
     """Every link against all water boxes."""
-    lines = s.links
-    boxed = spatial.dealt(lines, F.least("ax", "bx"), F.least("ay", "by_"), F.greatest("ax", "bx"), F.greatest("ay", "by_"), 250.0)
-    water = spatial.dealt(s.restrictions.where("restriction_type = 'water'"), "xmin", "ymin", "xmax", "ymax", 250.0)
-    cell = lambda c: F.floor(c / 250.0)
-    once = (cell(F.greatest(F.least("ax", "bx"), F.col("xmin"))) == F.col("cx")) & (cell(F.greatest(F.least("ay", "by_"), F.col("ymin"))) == F.col("cy"))
-    hit = G.liang_barsky(*(F.col(c) for c in ("ax", "ay", "bx", "by_", "xmin", "ymin", "xmax", "ymax")))
-    return boxed.join(water, ["cx", "cy"]).where(once & hit).groupBy("child").agg(F.count(F.lit(1)).alias("n"))
+    return spatial.segments_in_boxes(s.links, s.restrictions.where("restriction_type = 'water'"), 250.0).groupBy("child").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j17_segment_crossings", "vertices", oracle="""WITH e AS (SELECT id * 10 + k AS k, px AS ax, py AS ay, x AS bx, y AS by_ FROM (SELECT id, k, x, y, lag(x) OVER (PARTITION BY id ORDER BY k) AS px, lag(y) OVER (PARTITION BY id ORDER BY k) AS py FROM vertices) v WHERE px IS NOT NULL)
