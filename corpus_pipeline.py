@@ -3,6 +3,13 @@
 Every stage works on all that its predecessor kept and takes (spark, docs,
 sf_dir); its result is written as Parquet and read again as the next one's
 docs. All but the last return the columns of ``documents``.
+
+Defined results, for every stage: null and empty texts are documents without
+words or terms and stay; a null id is an id of its own that no stage links
+with another; rows that share an id are judged each by its own text, but for
+near-copies, where an id is one document and goes with all its rows; of tied
+copies the smallest id stays; an empty table gives an empty table; columns
+beyond those of ``documents`` are left out, so none can clash.
 """
 
 from __future__ import annotations

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,14 +24,20 @@ def _drop_own_dirs() -> None:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def _only_one_machine(spark: SparkSession) -> None:
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (single-machine tests) a temporary
-    folder of this process is set instead.
+    A cluster must name one. Only where driver and executors are one process
+    (tests) a temporary folder of it is set instead.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        _only_one_machine(spark)
         path = "file://" + tempfile.mkdtemp(prefix="pipeweave-")
         _own_dirs.append(path[len("file://"):])
         if len(_own_dirs) == 1:

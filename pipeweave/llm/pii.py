@@ -8,9 +8,10 @@ matches come from its gaps (``split``) and its matches
 Base spans (email, ip, card, phone) are kept as they are. Further generators
 with high recall propose overlapping candidates: key-value secrets, long
 tokens with digits, loose phone numbers. Each candidate has yes/no figures of
-its format and of the text before it. Labels for the fit are weak: a
-candidate is positive if it overlaps a base span or has a secret's exact
-form. All documents give one count for each pattern of figures and label,
+its format. Labels for the fit are weak and come from elsewhere: a candidate
+is positive if it overlaps a base span, has a secret's exact form, or follows
+words that name what it is (a password, a telephone). Formats that mostly
+occur with such evidence are then accepted where it lacks. All documents give one count for each pattern of figures and label,
 folded by a hash of the id into a fit part and a calibration part (at most
 2^15 rows, whatever the corpus), and gradient boosting of shallow trees is
 fitted on these counts. Isotonic calibration on the other part turns
@@ -52,10 +53,10 @@ MORE = {
     "token": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{8,}+",
     "digits": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
-#: Figures of a candidate c(hit, before, kind), as SQL.
+#: Figures of a candidate c(hit, before, kind), as SQL: its format alone. What labels are made of (the words before it) is no figure.
 FIGURES = [
-    f"c.hit rlike '(?i){KEYWORD}'",
-    f"c.before rlike '(?i){KEYWORD}[^A-Za-z0-9]*$'",
+    "c.hit rlike '[=:]'",
+    "length(c.hit) >= 32",
     "length(regexp_replace(c.hit, '[^0-9]', '')) >= 8",
     "length(c.hit) >= 16",
     "c.hit rlike '[0-9a-f]{12}'",
@@ -65,11 +66,14 @@ FIGURES = [
     "c.kind = 'digits'",
     "2 * length(regexp_replace(c.hit, '[^0-9]', '')) > length(c.hit)",
     "c.hit rlike '^[A-Z]{4}[A-Z0-9]{12}'",
-    "c.before rlike '[+(@.]$'",
+    "c.hit rlike '[a-z][A-Z]|[A-Z][a-z].*[0-9]|[0-9].*[A-Z][a-z]'",
 ]
-#: A secret's exact form, for the weak labels.
-EXACT = f"c.hit rlike '(?i)^{KEYWORD} ?[=:]' OR c.hit rlike '^AKIA[0-9A-Z]{{16}}$'"
-BEFORE = 16
+#: Evidence for the weak labels: a secret's exact form, or words before the candidate that name what its kind holds.
+EXACT = (f"c.hit rlike '(?i)^{KEYWORD} ?[=:]' OR c.hit rlike '^AKIA[0-9A-Z]{{16}}$' OR c.kind = 'token' AND c.before rlike '(?i)({KEYWORD}|bearer|authorization|credential|private)[^A-Za-z0-9]{{0,4}}$'"
+         " OR c.kind = 'digits' AND c.before rlike '(?i)(phone|tel|mobile|fax|call|cell|telefon|telefono|appel|llame)[^A-Za-z0-9]{0,4}$'")
+BEFORE = 24
+#: Elements that are folded at once where arrays grow, so that a text of very many matches takes no square of them.
+FOLD = 128
 ROUNDS = 30
 DEPTH = 2
 RATE = 0.3
@@ -85,12 +89,19 @@ def _spans(pattern: str, needs: str, text: str = "text") -> str:
     p = _literal(pattern)
     condition = f"contains({text}, '{needs}')" if len(needs) == 1 else f"{text} rlike {_literal(needs)}"
     empty = "cast(array() as array<struct<start:int,end:int,hit:string>>)"
+    some = f"""aggregate(part, named_struct('at', acc.at, 'found', {empty}),
+      (own, x) -> CASE WHEN x.hit IS NULL THEN own ELSE named_struct('at', own.at + x.gap + length(x.hit), 'found',
+        concat(own.found, array(named_struct('start', own.at + x.gap, 'end', own.at + x.gap + length(x.hit), 'hit', x.hit)))) END)"""
     return f"""CASE WHEN {condition} THEN aggregate(
-      zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, h) -> struct(length(g) AS gap, h AS hit)),
-      named_struct('at', 0, 'found', {empty}),
-      (acc, x) -> CASE WHEN x.hit IS NULL THEN acc ELSE named_struct('at', acc.at + x.gap + length(x.hit), 'found',
-        concat(acc.found, array(named_struct('start', acc.at + x.gap, 'end', acc.at + x.gap + length(x.hit), 'hit', x.hit)))) END,
-      acc -> acc.found) ELSE {empty} END"""
+      {_folded(f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, h) -> struct(length(g) AS gap, h AS hit))")},
+      named_struct('at', 0, 'found', cast(array() as array<array<struct<start:int,end:int,hit:string>>>)),
+      (acc, part) -> transform(array({some}), r -> named_struct('at', r.at, 'found', concat(acc.found, array(r.found))))[0],
+      acc -> flatten(acc.found)) ELSE {empty} END"""
+
+
+def _folded(array: str) -> str:
+    """SQL: an array as an array of arrays of FOLD elements."""
+    return f"transform(array({array}), z -> transform(sequence(0, greatest(size(z) - 1, 0) div {FOLD}), k -> slice(z, k * {FOLD} + 1, {FOLD})))[0]"
 
 
 def _passing(kind: str) -> str:
@@ -123,10 +134,12 @@ def _with_candidates(spans: DataFrame) -> DataFrame:
     found = "concat(" + ", ".join(
         f"transform({_spans(p, '[0-9]' if k != 'pair' else '[=:]')}, s -> named_struct('start', s.start, 'end', s.end, 'hit', s.hit, 'kind', '{k}', 'before', substring(text, greatest(1, s.start - {BEFORE} + 1), least(s.start, {BEFORE}))))"
         for k, p in MORE.items()) + ")"
-    out = spans.withColumn("base", F.expr(base)).withColumn("found", F.expr(found))
+    # Base spans by start, in parts with their bounds: a candidate looks only into parts that reach it.
+    parts = f"transform({_folded(f'array_sort({base})')}, p -> named_struct('low', array_min(transform(p, b -> b.start)), 'high', array_max(transform(p, b -> b.end)), 'spans', p))"
+    out = spans.withColumn("base", F.expr(parts)).withColumn("found", F.expr(found))
     bits = " + ".join(f"CASE WHEN {f} THEN {1 << i} ELSE 0 END" for i, f in enumerate(FIGURES))
     return out.withColumn("candidates", F.expr(
-        f"transform(found, c -> named_struct('start', c.start, 'end', c.end, 'figures', {bits}, 'near', exists(base, b -> b.start < c.end AND c.start < b.end), 'exact', {EXACT}))")).drop("found")
+        f"transform(found, c -> named_struct('start', c.start, 'end', c.end, 'figures', {bits}, 'near', exists(base, p -> coalesce(p.low < c.end AND c.start < p.high, false) AND exists(p.spans, b -> b.start < c.end AND c.start < b.end)), 'exact', {EXACT}))")).drop("found")
 
 
 def _boost(counts: list[tuple[int, int, float]]) -> tuple[float, list]:

@@ -508,6 +508,25 @@ def test_personal_data(spark, nothing):
     assert pii.find(nothing).count() == 0
 
 
+def test_formats_learned_beside_words_are_found_without_them(spark):
+    r = random.Random(11)
+    secret = lambda: "".join(r.choices("0123456789abcdef", k=40))
+    phone = lambda: f"{r.randrange(200, 999)}-{r.randrange(100, 999)}-{r.randrange(1000, 9999)}"
+    rows = [(i, f"see {r.choice(['bearer', 'password:', 'token'])} {secret()} and call {phone()} or tel. {phone()} room b2c3d4e5f6 {' '.join(r.choices(WORDS, k=5))}") for i in range(200)]
+    alone = [(1000, f"here {secret()} stands alone"), (1001, f"reach us {phone()} today"), (1002, "room b2c3d4e5f6 is empty"), (1003, "nothing but words w12 w13"), (1004, "x" * 39 + "9 " + "1 " * 300)]
+    found = {x.doc_id: [x.text[s.start:s.end] for s in x.secret] for x in pii.find(spark.createDataFrame(rows + alone, SCHEMA)).collect()}
+    assert len(found[1000]) == 1 and len(found[1000][0]) == 40 and len(found[1001]) == 1 and len(found[1001][0]) == 12
+    assert sum(len(found[i]) >= 3 for i in range(200)) >= 150, Counter(len(found[i]) for i in range(200))
+    assert found[1002] == found[1003] == [] and not any("b2c3" in x for i in range(200) for x in found[i])
+
+
+def test_personal_data_of_very_many_matches(spark):
+    """More matches than one fold holds."""
+    text = " ".join(f"10.0.{i % 256}.{i % 7}" for i in range(1000)) + " mail a@b.cd " + "1.1.1.1 " * 300
+    row = pii.find(spark.createDataFrame([(1, text)], SCHEMA)).first()
+    assert [(k, s.start, s.end) for k in pii.BASE for s in row[k]] == base_spans(text) and len(row.ip) == 1300
+
+
 def test_personal_data_redaction(spark):
     df = pii.find(spark.createDataFrame([(1, "write to a@b.cd now"), (2, None)], SCHEMA))
     assert {r.doc_id: r.text for r in pii.redacted(df).collect()} == {1: "write to [email] now", 2: ""}

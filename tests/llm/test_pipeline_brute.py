@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
+from pipeweave.llm import common
 
 pytest.importorskip("public_tokenizers")
 WS = " \t\n\x0b\x0c\r"
@@ -99,7 +100,7 @@ def test_all_stages(spark, tmp_path, case):
     steps = [lambda x: [r for r in x if case == "empty" or r[0] not in toxic], without_lines, without_copies, lambda x: without_leaks(x, items), lambda x: [(i, t or "") for i, t in x]]
     for (name, stage), step in zip(corpus_pipeline.STAGES, steps, strict=True):
         docs, before, want = stage(spark, docs, str(tmp_path)), want, step(want)
-        docs = docs.localCheckpoint()
+        docs = common.table(docs, "stage")
         assert pairs(docs) == Counter(want), name
         if name not in ("toxicity", "byte_level_bpe"):
             assert want != before, name
