@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,9 +14,11 @@ _own: list[str] = []
 
 
 def folder(spark) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    """``spark.checkpoint.dir``, which a cluster must name; a temporary folder only where all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own.append(tempfile.mkdtemp(prefix="pipeweave-"))
         atexit.register(shutil.rmtree, _own[-1], True)
         path = "file://" + _own[-1]
