@@ -84,21 +84,44 @@ def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def _spans(pattern: str, needs: str, text: str = "text") -> str:
-    """SQL: array of (start, end, hit) of the pattern's matches; code points, end exclusive."""
+def _spans(pattern: str, needs: str, text: str = "text", before: bool = False) -> str:
+    """SQL: array of (start, end, hit) of the pattern's matches, with ``before`` also the text just before; code points, end exclusive.
+
+    What stands before a match is put together from its gap and the match
+    before it: ``substring`` would read the text from its start for each match.
+    """
     p = _literal(pattern)
     condition = f"contains({text}, '{needs}')" if len(needs) == 1 else f"{text} rlike {_literal(needs)}"
-    empty = "cast(array() as array<struct<start:int,end:int,hit:string>>)"
-    some = f"""aggregate(part, named_struct('at', acc.at, 'found', {empty}),
-      (own, x) -> CASE WHEN x.hit IS NULL THEN own ELSE named_struct('at', own.at + x.gap + length(x.hit), 'found',
-        concat(own.found, array(named_struct('start', own.at + x.gap, 'end', own.at + x.gap + length(x.hit), 'hit', x.hit)))) END)"""
+    kind = "array<struct<start:int,end:int,hit:string" + (",before:string" if before else "") + ">>"
+    empty = f"cast(array() as {kind})"
+    tail = f"'tail', right(x.hit, {BEFORE}), " if before else ""
+    near = f", 'before', right(concat(own.tail, x.near), {BEFORE})" if before else ""
+    start = "'tail', ''," if before else ""
+    kept = "'tail', acc.tail," if before else ""
+    some = f"""aggregate(part, named_struct('at', acc.at, {kept} 'found', {empty}),
+      (own, x) -> CASE WHEN x.hit IS NULL THEN own ELSE named_struct('at', own.at + x.gap + length(x.hit), {tail} 'found',
+        concat(own.found, array(named_struct('start', own.at + x.gap, 'end', own.at + x.gap + length(x.hit), 'hit', x.hit{near})))) END)"""
+    gap = f"struct(length(g) AS gap, right(g, {BEFORE}) AS near, h AS hit)" if before else "struct(length(g) AS gap, h AS hit)"
     return f"""CASE WHEN {condition} THEN aggregate(
-      {_folded(f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, h) -> struct(length(g) AS gap, h AS hit))")},
-      named_struct('at', 0, 'found', cast(array() as array<array<struct<start:int,end:int,hit:string>>>)),
-      (acc, part) -> transform(array({some}), r -> named_struct('at', r.at, 'found', concat(acc.found, array(r.found))))[0],
+      {_folded(f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, h) -> {gap})")},
+      named_struct('at', 0, {start} 'found', cast(array() as array<{kind}>)),
+      (acc, part) -> transform(array({some}), r -> named_struct('at', r.at, {"'tail', r.tail," if before else ""} 'found', concat(acc.found, array(r.found))))[0],
       acc -> flatten(acc.found)) ELSE {empty} END"""
 
 
+def _first(array: str, size: str, holds: str) -> str:
+    """SQL: the number of elements ``x`` at the beginning of ``array`` for which ``holds`` is false; it must stay true once it is. A binary search."""
+    return f"""aggregate(sequence(1, cast(ceil(log2({size} + 1)) as int)), named_struct('low', 0, 'high', {size}),
+      (s, i) -> CASE WHEN s.low >= s.high THEN s WHEN transform(array({array}[(s.low + s.high) div 2]), x -> {holds})[0]
+        THEN named_struct('low', s.low, 'high', cast((s.low + s.high) div 2 as int)) ELSE named_struct('low', cast((s.low + s.high) div 2 + 1 as int), 'high', s.high) END, s -> s.low)"""
+
+
+def _overlaps(array: str, c: str = "c") -> str:
+    """SQL: whether a span of ``array``, whose spans are apart and in order, overlaps ``c``."""
+    first = _first(array, f"size({array})", f"x.end > {c}.start")
+    return f"(size({array}) > 0 AND coalesce(get({array}, {first}).start < {c}.end, false))"
+
+
 def _folded(array: str) -> str:
     """SQL: an array as an array of arrays of FOLD elements."""
     return f"transform(array({array}), z -> transform(sequence(0, greatest(size(z) - 1, 0) div {FOLD}), k -> slice(z, k * {FOLD} + 1, {FOLD})))[0]"
@@ -129,17 +152,22 @@ def base_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
 
 
 def _with_candidates(spans: DataFrame) -> DataFrame:
-    """Adds ``base`` (all base spans) and ``candidates`` (start, end, hit, kind, before, near)."""
-    base = "concat(" + ", ".join(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end))" for k in BASE) + ")"
-    found = "concat(" + ", ".join(
-        f"transform({_spans(p, '[0-9]' if k != 'pair' else '[=:]')}, s -> named_struct('start', s.start, 'end', s.end, 'hit', s.hit, 'kind', '{k}', 'before', substring(text, greatest(1, s.start - {BEFORE} + 1), least(s.start, {BEFORE}))))"
-        for k, p in MORE.items()) + ")"
-    # Base spans by start, in parts with their bounds: a candidate looks only into parts that reach it.
-    parts = f"transform({_folded(f'array_sort({base})')}, p -> named_struct('low', array_min(transform(p, b -> b.start)), 'high', array_max(transform(p, b -> b.end)), 'spans', p))"
-    out = spans.withColumn("base", F.expr(parts)).withColumn("found", F.expr(found))
-    bits = " + ".join(f"CASE WHEN {f} THEN {1 << i} ELSE 0 END" for i, f in enumerate(FIGURES))
-    return out.withColumn("candidates", F.expr(
-        f"transform(found, c -> named_struct('start', c.start, 'end', c.end, 'figures', {bits}, 'near', exists(base, p -> coalesce(p.low < c.end AND c.start < p.high, false) AND exists(p.spans, b -> b.start < c.end AND c.start < b.end)), 'exact', {EXACT}))")).drop("found")
+    """Adds ``candidates``: an array (start, end, figures, near, exact) for each generator, in order; ``near``: it overlaps a base span.
+
+    All arrays are bound once by a lambda before candidates look into them: the
+    optimizer would else put their expressions, with the scans of the text,
+    inside the lambda over candidates. Spans of one kind are apart and in order,
+    so a binary search finds those that a candidate overlaps.
+    """
+    found = ", ".join(f"'{k}', {_spans(p, '[0-9]' if k != 'pair' else '[=:]', before=True)}" for k, p in MORE.items())
+    bound = f"array(named_struct({', '.join(f"'{k}', {k}" for k in BASE)}, {found}))"
+    near = " OR ".join(_overlaps(f"z.{k}") for k in BASE)
+
+    def judged(kind: str) -> str:
+        bits = " + ".join(f"CASE WHEN {f} THEN {1 << i} ELSE 0 END" for i, f in enumerate(FIGURES)).replace("c.kind", f"'{kind}'")
+        return f"transform(z.{kind}, c -> named_struct('start', c.start, 'end', c.end, 'figures', {bits}, 'near', {near}, 'exact', {EXACT.replace('c.kind', f"'{kind}'")}))"
+
+    return spans.withColumn("candidates", F.expr(f"transform({bound}, z -> named_struct({', '.join(f"'{k}', {judged(k)}" for k in MORE)}))[0]"))
 
 
 def _boost(counts: list[tuple[int, int, float]]) -> tuple[float, list]:
@@ -194,7 +222,8 @@ def _tree_sql(tree, figures: str) -> str:
 def fit(spans: DataFrame, precision: float = PRECISION) -> tuple[float, list, float] | None:
     """bias, trees, threshold; None where the table has no candidate of each label."""
     part = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4, F.lit(0)) == 0
-    rows = (_with_candidates(spans).where("size(candidates) > 0").select(part.alias("held"), F.explode("candidates").alias("c"))
+    every = F.concat(*(F.col(f"candidates.{k}") for k in MORE))
+    rows = (_with_candidates(spans).select(part.alias("held"), F.explode(every).alias("c"))
             .groupBy("held", F.col("c.figures").alias("p"), F.expr("CASE WHEN c.near OR c.exact THEN 1 ELSE 0 END").alias("y")).count().collect())
     train = sorted((r["p"], r["y"], float(r["count"])) for r in rows if not r["held"])
     if len({y for _, y, _ in train}) < 2:
@@ -226,13 +255,24 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", precisi
         return spans.withColumn("secret", F.expr("cast(array() as array<struct<start:int,end:int>>)"))
     bias, trees, threshold = model
     score = " + ".join([f"{bias!r}D", *(f"({_tree_sql(t, 'c.figures')})" for t in trees)])
-    out = _with_candidates(spans).withColumn("scored", F.expr(
-        f"filter(transform(filter(candidates, c -> NOT c.near), c -> named_struct('score', {score}, 'start', c.start, 'end', c.end)), c -> c.score >= {threshold!r}D - 1e-9D)"))
-    # Better: a higher score, then the longer span, then the earlier one.
-    out = out.withColumn("secret", F.expr("""array_sort(array_distinct(transform(filter(scored, c -> NOT exists(scored, b -> b.start < c.end AND c.start < b.end AND
-        (b.score > c.score OR b.score = c.score AND (b.end - b.start > c.end - c.start OR b.end - b.start = c.end - c.start AND b.start < c.start)))),
-        c -> named_struct('start', c.start, 'end', c.end))))"""))
-    return out.select("doc_id", "text", *BASE, "secret")
+    scored = {k: f"filter(transform(filter(candidates.{k}, c -> NOT c.near), c -> named_struct('score', {score}, 'start', c.start, 'end', c.end)), c -> c.score >= {threshold!r}D - 1e-9D)" for k in MORE}
+    kinds = list(MORE)
+
+    def beaten(kind: str) -> str:
+        """SQL: a better candidate of another generator overlaps ``c``. Better: a higher score, then the longer span, then the earlier one, then the earlier generator."""
+        ways = []
+        for k in kinds:
+            if k != kind:
+                first, after = _first(f"z.{k}", f"size(z.{k})", "x.end > c.start"), _first(f"z.{k}", f"size(z.{k})", "x.start >= c.end")
+                last = "<=" if kinds.index(k) < kinds.index(kind) else "<"
+                better = ("b.score > c.score OR b.score = c.score AND (b.end - b.start > c.end - c.start OR b.end - b.start = c.end - c.start AND "
+                          f"b.start {last} c.start)")
+                ways.append(f"(size(z.{k}) > 0 AND exists(transform(array(named_struct('a', {first}, 'b', {after})), r -> slice(z.{k}, r.a + 1, greatest(r.b - r.a, 0)))[0], b -> {better}))")
+        return " OR ".join(ways)
+
+    kept = "concat(" + ", ".join(f"transform(filter(z.{k}, c -> NOT ({beaten(k)})), c -> named_struct('start', c.start, 'end', c.end))" for k in kinds) + ")"
+    secret = f"transform(array(named_struct({', '.join(f"'{k}', {x}" for k, x in scored.items())})), z -> array_sort({kept}))[0]"
+    return _with_candidates(spans).withColumn("secret", F.expr(secret)).select("doc_id", "text", *BASE, "secret")
 
 
 def listed(kind: str) -> Column:
@@ -241,9 +281,17 @@ def listed(kind: str) -> Column:
 
 
 def redacted(found: DataFrame) -> DataFrame:
-    """doc_id, text with each span replaced by its kind in brackets."""
+    """doc_id, text with each span replaced by its kind in brackets.
+
+    Spans go in parts of ``FOLD``: a part's piece of the text is cut out once
+    and its spans are replaced inside it.
+    """
     every = "array_sort(concat(" + ", ".join(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '{k}'))" for k in [*BASE, "secret"]) + "))"
-    step = """aggregate(spans_, named_struct('at', 0, 'out', ''), (acc, s) -> CASE WHEN s.end <= acc.at THEN acc ELSE
-        named_struct('at', s.end, 'out', concat(acc.out, substring(text, acc.at + 1, greatest(0, s.start - acc.at)), '[', s.kind, ']')) END,
-        acc -> concat(acc.out, substring(text, acc.at + 1)))"""
-    return found.withColumn("spans_", F.expr(every)).select("doc_id", F.expr(step).alias("text"))
+    piece = "substring(y.text, acc.at + 1, greatest(0, y.high - acc.at))"
+    inner = """aggregate(part, named_struct('at', acc.at, 'out', ''), (own, s) -> CASE WHEN s.end <= own.at THEN own ELSE
+        named_struct('at', s.end, 'out', concat(own.out, substring(w.piece, own.at - acc.at + 1, greatest(0, s.start - own.at)), '[', s.kind, ']')) END)"""
+    step = f"""aggregate(z.parts, named_struct('at', 0, 'out', cast(array() as array<string>)),
+      (acc, part) -> transform(array(named_struct('text', z.text, 'high', coalesce(array_max(transform(part, s -> s.end)), 0))), y ->
+        transform(array(named_struct('piece', {piece})), w -> transform(array({inner}), r -> named_struct('at', r.at, 'out', concat(acc.out, array(r.out))))[0])[0])[0],
+      acc -> concat(array_join(acc.out, ''), substring(z.text, acc.at + 1)))"""
+    return found.select("doc_id", F.expr(f"transform(array(named_struct('text', text, 'parts', {_folded(every)})), z -> {step})[0]").alias("text"))

@@ -544,3 +544,46 @@ def test_messages_keep_large_counts():
     k, t, a, c = pitman_yor.unpack_message(pitman_yor.pack_message(key, texts, at, n))
     assert k.tolist() == key.tolist() and t.tolist() == [2, 2, 4] and np.bincount(np.repeat([0, 1, 2], t), weights=c).tolist() == [256, 256, 1000]
     assert a.tolist() == [0, 65000, 7, 7, 7, 7, 7, 7]
+
+
+def test_added_spans_against_brute_force(spark):
+    """Candidates' overlaps with base spans and with each other, pair by pair."""
+    r = random.Random(21)
+    make = [lambda: f"password={r.randrange(10**9)}x", lambda: "".join(r.choices("0123456789abcdef", k=r.choice([9, 16, 40]))), lambda: f"{r.randrange(200, 999)}-{r.randrange(100, 999)}-{r.randrange(1000, 9999)}",
+            lambda: f"token {r.randrange(200, 999)}-555-{r.randrange(1000, 9999)}-abc/123", lambda: f"k{r.randrange(10**6)}@mail.org", lambda: f"10.1.2.{r.randrange(300)}", lambda: "4111 1111 1111 1111",
+            lambda: f"+{r.randrange(10**10, 10**11)}", lambda: "é", lambda: "word"]
+    rows = [(i, " ".join(r.choice(make)() for _ in range(r.randrange(1, 40)))) for i in range(150)] + [(900, "k1abcdefgh " * 400 + "x@y.zz 555-123-4567 " * 200), (901, None), (902, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spans = pii.base_spans(df)
+    bias, trees, threshold = pii.fit(spans)
+    found = {x.doc_id: x for x in pii.find(df).collect()}
+    added = 0
+    for x in pii._with_candidates(spans).collect():
+        base = [s for k in pii.BASE for s in x[k]]
+        good = []
+        for rank, kind in enumerate(pii.MORE):
+            text, at = x.text, [(m.start(), m.end()) for m in re.finditer(pii.MORE[kind].replace("\\x20", " "), x.text)]
+            assert [(c.start, c.end) for c in x.candidates[kind]] == at, text[:80]
+            for c in x.candidates[kind]:
+                assert c.near == any(b.start < c.end and c.start < b.end for b in base)
+                score = bias + sum(pii.value(t, c.figures) for t in trees)
+                if not c.near and score >= threshold - 1e-9:
+                    good.append((round(score, 9), c.end - c.start, -c.start, -rank, c))
+        want = sorted((c.start, c.end) for *key, c in good if not any(d.start < c.end and c.start < d.end and other > key for *other, d in good))
+        assert [(s.start, s.end) for s in found[x.doc_id].secret] == want
+        added += len(want)
+    assert added > 100
+
+
+def test_many_candidates_take_time_in_proportion(spark):
+    import time
+
+    few = [(1, "password: hunter2222 and token x9x9x9x9x9")]
+    took = []
+    for n in (2500, 20000):
+        text = " ".join(f"k{i % 10}abcdefgh{i:05d}" for i in range(n)) + " a@b.cd" * 100
+        df = spark.createDataFrame([*few, (2, text)], SCHEMA)
+        began = time.time()
+        assert len(pii.find(df).collect()) == 2
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 10, took
