@@ -243,3 +243,11 @@ def profile_cost(price: Column, length: Column, h0: Column, h1: Column, normal:
     low = F.when(through, F.greatest(a, b) * F.greatest(a, b) / (F.abs(a) + F.abs(b)) / 2).otherwise(F.greatest((a + b) / 2, F.lit(0.0)))
     off = F.when(through, (a * a + b * b) / (F.abs(a) + F.abs(b)) / 2).otherwise(F.abs(a + b) / 2)
     return price * length * rate * low, length * off
+
+
+def profile_cost_mm(length_mm: Column, h0_mm: Column, h1_mm: Column, normal_mm: int) -> tuple[Column, Column, Column]:
+    """The integrals of ``profile_cost`` over whole millimetres, exact: (below the normal depth, distance from it), both in mm2 times the divisor, and the divisor."""
+    a, b = h0_mm - normal_mm, h1_mm - normal_mm
+    through = a * b < 0
+    top, both = F.greatest(a, b, F.lit(0)), F.abs(a) + F.abs(b)
+    return F.when(through, length_mm * top * top).otherwise(length_mm * F.greatest(a + b, F.lit(0))), F.when(through, length_mm * (a * a + b * b)).otherwise(length_mm * F.abs(a + b)), F.when(through, 2 * both).otherwise(F.lit(2))

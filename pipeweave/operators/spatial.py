@@ -55,14 +55,15 @@ def nearest(pairs: DataFrame, key: str, other: str, k: int = 1) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("d2", other))).where(F.col("place") <= k)
 
 
-def walked(segments: DataFrame, cell: float = CELL) -> DataFrame:
-    """One row for each cell that a segment (ax, ay, bx, by_) passes, with cx, cy: a long one lies in a row of cells, not in all of its box."""
+def walked(segments: DataFrame, cell: float = CELL, pad: float = 0.0) -> DataFrame:
+    """One row for each cell that a segment (ax, ay, bx, by_), grown by ``pad``, passes, with cx, cy: a long one lies in a row of cells, not in all of its box."""
     ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by_"))
-    out = segments.withColumn("cx", F.explode(F.sequence(_cell(F.least(ax, bx), cell), _cell(F.greatest(ax, bx), cell))))
+    out = segments.withColumn("cx", F.explode(F.sequence(_cell(F.least(ax, bx) - pad, cell), _cell(F.greatest(ax, bx) + pad, cell))))
     at = lambda x: F.when(ax != bx, ay + (by - ay) * (x - ax) / (bx - ax))
-    low, high = at(F.greatest(F.least(ax, bx), F.col("cx") * cell)), at(F.least(F.greatest(ax, bx), (F.col("cx") + 1) * cell))
+    inside = lambda x: F.least(F.greatest(ax, bx), F.greatest(F.least(ax, bx), x))
+    low, high = at(inside(F.col("cx") * cell - pad)), at(inside((F.col("cx") + 1) * cell + pad))
     # A hair more on both sides, so that rounding at a border loses no cell.
-    return out.withColumn("cy", F.explode(F.sequence(_cell(F.coalesce(F.least(low, high), F.least(ay, by)) - 1e-6, cell), _cell(F.coalesce(F.greatest(low, high), F.greatest(ay, by)) + 1e-6, cell))))
+    return out.withColumn("cy", F.explode(F.sequence(_cell(F.coalesce(F.least(low, high), F.least(ay, by)) - pad - 1e-6, cell), _cell(F.coalesce(F.greatest(low, high), F.greatest(ay, by)) + pad + 1e-6, cell))))
 
 
 def crossing_segments(segments: DataFrame, key: str, cell: float = CELL) -> DataFrame:

@@ -33,14 +33,14 @@ def nearest_points(s):
     return out.select("id", micro(F.col("p.x")).alias("x_micro"), micro(F.col("p.y")).alias("y_micro"))
 
 
-@query("f49_depth_cost", "pieces", oracle=f"""WITH p AS (SELECT id, length_mm / 1000.0::DOUBLE AS n, depth0_mm / 1000.0::DOUBLE - 3 AS a, depth1_mm / 1000.0::DOUBLE - 3 AS b FROM pieces),
-  split AS (SELECT id, n, a, b, CASE WHEN a * b < 0 THEN abs(a) / (abs(a) + abs(b)) ELSE 1 END AS t FROM p)
-  SELECT id, {MICRO.format('n / 1000 * (CASE WHEN a * b < 0 THEN t * greatest(a, 0) / 2 + (1 - t) * greatest(b, 0) / 2 ELSE (greatest(a, 0) + greatest(b, 0)) / 2 END) * 0.1::DOUBLE')} AS extra_micro,
-    {MICRO.format('n / 1000 * (CASE WHEN a * b < 0 THEN t * abs(a) / 2 + (1 - t) * abs(b) / 2 ELSE (abs(a) + abs(b)) / 2 END)')} AS deviation_micro FROM split""")
+@query("f49_depth_cost", "pieces", oracle="""WITH p AS (SELECT id, length_mm AS n, depth0_mm - 3000 AS a, depth1_mm - 3000 AS b FROM pieces),
+  split AS (SELECT id, CASE WHEN a * b < 0 THEN n * greatest(a, b) * greatest(a, b) ELSE n * greatest(a + b, 0) END AS low, CASE WHEN a * b < 0 THEN n * (a * a + b * b) ELSE n * abs(a + b) END AS off, CASE WHEN a * b < 0 THEN 2 * (abs(a) + abs(b)) ELSE 2 END AS by_ FROM p)
+  SELECT id, ((2 * low + 10000 * by_) // (20000 * by_))::BIGINT AS extra_micro, ((2 * off + 1000 * by_) // (2000 * by_))::BIGINT AS deviation_micro FROM split""")
 def depth_cost(s):
-    """For a ruble a kilometre: what depth adds, and the distance from the normal depth along the piece."""
-    extra, deviation = G.profile_cost(F.lit(1.0), F.col("length_mm") / 1000 / 1000, F.col("depth0_mm") / 1000, F.col("depth1_mm") / 1000, 3.0, 0.1)
-    return s.pieces.select("id", micro(extra).alias("extra_micro"), micro(deviation).alias("deviation_micro"))
+    """For a ruble a kilometre: what depth adds, and the distance from the normal depth along the piece, in millionths; whole numbers throughout, divided once."""
+    low, off, by = G.profile_cost_mm(F.col("length_mm"), F.col("depth0_mm"), F.col("depth1_mm"), 3000)
+    out = s.pieces.select("id", low.alias("low"), off.alias("off"), by.alias("by"))
+    return out.select("id", F.expr("(2 * low + 10000 * by) div (20000 * by)").alias("extra_micro"), F.expr("(2 * off + 1000 * by) div (2000 * by)").alias("deviation_micro"))
 
 
 @query("p04_inside_any_zone", "consumers", "restrictions", "rules", oracle=f"""SELECT c.id, r.id AS restriction FROM consumers c JOIN restrictions r ON r.xmin - 12 <= c.x AND r.xmax + 12 >= c.x AND r.ymin - 12 <= c.y AND r.ymax + 12 >= c.y JOIN rules u ON u.restriction_type = r.restriction_type
