@@ -232,7 +232,7 @@ def sections(held: DataFrame, legs: DataFrame, zones: DataFrame, roots: DataFram
     A chain of ``roots`` (chain) whose last point lies inside a road or tram
     polygon ends there: its section reaches to the end and has no exit.
     """
-    special = zones.where("kind = 'SPECIAL'").select("poly", "restriction_type", "min_angle", "extent_m")
+    special = zones.where("kind = 'SPECIAL'").select("poly", "restriction_type", "min_angle", "extent_m", "kspec_pct")
     whole = legs.select("chain", "total").distinct()
     out = held.where("hi - lo >= 1e-6").join(special, "poly").join(whole, "chain")
     rooted = F.lit(False)
@@ -241,7 +241,7 @@ def sections(held: DataFrame, legs: DataFrame, zones: DataFrame, roots: DataFram
         rooted = F.coalesce("_root", F.lit(False))
     ends = rooted & F.col("restriction_type").isin(*ROADS) & (F.col("hi") >= F.col("total") - SNAP)
     out = out.withColumns({"ends_inside": ends, "_from": F.col("lo") - F.col("extent_m"), "_to": F.when(ends, F.col("total")).otherwise(F.col("hi") + F.col("extent_m"))})
-    return out.select("chain", "poly", F.greatest(F.lit(0.0), "_from").alias("from"), F.least("total", "_to").alias("to"), "lo", "hi", "entry", "exit", "total", "min_angle", "ends_inside",
+    return out.select("chain", "poly", F.greatest(F.lit(0.0), "_from").alias("from"), F.least("total", "_to").alias("to"), "lo", "hi", "entry", "exit", "total", "min_angle", "kspec_pct", "ends_inside",
                       ((F.col("_from") < -SNAP) | (F.col("_to") > F.col("total") + SNAP)).alias("sticks_out"))
 
 
@@ -285,3 +285,51 @@ def alongside(near: DataFrame, held: DataFrame, met: DataFrame, found: DataFrame
         of_all = parts.select("chain", "poly").distinct().join(exempt.where("poly IS NULL").drop("poly"), "chain").select("chain", "poly", "lo", "hi")
         covers = covers.unionByName(of_all).unionByName(exempt.where("poly IS NOT NULL").select("chain", "poly", "lo", "hi"))
     return outside_covers(parts, covers)
+
+
+def verdicts(segments: DataFrame, ring_edges: DataFrame, zones: DataFrame) -> DataFrame:
+    """chain, length, forward, backward, special, weight of straight segments (chain, ax, ay, bx, by_) among polygons.
+
+    A segment is admissible if no forbidden polygon is nearer than required and
+    every crossing of another has its section inside the segment and nothing too
+    near beside it. The angle counts where a polygon is entered, so one direction
+    may hold and the other not. The weight is the length, its parts in sections
+    times the largest factor there. Segments that meet nothing are admissible.
+    """
+    from . import intervals as I
+    from .shared import table
+
+    # Each is read several times below.
+    legs = table(measured(segments.select("chain", F.lit(0).alias("k"), F.lit(0).alias("line"), F.lit(True).alias("special"), *ENDS)), "legs")
+    met = table(cuts(legs, ring_edges), "cuts")
+    held = table(intervals(legs, ring_edges, met), "held")
+    near = table(near_edges(legs, ring_edges), "near")
+    banned = zones.where("kind = 'FORBIDDEN'")
+    shut = distances(near, held, legs).join(banned.select("poly", "need"), "poly").where(F.col("d") < F.col("need") - TOLERANCE).select("chain")
+    found = sections(held, legs, zones)
+    low = lambda c: (F.col("min_angle") > 0) & (F.col(c) + ANGLE_DEG < F.col("min_angle"))
+    shut = shut.unionByName(alongside(near, held, met, found, legs, zones).select("chain")).unionByName(found.where("sticks_out").select("chain")).distinct().withColumn("_shut", F.lit(True))
+    angles = found.groupBy("chain").agg(F.max(F.coalesce(low("entry"), F.lit(False))).alias("_in"), F.max(F.coalesce(low("exit"), F.lit(False))).alias("_out"))
+    over = I.covering_max(found.withColumnRenamed("from", "lo_").withColumnRenamed("to", "hi_"), "chain", "lo_", "hi_", "kspec_pct")
+    extra = over.groupBy("chain").agg(F.sum((F.col("hi") - F.col("lo")) * (F.col("top") - 100) / 100).alias("_extra"))
+    out = legs.select("chain", F.col("len").alias("length")).join(shut, "chain", "left").join(angles, "chain", "left").join(extra, "chain", "left")
+    free = F.col("_shut").isNull()
+    return out.select("chain", "length", (free & ~F.coalesce("_in", F.lit(False))).alias("forward"), (free & ~F.coalesce("_out", F.lit(False))).alias("backward"), F.col("_in").isNotNull().alias("special"),
+                      (F.col("length") + F.coalesce("_extra", F.lit(0.0))).alias("weight"))
+
+
+def visible(vertices: DataFrame, ring_edges: DataFrame, zones: DataFrame, radius: float) -> DataFrame:
+    """a, b, length, forward, backward, special, weight: pairs of vertices (id, x, y) within ``radius`` that see each other, a < b; forward is from a to b.
+
+    Vertices meet on grid cells of the radius; the pairs are then segments like
+    any others, so what blocks them is found by the cells they walk.
+    """
+    other = vertices.select(F.col("id").alias("b"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    pairs = spatial.points_near_points(vertices.select("id", "x", "y"), other, radius).where("id < b AND d2 > 0")
+    segments = pairs.select(F.struct(F.col("id").alias("a"), "b").alias("chain"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("rx").alias("bx"), F.col("ry").alias("by_"))
+    return verdicts(segments, ring_edges, zones).where("forward OR backward").select("chain.a", "chain.b", "length", "forward", "backward", "special", "weight")
+
+
+def directed(pairs: DataFrame) -> DataFrame:
+    """src, dst, weight: the directions in which pairs of ``visible`` may be taken."""
+    return pairs.where("forward").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(pairs.where("backward").select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))

@@ -22,11 +22,6 @@ def others(s):
     return s.chambers.select(F.col("id").alias("chamber"), F.col("x").alias("rx"), F.col("y").alias("ry"))
 
 
-@query("j12_visible_pairs", "chambers", oracle="SELECT c.id AS a, h.id AS b FROM chambers c JOIN chambers h ON c.id < h.id AND (c.x-h.x)*(c.x-h.x)+(c.y-h.y)*(c.y-h.y) <= 300*300")
-def visible(s):
-    return spatial.points_near_points(s.chambers, others(s), 300.0).where("id < chamber").select(F.col("id").alias("a"), F.col("chamber").alias("b"))
-
-
 @query("j14_line_projections", "consumers", "net_lines", oracle=f"SELECT c.id, l.id AS line, {MICRO.format('least(greatest(c.x, 0), 2000)')} AS measure_micro FROM consumers c JOIN net_lines l ON abs(c.y - l.ay) <= 60 WHERE c.x <= 2000")
 def projections(s):
     near = spatial.points_near_segments(s.consumers, s.net_lines.withColumnRenamed("id", "line"), 60.0).where("x <= 2000")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ...operators import paths
 from ...operators import polygons as P
+from ...operators.shared import table
 from ..catalog import query
 from .formulas import MICRO, micro
 
@@ -44,19 +47,25 @@ PARTS = f"""{NEAR}, c AS (SELECT chain, k, poly, ring, edge, run, {O3} / ({O3} -
   islands AS (SELECT *, sum(b) OVER (PARTITION BY chain, poly ORDER BY lo, hi) AS island FROM marked),
   held AS (SELECT chain, poly, min(lo) AS lo, max(hi) AS hi, arg_min(entry, lo) AS entry, arg_max(exit_, hi) AS exit_ FROM islands GROUP BY chain, poly, island)""".replace("SELECT chain, k, i.poly", "SELECT chain, i.k, i.poly")
 DISTANCE = f"sqrt(CASE WHEN {O1} * {O2} < 0 AND {O3} * {O4} < 0 THEN 0 ELSE least({to_segment('ax', 'ay', *EDGE)}, {to_segment('bx', 'by_', *EDGE)}, {to_segment('ex', 'ey', *LEG)}, {to_segment('fx', 'fy', *LEG)}) END)"
-APART = f"""{PARTS}, lone AS (SELECT chain, k, poly, min({DISTANCE}) AS d FROM near GROUP BY chain, k, poly HAVING min({DISTANCE}) <= 15),
+_APART = f"""lone AS (SELECT chain, k, poly, min({DISTANCE}) AS d FROM near GROUP BY chain, k, poly HAVING min({DISTANCE}) <= 15),
   within_ AS (SELECT DISTINCT h.chain, m.k, h.poly FROM held h JOIN m ON m.chain = h.chain WHERE least(hi, s1) - greatest(lo, s0) > 1e-9),
   d AS (SELECT chain, k, poly, CASE WHEN w.chain IS NOT NULL THEN 0 ELSE d END AS d FROM lone FULL JOIN within_ w USING (chain, k, poly))""".replace("CASE WHEN w.chain IS NOT NULL", "CASE WHEN w.inside_").replace("SELECT DISTINCT h.chain, m.k, h.poly FROM", "SELECT DISTINCT h.chain, m.k, h.poly, true AS inside_ FROM")
+APART = f"{PARTS}, {_APART}"
 
 
 class Found:
-    """The scene's measured legs and what they meet, each made once."""
+    """The scene's measured legs and what they meet, each written once."""
 
     def __init__(self, s):
-        self.zones, self.edges, self.legs = s.zones, s.rings, P.measured(s.legs)
-        self.met = P.cuts(self.legs, self.edges)
-        self.held = P.intervals(self.legs, self.edges, self.met)
-        self.near = P.near_edges(self.legs, self.edges)
+        self.zones, self.edges, self.legs = s.zones, s.rings, table(P.measured(s.legs), "legs")
+        self.met = table(P.cuts(self.legs, self.edges), "cuts")
+        self.held = table(P.intervals(self.legs, self.edges, self.met), "held")
+
+    @property
+    def near(self):
+        if "_near" not in self.__dict__:
+            self._near = table(P.near_edges(self.legs, self.edges), "near")
+        return self._near
 
 
 @query("f11_ring_edges", "rings", oracle=f"SELECT poly, ring, count(*)::BIGINT AS edges, {MICRO.format('sum(ax * by_ - bx * ay) / 2')} AS area_micro FROM rings GROUP BY poly, ring")
@@ -164,18 +173,23 @@ def capsule_intervals(s):
     return P.capsules(f.near, f.legs, f.zones.where("kind = 'SPECIAL'")).select("chain", "k", "poly", "ring", "edge", micro(F.col("lo")).alias("lo_micro"), micro(F.col("hi")).alias("hi_micro"))
 
 
-@query("p07_clearance_outside", "legs", "rings", "zones", oracle=f"""WITH {CAPSULES},
-  parts AS (SELECT chain, poly, lo, hi FROM caps UNION ALL SELECT h.chain, h.poly, lo, hi FROM held h JOIN zones z ON z.poly = h.poly AND z.kind = 'SPECIAL'),
+def outside(discs: bool) -> str:
+    """SQL: too_near(chain, poly, lo, hi) outside sections, the crossed edges' own zones and (``discs``) the first 10 m."""
+    exempt = " UNION ALL SELECT p.chain, p.poly, d.lo, d.hi FROM (SELECT DISTINCT chain, poly FROM parts) p JOIN discs d ON d.chain = p.chain" if discs else ""
+    return f"""parts AS (SELECT chain, poly, lo, hi FROM caps UNION ALL SELECT h.chain, h.poly, lo, hi FROM held h JOIN zones z ON z.poly = h.poly AND z.kind = 'SPECIAL'),
   discs AS (SELECT chain, s0 + lo AS lo, s0 + hi AS hi FROM (SELECT chain, s0, {disc('ax', 'ay')[0]} AS lo, {disc('ax', 'ay')[1]} AS hi FROM (SELECT *, 10::DOUBLE AS r FROM m WHERE k = 0) x) y),
   covers0 AS (SELECT chain, poly, a AS lo, b AS hi FROM found UNION ALL SELECT p.chain, p.poly, p.lo, p.hi FROM caps p WHERE EXISTS (SELECT 1 FROM c WHERE c.chain = p.chain AND c.run = p.run AND c.poly = p.poly AND c.ring = p.ring AND c.edge = p.edge)
-    AND EXISTS (SELECT 1 FROM found f WHERE f.chain = p.chain AND f.poly = p.poly) UNION ALL SELECT p.chain, p.poly, d.lo, d.hi FROM (SELECT DISTINCT chain, poly FROM parts) p JOIN discs d ON d.chain = p.chain),
+    AND EXISTS (SELECT 1 FROM found f WHERE f.chain = p.chain AND f.poly = p.poly){exempt}),
   joined AS (SELECT *, coalesce((lo - max(hi) OVER (PARTITION BY chain, poly ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 0.02)::INT, 1) AS nb FROM covers0),
   numbered AS (SELECT *, sum(nb) OVER (PARTITION BY chain, poly ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM joined),
   covers AS (SELECT chain, poly, min(lo) AS lo, max(hi) AS hi FROM numbered GROUP BY chain, poly, g),
   marks AS (SELECT DISTINCT chain, poly, pos FROM (SELECT chain, poly, unnest([lo, hi]) AS pos FROM parts UNION ALL SELECT chain, poly, unnest([lo, hi]) FROM covers) x),
-  gaps AS (SELECT chain, poly, pos AS lo, lead(pos) OVER (PARTITION BY chain, poly ORDER BY pos) AS hi FROM marks)
-  SELECT g.chain, g.poly, {MICRO.format('g.lo')} AS lo_micro, {MICRO.format('g.hi')} AS hi_micro FROM gaps g WHERE hi - lo > 1e-9 AND EXISTS (SELECT 1 FROM parts p WHERE p.chain = g.chain AND p.poly = g.poly AND p.lo <= g.lo AND p.hi >= g.hi)
-    AND NOT EXISTS (SELECT 1 FROM covers p WHERE p.chain = g.chain AND p.poly = g.poly AND p.lo <= g.lo AND p.hi >= g.hi)""")
+  gaps AS (SELECT chain, poly, pos AS lo, lead(pos) OVER (PARTITION BY chain, poly ORDER BY pos) AS hi FROM marks),
+  too_near AS (SELECT g.chain, g.poly, g.lo, g.hi FROM gaps g WHERE hi - lo > 1e-9 AND EXISTS (SELECT 1 FROM parts p WHERE p.chain = g.chain AND p.poly = g.poly AND p.lo <= g.lo AND p.hi >= g.hi)
+    AND NOT EXISTS (SELECT 1 FROM covers p WHERE p.chain = g.chain AND p.poly = g.poly AND p.lo <= g.lo AND p.hi >= g.hi))"""
+
+
+@query("p07_clearance_outside", "legs", "rings", "zones", oracle=f"WITH {CAPSULES}, {outside(True)} SELECT chain, poly, {MICRO.format('lo')} AS lo_micro, {MICRO.format('hi')} AS hi_micro FROM too_near")
 def clearance_outside(s):
     """Where chains are too near to crossable polygons outside their sections; the first 10 m of a chain are exempt."""
     f = Found(s)
@@ -184,3 +198,59 @@ def clearance_outside(s):
     exempt = P.discs(f.legs.where("k = 0"), centres)
     out = P.alongside(f.near, f.held, f.met, found, f.legs, f.zones, exempt)
     return out.select("chain", "poly", micro(F.col("lo")).alias("lo_micro"), micro(F.col("hi")).alias("hi_micro"))
+
+
+#: Pairs of chambers within 300 m as legs of their own, judged by all rules.
+VISIBLE = f"""legs AS (SELECT {{'a': c.id, 'b': h.id}} AS chain, 0 AS k, 0 AS line, true AS special, c.x AS ax, c.y AS ay, h.x AS bx, h.y AS by_ FROM chambers c JOIN chambers h ON c.id < h.id AND (c.x-h.x)*(c.x-h.x)+(c.y-h.y)*(c.y-h.y) <= 300*300 AND (c.x <> h.x OR c.y <> h.y)),
+  {CAPSULES.replace("chain % 2 = 0", "false")}, {outside(False)}, {_APART},
+  shut AS (SELECT d.chain FROM d JOIN zones z ON z.poly = d.poly AND z.kind = 'FORBIDDEN' WHERE d < need - 0.001::DOUBLE UNION SELECT chain FROM too_near UNION SELECT chain FROM found WHERE out_),
+  angles AS (SELECT chain, bool_or(coalesce(min_angle > 0 AND entry + 1e-4 < min_angle, false)) AS in_, bool_or(coalesce(min_angle > 0 AND exit_ + 1e-4 < min_angle, false)) AS out_ FROM found GROUP BY chain),
+  bounds2 AS (SELECT DISTINCT chain, unnest([a, b]) AS pos FROM found), cells AS (SELECT chain, pos AS lo, lead(pos) OVER (PARTITION BY chain ORDER BY pos) AS hi FROM bounds2),
+  tops AS (SELECT c.chain, c.lo, c.hi, max(z.kspec_pct) AS top FROM cells c JOIN found f ON f.chain = c.chain AND f.a <= c.lo AND c.hi <= f.b JOIN zones z ON z.poly = f.poly GROUP BY c.chain, c.lo, c.hi),
+  extras AS (SELECT chain, sum((hi - lo) * (top - 100) / 100) AS extra FROM tops GROUP BY chain),
+  seen AS (SELECT m.chain.a AS a, m.chain.b AS b, m.len AS length, s.chain IS NULL AND NOT coalesce(in_, false) AS forward, s.chain IS NULL AND NOT coalesce(g.out_, false) AS backward, g.chain IS NOT NULL AS special, m.len + coalesce(extra, 0) AS weight
+    FROM m LEFT JOIN shut s ON s.chain = m.chain LEFT JOIN angles g ON g.chain = m.chain LEFT JOIN extras e ON e.chain = m.chain)"""
+
+
+@query("j12_visible_pairs", "chambers", "rings", "zones", oracle=f"WITH {VISIBLE} SELECT a, b, forward, backward, special, {MICRO.format('weight')} AS weight_micro FROM seen WHERE forward OR backward")
+def visible_pairs(s):
+    """Chambers within 300 m that see each other past all polygons, by direction."""
+    return P.visible(s.chambers, s.rings, s.zones, 300.0).select("a", "b", "forward", "backward", "special", micro(F.col("weight")).alias("weight_micro"))
+
+
+def chamber_paths(s):
+    """Least costs between all chambers over visible segments."""
+    pairs = table(P.visible(s.chambers, s.rings, s.zones, 300.0), "visible")
+    scene = F.lit(0).alias("scene")
+    return paths.shortest(P.directed(pairs).select(scene, "src", "dst", "weight"), s.chambers.select(scene, F.col("id").alias("source")))
+
+
+BEST = f"""ways AS MATERIALIZED (WITH {VISIBLE} SELECT a AS src, b AS dst, weight FROM seen WHERE forward UNION ALL SELECT b, a, weight FROM seen WHERE backward),
+  best(source, node, cost) USING KEY (source, node) AS (SELECT id, id, 0::DOUBLE FROM chambers UNION
+    SELECT x.source, x.node, x.cost FROM (SELECT b.source, w.dst AS node, min(b.cost + w.weight + 0.3::DOUBLE) AS cost FROM best b JOIN ways w ON w.src = b.node GROUP BY b.source, w.dst) x
+    LEFT JOIN recurring.best r ON r.source = x.source AND r.node = x.node WHERE r.cost IS NULL OR x.cost < r.cost)"""
+
+
+@query("g03_shortest_paths", "chambers", "rings", "zones", recursive=True, oracle=f"WITH {BEST} SELECT source, node, {MICRO.format('cost')} AS cost_micro FROM best")
+def shortest_paths(s):
+    """Least cost of a way between any two chambers, 0.3 m for each vertex."""
+    return chamber_paths(s).select("source", "node", micro(F.col("cost")).alias("cost_micro"))
+
+
+@query("g04_path_nodes", "chambers", "rings", "zones", recursive=True, oracle=f"""WITH {BEST}, prevs AS (SELECT b.source, b.node, min(w.src) AS prev FROM best b JOIN ways w ON w.dst = b.node JOIN best p ON p.source = b.source AND p.node = w.src AND p.cost + w.weight + 0.3::DOUBLE = b.cost WHERE b.node <> b.source GROUP BY b.source, b.node),
+  walks AS (SELECT source, node AS target, node, 0 AS back FROM best UNION ALL SELECT w.source, w.target, p.prev, w.back + 1 FROM walks w JOIN prevs p ON p.source = w.source AND p.node = w.node)
+  SELECT source, target, count(*)::BIGINT AS nodes, sum((node + 1) * (back + 1))::BIGINT AS digest FROM walks GROUP BY source, target""")
+def path_nodes(s):
+    """The nodes of every shortest way: how many there are, and a sum that tells their order."""
+    found = table(chamber_paths(s), "paths")
+    way = paths.routes(found, found.select("scene", "source", F.col("node").alias("target")))
+    last = F.max("place").over(Window.partitionBy("source", "target"))
+    return way.withColumn("back", last - F.col("place")).groupBy("source", "target").agg(F.count(F.lit(1)).alias("nodes"), F.sum((F.col("node") + 1) * (F.col("back") + 1)).alias("digest"))
+
+
+@query("g19_separate_distances", "chambers", "rings", "zones", recursive=True, oracle=f"""WITH {BEST}, met AS (SELECT source, node, cost, row_number() OVER (PARTITION BY source ORDER BY cost, node) AS k FROM best WHERE node <> source)
+  SELECT source, node AS target, {MICRO.format('cost')} AS cost_micro FROM met WHERE k = 1""")
+def separate_distances(s):
+    """The nearest other chamber by way, for each chamber."""
+    found = table(chamber_paths(s), "paths")
+    return paths.nearest_targets(found, s.chambers.select(F.lit(0).alias("scene"), F.col("id").alias("node"))).select("source", "target", micro(F.col("cost")).alias("cost_micro"))

@@ -49,7 +49,7 @@ VIEWS = {
         CAST((p_partkey * 9973) % 6000 + d.ny * CASE WHEN r.ring = 0 THEN 4 + (p_partkey * 13 + ((d.k + 1) % 8) * ((d.k + 1) % 8) * 7) % 20 ELSE 2 END AS DOUBLE) AS by_
         FROM {part} CROSS JOIN (VALUES (0), (1)) AS r(ring) CROSS JOIN (VALUES (0, 1, 0, 1, 1), (1, 1, 1, 0, 1), (2, 0, 1, -1, 1), (3, -1, 1, -1, 0), (4, -1, 0, -1, -1), (5, -1, -1, 0, -1), (6, 0, -1, 1, -1), (7, 1, -1, 1, 0)) AS d(k, dx, dy, nx, ny)
         WHERE r.ring = 0 OR p_partkey % 3 = 0""",
-    "zones": """SELECT r.id AS poly, r.restriction_type, u.kind, u.min_angle, u.extent_m, CASE WHEN r.restriction_type = 'oks' THEN CAST(5 AS DOUBLE) ELSE u.clearance_mm / CAST(1000 AS DOUBLE) END + CAST(0.255 AS DOUBLE) + u.width_mm / CAST(2000 AS DOUBLE) AS need
+    "zones": """SELECT r.id AS poly, r.restriction_type, u.kind, u.min_angle, u.extent_m, u.kspec_pct, CASE WHEN r.restriction_type = 'oks' THEN CAST(5 AS DOUBLE) ELSE u.clearance_mm / CAST(1000 AS DOUBLE) END + CAST(0.255 AS DOUBLE) + u.width_mm / CAST(2000 AS DOUBLE) AS need
         FROM {restrictions} r JOIN {rules} u ON u.restriction_type = r.restriction_type""",
     "legs": """SELECT a.id AS chain, a.k, CAST(floor(a.k / 2) AS INT) AS line, (a.id + CAST(floor(a.k / 2) AS INT)) % 3 = 0 AS special, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM {vertices} a JOIN {vertices} b ON b.id = a.id AND b.k = a.k + 1""",
     "uploads": """SELECT CAST(user_id AS BIGINT) AS upload, CAST(event_id AS BIGINT) % 7 AS part, event_type, ts, CAST(event_id AS BIGINT) AS event_id FROM {events}""",

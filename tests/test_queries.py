@@ -25,7 +25,7 @@ def rows(values, names):
     return sorted((tuple(round(v[i], 6) if isinstance(v[i], float) else v[i] for i in order) for v in values), key=repr)
 
 
-@pytest.mark.parametrize("name", ["f35_k_depth", "f39_piece_cost", "f49_depth_cost"])
+@pytest.mark.parametrize("name", ["f35_depth_factor", "f39_piece_cost", "f49_depth_cost"])
 def test_rounding_over_more_rows(spark, name):
     """Halves that fall between two whole numbers are rare: the larger tables hold some."""
     con, large = duckdb.connect(), DATA.replace("0.001", "0.01")
