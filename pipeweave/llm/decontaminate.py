@@ -11,12 +11,15 @@ probability of 1e-9 at most at any size of the partition. Partitions whose
 items have no more shingles than the sketch hold all of them, exactly.
 Candidates are verified on the full sets of words.
 
-Items are sketched by Spark tasks and stay in tables. One scan of the
-documents, for any number of items, keeps the shingles that a bitmap of the
-sketches' hashes lets pass (``FILTER_BITS`` bits, whatever the number of
-items: more items let more pass) and only documents that have some; these
-shingles meet the sketches in a join, and texts are shuffled only for
-candidates.
+Items are sketched by Spark tasks and stay in tables; items of one text count
+once until the end. One scan of the documents, for any number of items, keeps
+the shingles that a Bloom filter of the sketches' hashes lets pass (two probes,
+512 bits a hash, ``MOST_BITS`` at most) and only documents that have as many of
+them as the least demanding item needs. Of an item's sketch only the hashes
+that fewest items share meet the documents in a join, as many as no document
+with enough hits can miss all of; the hits are then counted for these pairs
+alone, so a phrase that stands in many items joins nothing unless it must.
+Texts are shuffled only for candidates.
 
 Defined results: items and documents without words match nothing; an item of
 fewer words than a shingle is one shingle of its whole sequence; a null id is
@@ -36,8 +39,8 @@ from .word_hashes import make_hasher, shingled
 
 PERMUTATIONS = 32
 MISS = 1e-9
-#: Bits of the bitmap of sketch hashes that goes to every task: 2 MB.
-FILTER_BITS = 1 << 24
+#: Bits of the filter of sketch hashes that goes to every task: 16 MB at most; beyond some 260,000 hashes more shingles pass.
+LEAST_BITS, MOST_BITS, BITS_A_HASH = 1 << 20, 1 << 27, 512
 
 
 def sketch_size(partition: int, permutations: int) -> int:
@@ -62,9 +65,15 @@ def needed(partition: int, permutations: int, percent: int) -> int:
                 return max(1, hits)
         return s
 
-    sizes = range((1 << partition - 1) + 1, (1 << partition) + 1) if partition else [1]
-    # A draw from few is less spread than one from many; ceilings matter less and less.
-    return min(map(at, sizes if partition <= 9 else [*sizes[:64], *sizes[-64:]]))
+    if partition <= 9:
+        return min(map(at, range((1 << partition - 1) + 1, (1 << partition) + 1) if partition else [1]))
+    # Far below its mean a draw without replacement is less likely than one with replacement (Uhlmann 1966), so the binomial law bounds all larger items.
+    p, below = percent / 100, 0.0
+    for hits in range(s + 1):
+        below += comb(s, hits) * p**hits * (1 - p) ** (s - hits)
+        if below > MISS:
+            return max(1, hits)
+    return s
 
 
 def _sketches(items: DataFrame, words: int, percent: int, permutations: int) -> DataFrame:
@@ -97,26 +106,45 @@ def _sketches(items: DataFrame, words: int, percent: int, permutations: int) ->
     return items.mapInArrow(run, "uid bigint, k int, need int, h bigint")
 
 
-def _bitmap(sketches: DataFrame) -> bytes:
-    """The sketch hashes modulo FILTER_BITS as bits; at most FILTER_BITS / 64 rows come to the driver."""
+def _probes(h: str, bits: int) -> list[str]:
+    """SQL: the two places of a hash in the filter."""
+    return [f"({h} & {bits - 1}L)", f"(shiftrightunsigned({h}, 32) & {bits - 1}L)"]
+
+
+def _filter(sketches: DataFrame) -> bytes:
+    """A Bloom filter of the sketch hashes; at most MOST_BITS / 64 rows of eight bytes come to the driver."""
     import numpy as np
 
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    rows = sketches.selectExpr(f"cast(shiftright(h & {FILTER_BITS - 1}L, 6) as int) AS word", "shiftleft(1L, cast(h & 63L as int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return bits.tobytes()
+    n = sketches.select("h").distinct().count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS_A_HASH - 1).bit_length() if n else LEAST_BITS))
+    out = np.zeros(bits // 64, dtype=np.int64)
+    at = sketches.selectExpr(f"explode(array({', '.join(_probes('h', bits))})) AS at")
+    rows = at.selectExpr("cast(shiftright(at, 6) as int) AS word", "shiftleft(1L, cast(at & 63L as int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return out.tobytes()
+
+
+def _probing(sketches: DataFrame) -> DataFrame:
+    """h, uid: of each sketch the hashes that fewest items hold, one more than a candidate may lack."""
+    from pyspark.sql import Window
+
+    shared = sketches.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = sketches.join(shared, F.col("h") == F.col("_h")).withColumn("_k", F.row_number().over(Window.partitionBy("uid").orderBy("_n", "h")))
+    return ranked.withColumn("_s", F.count(F.lit(1)).over(Window.partitionBy("uid"))).where("_k <= _s - need + 1").select("h", "uid")
 
 
 def _found(docs: DataFrame, columns: list, text: str, items: DataFrame, item_columns: list, item_text: str, words: int, percent: int, permutations: int) -> DataFrame:
     """``columns`` of the documents, ``item_columns`` of the items they contain, n_item_shingles, n_shared."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    benchmark = items.select(F.monotonically_increasing_id().alias("uid"), *item_columns, items[item_text].alias("item_text"))
-    benchmark = common.table(benchmark, "items")
-    names = [c for c in benchmark.columns if c not in ("uid", "item_text")]
+    all_items = items.select(*item_columns, items[item_text].alias("item_text"), F.md5(items[item_text].cast("binary")).alias("item_name"))
+    names = [c for c in all_items.columns if c not in ("item_text", "item_name")]
+    once = all_items.where("item_name IS NOT NULL").groupBy("item_name").agg(F.first("item_text").alias("item_text"))
+    benchmark = common.table(once.withColumn("uid", F.monotonically_increasing_id()), "items")
     sketches = common.table(_sketches(benchmark.select("uid", "item_text"), words, percent, permutations), "sketches")
     lengths = [r["k"] for r in sketches.select("k").distinct().collect()]  # at most ``words`` numbers
-    bitmap = _bitmap(sketches)
+    least = sketches.agg(F.min("need")).first()[0] or 1
+    passing = _filter(sketches)
     whole = docs.select(*columns, docs[text].alias("text"))
     place = len(whole.columns) - 1
 
@@ -126,15 +154,20 @@ def _found(docs: DataFrame, columns: list, text: str, items: DataFrame, item_col
         from pyspark import TaskContext
 
         hasher, u = make_hasher(), np.uint64
-        bits, mask = np.frombuffer(bitmap, dtype=u), u(FILTER_BITS - 1)
+        bits = np.frombuffer(passing, dtype=u)
+        mask = u(len(bits) * 64 - 1)
+
+        def passes(at):
+            return (bits[(at >> u(6)).astype(np.int64)] >> (at & u(63))) & u(1) > 0
+
         number = TaskContext.get().partitionId() << 33
         for b in batches:
             h, owner = hasher([(t or "").encode() for t in b.column(place).to_pylist()])
             keys, rows = [], []
             for k in lengths:
                 z, o = shingled(h, owner, k)
-                at = z & mask
-                ok = (bits[(at >> u(6)).astype(np.int64)] >> (at & u(63))) & u(1) > 0
+                ok = np.flatnonzero(passes(z & mask))
+                ok = ok[passes((z[ok] >> u(32)) & mask)]
                 keys.append(z[ok])
                 rows.append(o[ok])
             key, row = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, rows))
@@ -143,6 +176,9 @@ def _found(docs: DataFrame, columns: list, text: str, items: DataFrame, item_col
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, dtype=bool)
             key, row = key[new], row[new]
             there, count = np.unique(row, return_counts=True)
+            enough = count >= least
+            held = np.repeat(enough, count)
+            key, there, count = key[held], there[enough], count[enough]
             ids = np.arange(number, number + len(there))
             number += len(there)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(key.view(np.int64)))
@@ -152,9 +188,10 @@ def _found(docs: DataFrame, columns: list, text: str, items: DataFrame, item_col
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema)
     # Written before it is read twice, so the numbers of its rows stay.
     hits = common.table(whole.mapInArrow(scan, f"doc_uid bigint, keys array<bigint>, {fields}"), "hits")
-    met = hits.select("doc_uid", F.explode("keys").alias("h")).join(sketches.select("h", "uid", "need"), "h")
-    candidates = met.groupBy("doc_uid", "uid").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need")).where("hits >= need").select("doc_uid", "uid")
-    pairs = candidates.join(benchmark, "uid").join(hits.drop("keys"), "doc_uid")
+    met = hits.select("doc_uid", F.explode("keys").alias("h")).join(_probing(sketches), "h").select("doc_uid", "uid").distinct()
+    whole_sketches = sketches.groupBy("uid").agg(F.collect_list("h").alias("sketch"), F.max("need").alias("need"))
+    counted = met.join(hits.select("doc_uid", "keys"), "doc_uid").join(whole_sketches, "uid").where("size(array_intersect(keys, sketch)) >= need").select("doc_uid", "uid")
+    pairs = counted.join(benchmark, "uid").join(hits.drop("keys"), "doc_uid")
     own = whole.columns[:-1]
 
     def verify(batches):
@@ -177,9 +214,10 @@ def _found(docs: DataFrame, columns: list, text: str, items: DataFrame, item_col
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[2:]), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())], [*b.schema.names[2:], "n_item_shingles", "n_shared"])
 
-    out = pairs.select("item_text", "text", *own, *names)
+    out = pairs.select("item_text", "text", *own, "item_name")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[2:])
-    return out.mapInArrow(verify, f"{fields}, n_item_shingles bigint, n_shared bigint")
+    found = out.mapInArrow(verify, f"{fields}, n_item_shingles bigint, n_shared bigint")
+    return found.join(all_items.select("item_name", *names), "item_name").select(*own, *names, "n_item_shingles", "n_shared")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, percent: int = 80, permutations: int = PERMUTATIONS) -> DataFrame:

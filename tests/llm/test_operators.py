@@ -432,7 +432,8 @@ def test_substring_dedup_of_rows_that_share_an_id(spark):
 
 @pytest.mark.parametrize("bits", [64, 1 << 24])
 def test_decontamination(spark, docs, nothing, bits, monkeypatch):
-    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
     texts = dict(r for r in make_docs() if r[0] is not None)
     items = [(1, " ".join(texts[3].split()[20:60])), (2, "one"), (3, None), (4, " ".join(texts[9].upper().split()[:30]) + " other words come at the end"), (5, "no such words at all in them"), (6, "")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -587,3 +588,26 @@ def test_many_candidates_take_time_in_proportion(spark):
         assert len(pii.find(df).collect()) == 2
         took.append(time.time() - began)
     assert took[1] < 8 * took[0] + 10, took
+
+
+def test_decontamination_recall_by_size(spark):
+    """Items of 40 to 5,000 shingles, planted with 81 to 95 % of their shingles left, inside long documents; and a phrase that all items share."""
+    r = random.Random(17)
+    word = lambda: f"t{r.randrange(10**7)}"
+    phrase = [word() for _ in range(60)]
+    items, rows, want = [], [], set()
+    for i, n in enumerate((40, 64, 130, 300, 520, 700, 1100, 2500, 5000)):
+        own = [word() for _ in range(n - 56)] + phrase if n > 200 else [word() for _ in range(n + 4)]
+        items += [(i, " ".join(own)), (100 + i, " ".join(own))]  # each twice
+        for j, share in enumerate((0.05, 0.12, 0.18)):
+            # A changed word costs five shingles.
+            t, changed = list(own), r.sample(range(3, len(own) - 3, 6), max(1, int(share * n / 5)))
+            for c in changed:
+                t[c] = word()
+            d = 10 * i + j
+            rows.append((d, " ".join([word() for _ in range(3000)] + t + [word() for _ in range(2000)])))
+            mine, theirs = (set(zip(*(x[k:] for k in range(5)))) for x in (own, t))
+            want |= {(d, x) for x in (i, 100 + i) if 100 * len(mine & theirs) >= 80 * len(mine)}
+    rows += [(1000 + k, " ".join([*phrase, *(word() for _ in range(500))])) for k in range(50)]
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contained_items(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == want and len(want) >= 50
