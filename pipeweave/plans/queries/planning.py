@@ -39,3 +39,15 @@ def profiles(s):
         F.col("link").alias("chain"), F.lit(500.0).alias("length_m"), F.lit(83530.0).alias("price"), (F.col("s0") + 20).alias("lo"), (F.col("s0") + 24).alias("hi"), F.when(F.col("method") == "COVER", "COVER").otherwise("GAP").alias("kind"), F.lit(0.16).alias("new_height"),
         (F.col("top_mm") / 1000).alias("top"), (F.col("height_mm") / 1000).alias("height"), (F.col("gap_mm") / 1000).alias("gap"), (F.col("min_cover_mm") / 1000).alias("cover"))
     return depth.plan_chains(rows)
+
+
+@query("o15_network_depths")
+def network_depths(s):
+    """Depths of all links, chains planned from the roots outwards; a link's first child goes straight on, its crossings are the sections of the order of its number."""
+    links = s.links.select("child", "parent", (F.col("child") % 2 == 1).alias("continues"), (F.col("length_mm") / 1000).alias("length_m"), F.lit(83530.0).alias("price"))
+    kinds = F.array(*(F.lit(k) for k in ("road", "tram_tracks", "gas_pipeline", "power_cable")))
+    at = s.sections.withColumn("restriction_type", F.element_at(kinds, (F.col("obstacle") % 4 + 1).cast("int"))).join(F.broadcast(s.vertical_rules), "restriction_type")
+    met = at.join(links.select(F.col("child").alias("link"), "length_m"), "link").where("length_m > 20 AND s0 < length_m - 10")
+    crossings = met.select(F.col("link").alias("child"), F.col("s0").alias("lo"), (F.col("s0") + 4).alias("hi"), F.when(F.col("method") == "COVER", "COVER").otherwise("GAP").alias("kind"), F.lit(0.16).alias("new_height"),
+                           (F.col("top_mm") / 1000).alias("top"), (F.col("height_mm") / 1000).alias("height"), (F.col("gap_mm") / 1000).alias("gap"), (F.col("min_cover_mm") / 1000).alias("cover"))
+    return depth.plan_network(depth.chained(links), crossings)
