@@ -47,13 +47,18 @@ def _position(c: Column) -> Column:
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Features (file, index, f) of result files and what is wrong with the files (file, index, problem); a file with a problem is refused as a whole.
+    """``strict`` of the files under a path."""
+    return strict(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def strict(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features (file, index, f) of result documents (file, value) and what is wrong with them (file, index, problem); a document with a problem is refused as a whole.
 
     The features must be one array of one complete object; each must be an
     object with an object of properties and a geometry that is null, a Point or
     a LineString of two positions at least, every position two finite numbers.
     """
-    docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("doc"))
+    docs = documents.select("file", F.try_parse_json("value").alias("doc"))
     features = _got("$.features", "doc")
     whole = docs.select("file", "doc", F.when(F.col("doc").isNull(), "MALFORMED_JSON").when(_kind(F.col("doc")) != "OBJECT", "NOT_AN_OBJECT").when(F.coalesce(_kind(features), F.lit("VOID")) != "ARRAY", "FEATURES_NOT_ONE_ARRAY").alias("problem"))
     each = whole.where("problem IS NULL").select("file", F.posexplode(F.try_variant_get("doc", F.lit("$.features"), "array<variant>")).alias("index", "f"))
