@@ -73,4 +73,4 @@ def write_report(job: Job, path: str) -> None:
     """CSV of the links of the ranked variants."""
     kept = job.links.join(job.variants.select("scene", "strategy", "rank"), ["scene", "strategy"])
     columns = ["scene", "rank", "child", "parent", "flow_dt", "du", "length_mm", "cost"]
-    geojson.write_csv(kept.select(*columns).orderBy("scene", "rank", "child"), path, tuple(columns))
+    geojson.write_csv(kept.select(*columns), path, tuple(columns), order=("scene", "rank", "child"))

@@ -333,3 +333,69 @@ def visible(vertices: DataFrame, ring_edges: DataFrame, zones: DataFrame, radius
 def directed(pairs: DataFrame) -> DataFrame:
     """src, dst, weight: the directions in which pairs of ``visible`` may be taken."""
     return pairs.where("forward").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(pairs.where("backward").select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+
+
+def noded(ring_edges: DataFrame, cell: float = 20.0) -> DataFrame:
+    """poly, ax, ay, bx, by_, n: the edges of each polygon cut where they meet, each once with how often it occurs; ends in order of x, then y.
+
+    Edges of one polygon meet on grid cells. A meeting point is computed once,
+    from the edge of smaller number, so that both edges are cut at the very same
+    point; edges that run along each other are cut at each other's ends.
+    """
+    from .shared import table
+
+    numbered = ring_edges.select("poly", F.struct("ring", "k").alias("e"), *ENDS)
+    cells = spatial.walked(numbered, cell, 1e-6)
+    p, q = [F.col(f"p.{c}") for c in ENDS], [F.col(f"q.{c}") for c in ENDS]
+    o1, o2, o3, o4 = G.orientation(*p, q[0], q[1]), G.orientation(*p, q[2], q[3]), G.orientation(*q, p[0], p[1]), G.orientation(*q, p[2], p[3])
+    apart = (F.greatest(p[0], p[2]) < F.least(q[0], q[2])) | (F.least(p[0], p[2]) > F.greatest(q[0], q[2])) | (F.greatest(p[1], p[3]) < F.least(q[1], q[3])) | (F.least(p[1], p[3]) > F.greatest(q[1], q[3]))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    t = o3 / (o3 - o4)
+    # An end that lies on the other edge is the point itself.
+    at = (F.when(o1 == 0, F.array(point(q[0], q[1]))).otherwise(F.array()), F.when(o2 == 0, F.array(point(q[2], q[3]))).otherwise(F.array()), F.when(o3 == 0, F.array(point(p[0], p[1]))).otherwise(F.array()), F.when(o4 == 0, F.array(point(p[2], p[3]))).otherwise(F.array()),
+          F.when((o1 * o2 < 0) & (o3 * o4 < 0), F.array(point(p[0] + (p[2] - p[0]) * t, p[1] + (p[3] - p[1]) * t))).otherwise(F.array()))
+    met = cells.alias("p").join(cells.alias("q"), (F.col("p.poly") == F.col("q.poly")) & (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy")) & (F.col("p.e") < F.col("q.e"))).where((o1 * o2 <= 0) & (o3 * o4 <= 0) & ~apart)
+    met = table(met.select(F.col("p.poly").alias("poly"), F.col("p.e").alias("e1"), F.col("q.e").alias("e2"), F.concat(*at).alias("at")), "meetings")
+    points = met.select("poly", F.col("e1").alias("e"), F.explode("at").alias("c")).unionByName(met.select("poly", F.col("e2").alias("e"), F.explode("at").alias("c"))).distinct()
+    ends = numbered.select("poly", "e", F.explode(F.array(point(F.col("ax"), F.col("ay")), point(F.col("bx"), F.col("by_")))).alias("c"))
+    along = ((F.col("c.x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("c.y") - F.col("ay")) * (F.col("by_") - F.col("ay")))
+    length = (F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("by_") - F.col("ay")) * (F.col("by_") - F.col("ay"))
+    every = points.unionByName(ends).distinct().join(numbered, ["poly", "e"]).withColumn("_t", along).where((F.col("_t") >= 0) & (F.col("_t") <= length))
+    w = Window.partitionBy("poly", "e").orderBy("_t")
+    parts = every.select("poly", F.col("c").alias("a"), F.lead("c").over(w).alias("b")).where("b IS NOT NULL AND a <> b")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return parts.select("poly", low["x"].alias("ax"), low["y"].alias("ay"), high["x"].alias("bx"), high["y"].alias("by_")).groupBy("poly", *ENDS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def repaired(ring_edges: DataFrame) -> DataFrame:
+    """Edges (poly, ring, k, ax, ay, bx, by_) of valid polygons with the same inside by parity: a bow-tie becomes two parts that touch, a ring inside a ring a hole, what is drawn twice goes.
+
+    Every edge that occurs an odd number of times parts inside from outside, so
+    those are the boundary; the inside lies to the left of each. Edges of a
+    part that hangs together have one ``ring``.
+    """
+    from . import graph
+    from .shared import table
+
+    odd = table(noded(ring_edges).where("n % 2 = 1").drop("n"), "noded")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")
+    n = F.sqrt(dx * dx + dy * dy)
+    # A little to the left of the middle: less than any edge is long.
+    step = F.least(F.lit(1e-4), n * 1e-3) / n
+    sided = odd.select("poly", F.struct(*ENDS).alias("e"), ((F.col("ax") + F.col("bx")) / 2 - dy * step).alias("x"), ((F.col("ay") + F.col("by_")) / 2 + dx * step).alias("y"))
+    left = inside(sided, odd, ["e"]).select("poly", *(F.col(f"e.{c}").alias(c) for c in ENDS), F.lit(True).alias("_left"))
+    turned = odd.join(left, ["poly", *ENDS], "left")
+    way = lambda a, b: F.when(F.col("_left"), F.col(a)).otherwise(F.col(b)).alias(a)
+    out = table(turned.select("poly", way("ax", "bx"), way("ay", "by_"), F.when(F.col("_left"), F.col("bx")).otherwise(F.col("ax")).alias("bx"), F.when(F.col("_left"), F.col("by_")).otherwise(F.col("ay")).alias("by_")), "turned")
+    vertex = lambda x, y: F.xxhash64("poly", x, y)
+    part = graph.components(out.select(vertex("ax", "ay").alias("child"), vertex("bx", "by_").alias("parent")))
+    named = out.join(part.withColumnRenamed("id", "_v"), vertex("ax", "ay") == F.col("_v")).drop("_v")
+    by_poly = Window.partitionBy("poly").orderBy("component")
+    return named.select("poly", (F.dense_rank().over(by_poly) - 1).alias("ring"), (F.row_number().over(Window.partitionBy("poly", "component").orderBy(*ENDS)) - 1).alias("k"), *ENDS)
+
+
+def invalid(ring_edges: DataFrame) -> DataFrame:
+    """poly of polygons that must be repaired: edges that cross, overlap or occur twice."""
+    own = ring_edges.groupBy("poly").agg(F.count(F.lit(1)).alias("_own"))
+    cut = noded(ring_edges).groupBy("poly").agg(F.count(F.lit(1)).alias("_cut"), F.max("n").alias("_most"))
+    return own.join(cut, "poly").where("_cut <> _own OR _most > 1").select("poly")

@@ -254,3 +254,18 @@ def separate_distances(s):
     """The nearest other chamber by way, for each chamber."""
     found = table(chamber_paths(s), "paths")
     return paths.nearest_targets(found, s.chambers.select(F.lit(0).alias("scene"), F.col("id").alias("node"))).select("source", "target", micro(F.col("cost")).alias("cost_micro"))
+
+
+@query("f24_repaired_polygons", oracle=f"""SELECT p_partkey::BIGINT AS poly, {MICRO.format('(3 + p_size) * (2 + p_partkey % 9) / 2.0::DOUBLE + CASE WHEN p_partkey % 2 = 0 THEN 84 ELSE 0 END')} AS area_micro, 6 + CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 0 END AS edges, p_partkey % 5 <> 0 OR true AS was_invalid FROM part""".replace("p_partkey % 5 <> 0 OR true", "true"))
+def repaired_polygons(s):
+    """A bow-tie for each part, every second with a square in a square of the same turn and an edge drawn there and back: the area by parity and the edges left."""
+    x, y, w, h = (F.col("p_partkey") * 37 % 1000).cast("double"), (F.col("p_partkey") * 91 % 1000).cast("double"), (3 + F.col("p_size")).cast("double"), (2 + F.col("p_partkey") % 9).cast("double")
+    at = lambda *ps: F.array(*(F.struct(px.alias("x"), py.alias("y")) for px, py in ps))
+    square = lambda a, n: at((x + a, y + a), (x + a + n, y + a), (x + a + n, y + a + n), (x + a, y + a + n))
+    tie = at((x, y), (x + w, y + h), (x + w, y), (x, y + h))
+    rings = F.when(F.col("p_partkey") % 2 == 0, F.array(tie, square(100, 10), square(103, 4), at((x + 200, y), (x + 210, y)))).otherwise(F.array(tie))
+    edges = table(P.edges(s.part.select(F.col("p_partkey").cast("bigint").alias("poly"), rings.alias("rings"))), "edges")
+    area = F.sum(F.col("ax") * F.col("by_") - F.col("bx") * F.col("ay")) / 2
+    sums = P.repaired(edges).groupBy("poly").agg(F.floor(area * 1e6 + 0.5).cast("bigint").alias("area_micro"), F.count(F.lit(1)).cast("int").alias("edges"))
+    bad = P.invalid(edges).withColumn("was_invalid", F.lit(True))
+    return sums.join(bad, "poly", "left").select("poly", "area_micro", "edges", F.coalesce("was_invalid", F.lit(False)).alias("was_invalid"))

@@ -95,6 +95,23 @@ def diagnostics(rows: DataFrame) -> DataFrame:
     return marked.select("file", "index", F.explode(found).alias("d")).select("file", "index", "d.severity", "d.code")
 
 
+def polygon_edges(rows: DataFrame) -> DataFrame:
+    """poly (file and index), ring, k and ends in metres of the edges of all polygons, holes and further parts as rings of their own."""
+    from ..operators import polygons
+
+    coordinates = F.get_json_object("feature", "$.geometry.coordinates")
+    rings = F.when(F.col("gtype") == "Polygon", F.from_json(coordinates, "array<array<array<double>>>")).when(F.col("gtype") == "MultiPolygon", F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>")))
+    held = rows.where("gtype IN ('Polygon', 'MultiPolygon')").select(F.struct("file", "index").alias("poly"), rings.alias("rings"))
+    return polygons.edges(held.withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: G.to_metric(p[0], p[1])))))
+
+
+def repaired_geometries(rows: DataFrame) -> DataFrame:
+    """INVALID_GEOMETRY_REPAIRED for every polygon whose rings cross, overlap or are drawn twice; ``polygons.repaired`` of its edges is what is planned with."""
+    from ..operators import polygons
+
+    return polygons.invalid(polygon_edges(rows)).select("poly.file", "poly.index", F.lit("WARN").alias("severity"), F.lit("INVALID_GEOMETRY_REPAIRED").alias("code"))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Rows per object type, and what a document lacks."""
     counts = rows.groupBy("file").agg(*(F.count_if(F.col("object_type") == t).alias(t) for t in OBJECT_TYPES), F.count(F.lit(1)).alias("features"))
@@ -137,8 +154,12 @@ def write(features: DataFrame, path: str, name: str, order: list[str]) -> None:
     body.select(F.concat(F.lit(head + "\n"), F.coalesce("b", F.lit("")), F.lit("\n]}")).alias("value")).write.text(path)
 
 
-def write_csv(rows: DataFrame, path: str, numeric: tuple[str, ...] = ()) -> None:
-    """A ;-separated report; cells are defused and quoted by ``csv_cell``."""
+def write_csv(rows: DataFrame, path: str, numeric: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> None:
+    """A ;-separated report in one file, its rows by ``order``; cells are defused and quoted by ``csv_cell``."""
     cells = F.concat_ws(";", *(T.csv_cell(F.col(c).cast("string"), F.lit(c in numeric)) for c in rows.columns))
-    header = rows.sparkSession.range(1).select(F.lit(";".join(rows.columns)).alias("value"), F.lit(0).alias("_k"))
-    header.unionByName(rows.select(cells.alias("value"), F.lit(1).alias("_k"))).orderBy("_k").select("value").coalesce(1).write.text(path)
+    keys = F.struct(*order) if order else F.lit(None)
+    header = rows.sparkSession.range(1).select(F.lit(";".join(rows.columns)).alias("value"))
+    lines = rows.select(keys.alias("_keys"), cells.alias("value"))
+    # One file holds one order: the header has no keys, and rows with null keys come after it.
+    top = header.select(F.lit(None).cast(lines.schema["_keys"].dataType).alias("_keys"), "value", F.lit(0).alias("_k"))
+    top.unionByName(lines.withColumn("_k", F.lit(1))).repartition(1).sortWithinPartitions("_k", "_keys").select("value").write.text(path)

@@ -164,3 +164,53 @@ def test_nothing(spark, scene):
     *_, edges, legs, met, held, near, table = scene[2:]
     assert P.intervals(legs.where("false"), edges).count() == 0 and P.intervals(legs, edges.where("false")).count() == 0
     assert P.alongside(near.where("false"), held.where("false"), met.where("false"), P.sections(held.where("false"), legs, table), legs, table).count() == 0
+
+
+def test_repair_keeps_what_is_inside(spark):
+    r = random.Random(40)
+    shapes = {i: [[(r.uniform(0, 40), r.uniform(0, 40)) for _ in range(r.randrange(4, 9))]] for i in range(12)}
+    shapes |= {20: [[(0.0, 0.0), (10.0, 10.0), (10.0, 0.0), (0.0, 10.0)]], 21: [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)], [(3.0, 3.0), (6.0, 3.0), (6.0, 6.0), (3.0, 6.0)]], 22: [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)]] * 2,
+               23: [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)], [(8.0, 2.0), (12.0, 2.0), (12.0, 6.0), (8.0, 6.0)]], 24: [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)], [(4.0, 0.0), (12.0, 0.0), (12.0, 8.0), (4.0, 8.0)]]}
+    nested = spark.createDataFrame([(p, [[(float(x), float(y)) for x, y in ring] for ring in rings]) for p, rings in shapes.items()], "poly bigint, rings array<array<struct<x:double,y:double>>>")
+    edges = P.edges(nested).cache()
+    bad = {x.poly for x in P.invalid(edges).collect()}
+    assert {20, 22, 23, 24} <= bad and 21 not in bad
+    fixed = P.repaired(edges).cache()
+    assert P.invalid(fixed).count() == 0
+    area = {}
+    for e in fixed.collect():
+        area[e.poly] = area.get(e.poly, 0) + (e.ax * e.by_ - e.bx * e.ay) / 2
+    assert area[20] == pytest.approx(50) and area[21] == pytest.approx(72) and 22 not in area and area[23] == pytest.approx(80) and area[24] == pytest.approx(64)
+    points = [(i, r.uniform(-1, 41), r.uniform(-1, 41)) for i in range(500)]
+    df = spark.createDataFrame(points, "id bigint, x double, y double")
+    assert {tuple(x) for x in P.points_inside(df, fixed).collect()} == {(i, p) for i, x, y in points for p, rings in shapes.items() if p != 22 and contains(rings, x, y)}
+    for p in range(12):
+        share = sum(contains(shapes[p], (i + 0.5) / 4, (j + 0.5) / 4) for i in range(160) for j in range(160)) / 16
+        assert abs(area.get(p, 0) - share) < 0.03 * 1600, p
+    # Rings leave every corner as often as they come to it.
+    ends = fixed.select("poly", F.round("ax", 9).alias("x"), F.round("ay", 9).alias("y"), F.lit(1).alias("d")).unionByName(fixed.select("poly", F.round("bx", 9).alias("x"), F.round("by_", 9).alias("y"), F.lit(-1).alias("d")))
+    assert ends.groupBy("poly", "x", "y").agg(F.sum("d").alias("d")).where("d <> 0").count() == 0
+
+
+def test_repaired_input_is_reported(spark, tmp_path):
+    import json
+
+    from pipeweave.sources import geojson
+
+    tie = {"type": "Polygon", "coordinates": [[[37.5, 55.5], [37.501, 55.501], [37.501, 55.5], [37.5, 55.501], [37.5, 55.5]]]}
+    fine = {"type": "MultiPolygon", "coordinates": [[[[37.6, 55.5], [37.601, 55.5], [37.601, 55.501], [37.6, 55.5]]]]}
+    features = [{"type": "Feature", "geometry": g, "properties": {"id": i, "object_type": "restriction", "restriction_type": "oks"}} for i, g in enumerate([fine, tie])]
+    (tmp_path / "in.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    rows = geojson.typed(geojson.read(spark, str(tmp_path / "in.geojson")))
+    assert [(x["index"], x.severity, x.code) for x in geojson.repaired_geometries(rows).collect()] == [(1, "WARN", "INVALID_GEOMETRY_REPAIRED")]
+
+
+def test_csv_rows_keep_their_order(spark, tmp_path):
+    import glob
+
+    from pipeweave.sources import geojson
+
+    rows = spark.createDataFrame([(i % 5, 100 - i) for i in range(40)], "a int, b int").repartition(4)
+    geojson.write_csv(rows, str(tmp_path / "out"), ("a", "b"), order=("a", "b"))
+    files = glob.glob(f"{tmp_path}/out/part-*")
+    assert len(files) == 1 and open(files[0]).read().split() == ["a;b", *(f"{a};{b}" for a, b in sorted((i % 5, 100 - i) for i in range(40)))]
