@@ -399,3 +399,69 @@ def invalid(ring_edges: DataFrame) -> DataFrame:
     own = ring_edges.groupBy("poly").agg(F.count(F.lit(1)).alias("_own"))
     cut = noded(ring_edges).groupBy("poly").agg(F.count(F.lit(1)).alias("_cut"), F.max("n").alias("_most"))
     return own.join(cut, "poly").where("_cut <> _own OR _most > 1").select("poly")
+
+
+def zones_for(objects: DataFrame, rule_table: DataFrame, du: int) -> DataFrame:
+    """Zones of objects (poly, restriction_type) for the clearance class of a diameter: poly, restriction_type, kind, min_angle, extent_m, kspec_pct, need."""
+    from ..functions import engineering as E
+    from ..plans import rules
+
+    pair = next(r[4] for r in rules.DU_ROWS if r[0] == du)
+    need = (E.clearance_mm(F.col("restriction_type"), F.col("clearance_mm"), F.lit(du)) + pair / 2 + F.col("width_mm") / 2) / 1000
+    return objects.join(F.broadcast(rule_table), "restriction_type").select("poly", "restriction_type", "kind", "min_angle", "extent_m", "kspec_pct", need.alias("need"))
+
+
+def still_valid(legs: DataFrame, ring_edges: DataFrame, zones: DataFrame) -> DataFrame:
+    """chain, valid: whether all legs of a chain, as they run, are admissible under other zones, as for a larger diameter."""
+    each = legs.select(F.struct("chain", "k").alias("chain"), *ENDS)
+    return verdicts(each, ring_edges, zones).groupBy(F.col("chain.chain").alias("chain")).agg(F.min("forward").alias("valid"))
+
+
+def joined(new: DataFrame, vertices: DataFrame, ring_edges: DataFrame, zones: DataFrame, radius: float) -> DataFrame:
+    """src, dst, weight: edges between new vertices (id, x, y, hx, hy) and those of a graph (id, x, y) within ``radius``, both ways where admissible.
+
+    A new vertex with a heading (hx, hy; null: none) is left only within 90
+    degrees of it. Only pairs with a new vertex are judged: a graph grows by
+    what is added.
+    """
+    pairs = spatial.points_near_points(new.select("id", "x", "y", "hx", "hy"), vertices.select(F.col("id").alias("b"), F.col("x").alias("rx"), F.col("y").alias("ry")), radius).where("d2 > 0 AND id <> b")
+    ahead = F.coalesce((F.col("rx") - F.col("x")) * F.col("hx") + (F.col("ry") - F.col("y")) * F.col("hy") >= 0, F.lit(True))
+    segments = pairs.select(F.struct(F.col("id").alias("a"), "b", ahead.alias("ahead")).alias("chain"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("rx").alias("bx"), F.col("ry").alias("by_"))
+    seen = verdicts(segments, ring_edges, zones).select("chain.*", "forward", "backward", "weight")
+    return seen.where("forward AND ahead").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(seen.where("backward").select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+
+
+def boundary_angles(legs: DataFrame, ring_edges: DataFrame, radius: float = REACH) -> DataFrame:
+    """chain, k, poly, angle: of the legs that begin within ``radius`` of a polygon, the acute angle to the boundary edge nearest to their beginning; of edges that tie, the first."""
+    starts = legs.select("chain", "k", F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("tx"), F.col("by_").alias("ty"))
+    near = spatial.points_near_segments(starts, ring_edges.withColumnRenamed("k", "edge"), radius)
+    angle = G.acute_angle(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"), F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay"))
+    return near.groupBy("chain", "k", "poly").agg(F.min_by(angle, F.struct("d2", "ring", "edge")).alias("angle"))
+
+
+def single_exits(held: DataFrame, own: DataFrame) -> DataFrame:
+    """chain, once: whether the straight way out of a chain's own building (``own_buildings``) leaves it once: one part inside from its beginning, or none."""
+    way = own.join(held.withColumnRenamed("poly", "own"), ["chain", "own"], "left").where("lo IS NULL OR lo < final - 1e-9")
+    long_ = F.least("hi", "final") - F.col("lo") > TOLERANCE
+    return way.groupBy("chain").agg((F.coalesce(F.max(F.when(long_, F.col("lo"))), F.lit(0.0)) <= TOLERANCE).alias("once"))
+
+
+def runs_together(legs: DataFrame, within: float = 0.01) -> DataFrame:
+    """chain, other, length: how long a chain runs within ``within`` of another of greater number."""
+    from . import intervals as I
+
+    others = legs.select(F.col("chain").alias("poly"), F.lit(0).alias("ring"), "k", *ENDS)
+    near = near_edges(legs, others, 2 * within).where("chain < poly")
+    zone = legs.select(F.col("chain").alias("poly")).distinct().withColumn("need", F.lit(within + TOLERANCE))
+    close = capsules(near, legs, zone).select(F.struct("chain", "poly").alias("pair"), "lo", "hi")
+    return I.merge(close, "pair", "lo", "hi").groupBy("pair").agg(F.sum(F.col("hi") - F.col("lo")).alias("length")).select("pair.chain", F.col("pair.poly").alias("other"), "length")
+
+
+def turns_at_joints(legs: DataFrame, joints: DataFrame) -> DataFrame:
+    """chain, turn: the change of direction, in degrees, from the last leg of a chain to the first of the chain it joins (chain, onto)."""
+    last = legs.groupBy("chain").agg(F.max_by(F.struct(*ENDS), "k").alias("p"))
+    first = legs.groupBy(F.col("chain").alias("onto")).agg(F.min_by(F.struct(*ENDS), "k").alias("q"))
+    d = lambda e: (F.col(f"{e}.bx") - F.col(f"{e}.ax"), F.col(f"{e}.by_") - F.col(f"{e}.ay"))
+    (px, py), (qx, qy) = d("p"), d("q")
+    met = joints.join(last, "chain").join(first, "onto")
+    return met.select("chain", F.degrees(F.abs(F.atan2(px * qy - py * qx, px * qx + py * qy))).alias("turn"))

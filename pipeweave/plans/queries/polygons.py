@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ...operators import paths
+from ...operators import paths, spatial
 from ...operators import polygons as P
 from ...operators.shared import table
 from ..catalog import query
@@ -269,3 +269,60 @@ def repaired_polygons(s):
     sums = P.repaired(edges).groupBy("poly").agg(F.floor(area * 1e6 + 0.5).cast("bigint").alias("area_micro"), F.count(F.lit(1)).cast("int").alias("edges"))
     bad = P.invalid(edges).withColumn("was_invalid", F.lit(True))
     return sums.join(bad, "poly", "left").select("poly", "area_micro", "edges", F.coalesce("was_invalid", F.lit(False)).alias("was_invalid"))
+
+
+@query("p16_larger_class", "chambers", "rings", "restrictions", "rules", oracle=f"""WITH zones AS (SELECT r.id AS poly, r.restriction_type, u.kind, u.min_angle, u.extent_m, u.kspec_pct, (CASE WHEN r.restriction_type = 'oks' THEN 7000 ELSE u.clearance_mm END + 2250 / 2.0::DOUBLE + u.width_mm / 2.0::DOUBLE) / 1000 AS need FROM restrictions r JOIN rules u ON u.restriction_type = r.restriction_type),
+  {VISIBLE} SELECT a, b, bool_and(forward) AS valid FROM seen GROUP BY a, b""")
+def larger_class(s):
+    """Segments between chambers within 300 m that hold under the clearance of DU800."""
+    zones = P.zones_for(s.restrictions.select(F.col("id").alias("poly"), "restriction_type"), s.rules, 800)
+    c = s.chambers.select("id", "x", "y")
+    pairs = spatial.points_near_points(c, c.select(F.col("id").alias("b"), F.col("x").alias("rx"), F.col("y").alias("ry")), 300.0).where("id < b AND d2 > 0")
+    legs = pairs.select(F.struct(F.col("id").alias("a"), "b").alias("chain"), F.lit(0).alias("k"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("rx").alias("bx"), F.col("ry").alias("by_"))
+    return P.still_valid(legs, s.rings, zones).select("chain.a", "chain.b", "valid")
+
+
+@query("j13_added_vertices", "consumers", "chambers", "rings", "zones", oracle=f"""WITH legs AS (SELECT {{'a': -1 - c.id, 'b': h.id, 'ahead': c.id % 2 = 1 OR (h.x - c.x) * 1 + (h.y - c.y) * -1 >= 0}} AS chain, 0 AS k, 0 AS line, true AS special, c.x AS ax, c.y AS ay, h.x AS bx, h.y AS by_ FROM consumers c JOIN chambers h ON (c.x-h.x)*(c.x-h.x)+(c.y-h.y)*(c.y-h.y) <= 120*120 AND (c.x <> h.x OR c.y <> h.y)),
+  {VISIBLE.split('),', 1)[1].replace('m.chain.a AS a, m.chain.b AS b,', 'm.chain AS chain,')} SELECT chain.a AS src, chain.b AS dst, {MICRO.format('weight')} AS weight_micro FROM seen WHERE forward AND chain.ahead UNION ALL SELECT chain.b, chain.a, {MICRO.format('weight')} FROM seen WHERE backward""")
+def added_vertices(s):
+    """Consumers joined to the chambers within 120 m; every second is left to the lower right only."""
+    heading = lambda v: F.when(F.col("id") % 2 == 0, F.lit(v))
+    new = s.consumers.select((-1 - F.col("id")).alias("id"), "x", "y", heading(1.0).alias("hx"), heading(-1.0).alias("hy"))
+    return P.joined(new, s.chambers, s.rings, s.zones, 120.0).select("src", "dst", micro(F.col("weight")).alias("weight_micro"))
+
+
+@query("f13_boundary_angles", "legs", "rings", oracle=f"""SELECT chain, k, poly, {MICRO.format('arg_min(angle, [d2, ring, edge])')} AS angle_micro FROM (SELECT m.chain, m.k, r.poly, r.ring, r.k AS edge, {to_segment('m.ax', 'm.ay', 'r.ax', 'r.ay', 'r.bx', 'r.by_')} AS d2, degrees(CASE WHEN d > pi() / 2 THEN pi() - d ELSE d END) AS angle
+  FROM legs m JOIN rings r ON least(r.ax, r.bx) - 15 <= m.ax AND greatest(r.ax, r.bx) + 15 >= m.ax AND least(r.ay, r.by_) - 15 <= m.ay AND greatest(r.ay, r.by_) + 15 >= m.ay,
+  LATERAL (SELECT {ANGLE.replace('fy-ey', 'r.by_-r.ay').replace('fx-ex', 'r.bx-r.ax').replace('by_-ay, bx-ax', 'm.by_-m.ay, m.bx-m.ax')} AS d) g) x WHERE d2 <= 225 GROUP BY chain, k, poly""")
+def boundary_angles(s):
+    """The angle of each leg to the boundary nearest to where it begins."""
+    return P.boundary_angles(s.legs, s.rings).select("chain", "k", "poly", micro(F.col("angle")).alias("angle_micro"))
+
+
+@query("p18_single_exits", "legs", "rings", "zones", oracle=f"""WITH {OWN}, way AS (SELECT o.chain, CASE WHEN least(h.hi, final_) - h.lo > 0.001 THEN h.lo END AS lo FROM own o LEFT JOIN held h ON h.chain = o.chain AND h.poly = o.own WHERE h.lo IS NULL OR h.lo < final_ - 1e-9) SELECT chain, coalesce(max(lo), 0) <= 0.001 AS once FROM way GROUP BY chain""")
+def single_exits(s):
+    """Whether the straight way out of the own building leaves it once."""
+    f = Found(s)
+    return P.single_exits(f.held, P.own_buildings(f.legs, f.edges, f.zones))
+
+
+@query("v25_turns_at_chambers", "legs", oracle="""WITH ends AS (SELECT chain, arg_max({'x': bx - ax, 'y': by_ - ay}, k) AS p, arg_min({'x': bx - ax, 'y': by_ - ay}, k) AS q FROM legs GROUP BY chain)
+  SELECT 'ERROR' AS severity, 'TURN_AT_CHAMBER' AS code, a.chain AS id FROM ends a JOIN ends b ON b.chain = CAST(floor((a.chain - 1) / 2) AS BIGINT) WHERE a.chain > 0 AND degrees(abs(atan2(a.p.x * b.q.y - a.p.y * b.q.x, a.p.x * b.q.x + a.p.y * b.q.y))) > 90.0001""")
+def turns_at_chambers(s):
+    """Chains that turn by more than 90 degrees where they join the chain of half their number."""
+    joints = s.legs.select("chain").distinct().where("chain > 0").select("chain", F.expr("(chain - 1) div 2").alias("onto"))
+    return P.turns_at_joints(s.legs, joints).where("turn > 90.0001").select(F.lit("ERROR").alias("severity"), F.lit("TURN_AT_CHAMBER").alias("code"), F.col("chain").alias("id"))
+
+
+#: Lines along others of the net: 4 mm apart over 20 m, 4 mm over half a metre, and 2 cm apart.
+TWINS = """SELECT -1 - id AS chain, 0 AS k, ax + 100 AS ax, ay + CASE WHEN id % 3 = 2 THEN 0.02::DOUBLE ELSE 0.004::DOUBLE END AS ay, ax + CASE WHEN id % 3 = 1 THEN 100.5::DOUBLE ELSE 120::DOUBLE END AS bx, by_ + CASE WHEN id % 3 = 2 THEN 0.02::DOUBLE ELSE 0.004::DOUBLE END AS by_ FROM net_lines"""
+
+
+@query("v26_lines_too_close", "net_lines", oracle=f"WITH twins AS ({TWINS}) SELECT 'ERROR' AS severity, 'LINES_TOO_CLOSE' AS code, t.chain AS id, n.id AS other, CAST(round((t.bx - t.ax) + 2 * sqrt(0.01::DOUBLE * 0.01 - 0.004::DOUBLE * 0.004), 3) * 1000 AS BIGINT) - CAST(round(2 * sqrt(0.01::DOUBLE * 0.01 - 0.004::DOUBLE * 0.004), 3) * 1000 AS BIGINT) AS length_mm FROM twins t JOIN net_lines n ON abs(t.ay - n.ay) <= 0.01 WHERE t.bx - t.ax > 1")
+def lines_too_close(s):
+    """New lines within 1 cm of a line of the net over more than 1 m."""
+    off = F.expr("CASE WHEN id % 3 = 2 THEN 0.02D ELSE 0.004D END")
+    twins = s.net_lines.select((-1 - F.col("id")).alias("chain"), F.lit(0).alias("k"), (F.col("ax") + 100).alias("ax"), (F.col("ay") + off).alias("ay"), (F.col("ax") + F.expr("CASE WHEN id % 3 = 1 THEN 100.5D ELSE 120D END")).alias("bx"), (F.col("by_") + off).alias("by_"))
+    net = s.net_lines.select(F.col("id").alias("chain"), F.lit(0).alias("k"), "ax", "ay", "bx", "by_")
+    out = P.runs_together(table(P.measured(twins.unionByName(net)), "legs")).where("length > 1")
+    return out.select(F.lit("ERROR").alias("severity"), F.lit("LINES_TOO_CLOSE").alias("code"), F.col("chain").alias("id"), "other", F.floor(F.col("length") * 1000 + 0.5).cast("bigint").alias("length_mm"))
