@@ -29,7 +29,7 @@ def scene(spark):
     nested = spark.createDataFrame([(p, [[(float(x), float(y)) for x, y in ring] for ring in rings]) for p, rings in shapes.items()], "poly bigint, rings array<array<struct<x:double,y:double>>>")
     legs = spark.createDataFrame([(c, k, k // 2, (c + k // 2) % 3 == 0, *map(float, (*a, *b))) for c, line in chains.items() for k, (a, b) in enumerate(zip(line, line[1:]))],
                                  "chain bigint, k int, line int, special boolean, ax double, ay double, bx double, by_ double")
-    table = spark.createDataFrame([(p, *z) for p, z in zones.items()], "poly bigint, restriction_type string, kind string, min_angle int, extent_m int, need double")
+    table = spark.createDataFrame([(p, *z, 100) for p, z in zones.items()], "poly bigint, restriction_type string, kind string, min_angle int, extent_m int, need double, kspec_pct int")
     edges, measured = P.edges(nested).cache(), P.measured(legs).cache()
     met = P.cuts(measured, edges).cache()
     held = P.intervals(measured, edges, met).cache()
