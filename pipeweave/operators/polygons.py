@@ -125,6 +125,11 @@ def near_edges(legs: DataFrame, ring_edges: DataFrame, radius: float = REACH, ce
     return a.join(b, ["cx", "cy"]).drop("cx", "cy").where(close).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
+def reach(zones: DataFrame) -> float:
+    """The largest distance that any zone requires: what is farther away matters to no rule."""
+    return float(zones.agg(F.max("need")).first()[0] or 0.0) + OVERLAP
+
+
 def distances(near: DataFrame, held: DataFrame, legs: DataFrame) -> DataFrame:
     """chain, k, poly, d: how far each leg is from the polygons near it; 0 where a part of it is inside."""
     d = near.groupBy("chain", "k", "poly").agg(F.sqrt(F.min("d2")).alias("d"))
@@ -303,7 +308,7 @@ def verdicts(segments: DataFrame, ring_edges: DataFrame, zones: DataFrame) -> Da
     legs = table(measured(segments.select("chain", F.lit(0).alias("k"), F.lit(0).alias("line"), F.lit(True).alias("special"), *ENDS)), "legs")
     met = table(cuts(legs, ring_edges), "cuts")
     held = table(intervals(legs, ring_edges, met), "held")
-    near = table(near_edges(legs, ring_edges), "near")
+    near = table(near_edges(legs, ring_edges, reach(zones)), "near")
     banned = zones.where("kind = 'FORBIDDEN'")
     shut = distances(near, held, legs).join(banned.select("poly", "need"), "poly").where(F.col("d") < F.col("need") - TOLERANCE).select("chain")
     found = sections(held, legs, zones)

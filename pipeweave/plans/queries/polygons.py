@@ -64,7 +64,7 @@ class Found:
     @property
     def near(self):
         if "_near" not in self.__dict__:
-            self._near = table(P.near_edges(self.legs, self.edges), "near")
+            self._near = table(P.near_edges(self.legs, self.edges, P.reach(self.zones)), "near")
         return self._near
 
 
@@ -93,7 +93,7 @@ def polygon_intervals(s):
 def polygon_distances(s):
     """How far each leg is from the polygons within 15 m; 0 inside."""
     f = Found(s)
-    return P.distances(f.near, f.held, f.legs).select("chain", "k", "poly", micro(F.col("d")).alias("d_micro"))
+    return P.distances(P.near_edges(f.legs, f.edges), f.held, f.legs).select("chain", "k", "poly", micro(F.col("d")).alias("d_micro"))
 
 
 OWN = f"""{APART}, oks AS (SELECT poly, need FROM zones WHERE restriction_type = 'oks'), starts AS (SELECT chain, ax AS x, ay AS y FROM m WHERE k = 0),
