@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import engineering as E
 from ..functions import geometry as G
 from ..plans import rules
-from ..sources import geojson
+from ..sources import geojson, split
 from . import routing, tie_ins
 from .shared import table
 
@@ -63,7 +63,7 @@ def table_of_rules(spark: SparkSession) -> DataFrame:
 
 def run(spark: SparkSession, path: str) -> Job:
     """Plan all scenes under ``path``; nothing is written but intermediate tables."""
-    rows = table(geojson.typed(geojson.read(spark, path)), "features")
+    rows = table(geojson.typed(split.read(spark, path)), "features")
     planned = table(scene_features(rows), "planned")
     links = table(routing.plan_scenes(planned), "links")
     return Job(rows, geojson.diagnostics(rows), links, routing.ranked_variants(links), planned)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import engineering as E
 from ..functions import geometry as G
 from ..plans import rules
-from ..sources import geojson
+from ..sources import geojson, split
 from . import graph, jobs, spatial
 from .shared import table
 from .validate import OUTPUT_TYPES, emitted
@@ -154,7 +154,7 @@ def _adjacency(places: DataFrame, segments: DataFrame) -> DataFrame:
 def validate(spark: SparkSession, input_path: str, result_path: str) -> DataFrame:
     """severity, code, variant, id: everything the rules find in a result against its input; a result that can't be read gives only that."""
     found, problems = read(spark, result_path)
-    source = table(geojson.typed(geojson.read(spark, input_path)), "input")
+    source = table(geojson.typed(split.read(spark, input_path)), "input")
     rows = table(typed(found), "result")
     refused = problems.select(F.lit("ERROR").alias("severity"), F.lit("UNREADABLE_RESULT").alias("code"), F.lit(None).cast("string").alias("variant"), F.col("problem").alias("id"))
     return refused.unionByName(result_issues(rows, source))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ...functions import geometry as G
-from ...sources import geojson
+from ...operators import shared
+from ...sources import geojson, split
 from ..catalog import query
 
 
@@ -41,6 +44,14 @@ def retained(s):
     return geojson.retained_bytes(geojson.typed(rendered(s))).select("index", "running")
 
 
+@query("s01_split_scan", "consumers", oracle="SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS index, CASE WHEN id % 23 <> 0 THEN id END AS id, CASE WHEN id % 23 <> 0 THEN CASE WHEN id % 17 = 0 THEN 'lamp' ELSE 'consumer' END END AS object_type FROM consumers")
+def split_scan(s):
+    """All consumers written as one collection, then read by as many tasks as the file has splits."""
+    path = f"{shared.folder(s.spark).rstrip('/')}/collection-{uuid.uuid4().hex}"
+    geojson.write(rendered(s), path, "scene", ["index"])
+    return geojson.typed(split.read(s.spark, path)).select("index", F.col("id_text").cast("bigint").alias("id"), "object_type")
+
+
 @query("d02_document_summary", "consumers", oracle="SELECT count(*) FILTER (id % 23 <> 0 AND id % 17 <> 0)::BIGINT AS consumers, count(*)::BIGINT AS features, 'NO_HEAT_NETWORK,NO_SOURCE' AS lacking FROM consumers")
 def summary(s):
     return geojson.summary(geojson.typed(rendered(s))).select(F.col("consumer").alias("consumers"), "features", F.array_join("lacking", ",").alias("lacking"))

@@ -1,8 +1,8 @@
 """GeoJSON feature collections: reading with row diagnostics, and writing.
 
-A file is read whole by one task (``wholetext``), split into its features by
-JSON functions in the JVM, and dealt out by feature; many files are many
-tasks. One row stands for one feature from there on.
+``read`` takes a file whole in one task (``wholetext``) and splits it by JSON
+functions in the JVM: for many small files. ``split.read`` gives the same rows from files of any
+size, cut into many tasks. One row stands for one feature from there on.
 """
 
 from __future__ import annotations
@@ -144,14 +144,16 @@ def feature(geometry: Column, properties: Column) -> Column:
 
 
 def write(features: DataFrame, path: str, name: str, order: list[str]) -> None:
-    """Feature collections, one part file for each output partition.
+    """One feature collection in one file, features by ``order``; a null feature is written as null.
 
-    A single-file result is what the input of one scene gives: its features
-    are bounded by the scene. For more scenes partition by scene first.
+    One task streams the sorted rows out, a line each; nothing is gathered. For many scenes write each, or partition by scene first.
     """
     head = f'{{"type":"FeatureCollection","name":"{name}","crs":{{"type":"name","properties":{{"name":"urn:ogc:def:crs:OGC:1.3:CRS84"}}}},"features":['
-    body = features.orderBy(*order).select("feature").agg(F.array_join(F.collect_list("feature"), ",\n").alias("b"))
-    body.select(F.concat(F.lit(head + "\n"), F.coalesce("b", F.lit("")), F.lit("\n]}")).alias("value")).write.text(path)
+    rows = features.select(F.lit(1).alias("_k"), F.struct(*order).alias("_keys"), F.coalesce("feature", F.lit("null")).alias("value"))
+    ends = features.sparkSession.createDataFrame([(0, head), (2, "]}")], "_k int, value string").select("_k", F.lit(None).cast(rows.schema["_keys"].dataType).alias("_keys"), "value")
+    # In one partition the ids are the places of the lines: the head is 0 and the first feature 1.
+    lines = rows.unionByName(ends).repartition(1).sortWithinPartitions("_k", "_keys").withColumn("_at", F.monotonically_increasing_id())
+    lines.select(F.when((F.col("_k") == 1) & (F.col("_at") > 1), F.concat(F.lit(","), F.col("value"))).otherwise(F.col("value")).alias("value")).write.text(path)
 
 
 def write_csv(rows: DataFrame, path: str, numeric: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> None:
