@@ -121,17 +121,22 @@ def chains(links: DataFrame, breaks: DataFrame) -> DataFrame:
     """child, chain: links joined through nodes of degree two, named by the link nearest the root.
 
     ``breaks``: ids of nodes that end a chain whatever their degree. A link
-    continues into its parent link if the node between is met by these two
-    only; pointers double each round.
+    continues into its parent link if the node between is met by these two only.
     """
+    return ranked_chains(links, breaks).select("child", "chain")
+
+
+def ranked_chains(links: DataFrame, breaks: DataFrame) -> DataFrame:
+    """child, chain, steps: ``chains`` and the links between each link and the one that names its chain; pointers double each round."""
     met = links.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
     through = met.where("n = 1").join(breaks.select(F.col("id").alias("parent")), "parent", "left_anti")
     # The parent link is the one whose child is this node.
     top = links.join(through, "parent", "left_semi").join(links.select(F.col("child").alias("parent")), "parent", "left_semi").select("child", F.col("parent").alias("up"))
-    at = table(links.select("child").join(top, "child", "left").select("child", F.coalesce("up", "child").alias("chain")), "chains")
+    at = table(links.select("child").join(top, "child", "left").select("child", F.coalesce("up", "child").alias("chain"), F.col("up").isNotNull().cast("bigint").alias("steps")), "chains")
     while True:
-        after = table(at.join(at.select(F.col("child").alias("chain"), F.col("chain").alias("far")), "chain").select("child", F.col("far").alias("chain"), (F.col("far") != F.col("chain")).alias("moved")), "chains")
+        far = at.select(F.col("child").alias("chain"), F.col("chain").alias("far"), F.col("steps").alias("_more"))
+        after = table(at.join(far, "chain").select("child", F.col("far").alias("chain"), (F.col("steps") + F.col("_more")).alias("steps"), (F.col("far") != F.col("chain")).alias("moved")), "chains")
         done = after.where("moved").isEmpty()
-        at = after.select("child", "chain")
+        at = after.drop("moved")
         if done:
             return at
