@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import graph
+from .shared import table
 
 #: Links that may meet in a node, its own way to the root included.
 DEGREE = 4
@@ -77,6 +78,7 @@ def refused(links: DataFrame, new: DataFrame) -> DataFrame:
 
 def attach(links: DataFrame, new: DataFrame) -> DataFrame:
     """Links with all new ones that ``refused`` allows; a child given twice hangs on its least parent."""
+    links, new = table(links, "links"), table(new, "new")
     bad = refused(links, new).select("child", "parent")
     return links.unionByName(new.join(bad, ["child", "parent"], "left_anti").dropDuplicates(["child", "parent"]), allowMissingColumns=True)
 
@@ -87,7 +89,7 @@ def drop(links: DataFrame, leaves: DataFrame, roots: DataFrame | None = None) ->
     A leaf that other links hang on isn't dropped. The result is that of dropping leaf after leaf, in any order. ``roots``: ids of junctions that
     stay whatever meets in them.
     """
-    held = links.withColumn("junction", F.coalesce("junction", F.lit(False)))
+    held = links = table(links.withColumn("junction", F.coalesce("junction", F.lit(False))), "links")
     gone = leaves.select("child").distinct().join(links.select(F.col("parent").alias("child")), "child", "left_anti").withColumn("_gone", F.lit(True))
     ends = held.join(gone, "child", "left").where("_gone IS NULL AND NOT junction").select(F.col("child").alias("id"), F.lit(1).alias("one"))
     served = graph.gathered(links, ends, "one").select(F.col("link").alias("child"))

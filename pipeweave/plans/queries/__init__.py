@@ -1,3 +1,3 @@
 """Query modules; importing this package registers all of them."""
 
-from . import admission, checks, formulas, ingest, lookups, more, planning, polygons, results, spatial, texts, trees, validation  # noqa: F401
+from . import admission, checks, edits, formulas, ingest, lookups, more, planning, polygons, results, spatial, texts, trees, validation  # noqa: F401
