@@ -117,3 +117,42 @@ def without_crossed(edges: DataFrame, blocked: DataFrame) -> DataFrame:
     """Edges (u, v) of a graph less those that are blocked, in either direction; the rest of the graph is as it was."""
     ends = [F.least("u", "v").alias("_a"), F.greatest("u", "v").alias("_b")]
     return edges.select("*", *ends).join(blocked.select(*ends).distinct(), ["_a", "_b"], "left_anti").select(*edges.columns)
+
+
+def link_points(links: DataFrame, step_mm: int, end_mm: int, margin_mm: int) -> DataFrame:
+    """child, at_mm, x, y of the places where a link may be cut: its inner vertices, and each step that isn't within three tenths of a step of one of them.
+
+    Places lie above the reserved part, at least ``end_mm`` from both ends, and further than the margin from special passages. A link of n steps gives n places.
+    """
+    lo, hi = F.greatest("reserved_mm", F.lit(end_mm).cast("bigint")), F.col("length_mm") - end_mm
+    held = links.where(hi > lo).select("child", "line", "passages", "length_mm", lo.alias("_lo"), hi.alias("_hi"), G.measured(F.col("line")).alias("_parts"))
+    inner = F.transform(F.slice("_parts", 1, F.greatest(F.size("_parts") - 1, F.lit(0))), lambda e: F.floor(e["s1"] * 1000 + 0.5).cast("bigint"))
+    held = held.withColumn("_own", F.filter(inner, lambda m: (m >= F.col("_lo")) & (m <= F.col("_hi"))))
+    first = F.ceil(F.col("_lo") / step_mm).cast("bigint") * step_mm
+    grid = F.when(first <= F.col("_hi"), F.sequence(first, F.col("_hi"), F.lit(step_mm).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    held = held.withColumn("_grid", F.filter(grid, lambda m: ~F.exists("_own", lambda q: F.abs(q - m) * 10 < 3 * step_mm)))
+    each = held.select("child", "line", "passages", F.explode(F.array_distinct(F.concat("_own", "_grid"))).alias("at_mm"))
+    free = each.where(~F.exists("passages", lambda p: (F.col("at_mm") > p["lo_mm"] - margin_mm) & (F.col("at_mm") < p["hi_mm"] + margin_mm)))
+    return free.withColumn("_p", G.point_at(F.col("line"), F.col("at_mm") / 1000)).select("child", "at_mm", "_p.x", "_p.y")
+
+
+def free_nodes(links: DataFrame) -> DataFrame:
+    """id, x, y of the junctions of a forest that have a slot free; a junction lies where its link begins."""
+    hung = links.groupBy(F.col("parent").alias("child")).agg(F.count(F.lit(1)).alias("_n"))
+    nodes = links.where("junction").join(hung, "child", "left").where(F.coalesce("_n", F.lit(0)) + 1 < DEGREE)
+    return nodes.withColumn("_p", F.element_at("line", 1)).select(F.col("child").alias("id"), "_p.x", "_p.y")
+
+
+def targets(tie_ins: DataFrame, links: DataFrame, points: DataFrame) -> DataFrame:
+    """kind, id, at_mm, x, y of all that the next consumer may be hung on: tie-ins (id, x, y) as they are, free junctions, and the ``points`` of links.
+
+    ``points``: of ``link_points``, less those in zones. Of targets within one millimetre cell the first kind stays, then the least link and place.
+    """
+    none = F.lit(None).cast("bigint")
+    rows = (tie_ins.select(F.lit(0).alias("_k"), F.lit("tie_in").alias("kind"), "id", none.alias("at_mm"), "x", "y")
+            .unionByName(free_nodes(links).select(F.lit(1).alias("_k"), F.lit("node").alias("kind"), "id", none.alias("at_mm"), "x", "y"))
+            .unionByName(points.select(F.lit(2).alias("_k"), F.lit("link").alias("kind"), F.col("child").alias("id"), "at_mm", "x", "y")))
+    cell = [F.floor(F.col(c) * 1000 + 0.5).cast("bigint") for c in ("x", "y")]
+    place = Window.partitionBy(*cell).orderBy("_k", "id", "at_mm")
+    # Tie-ins are never folded: two of them at one place stay two.
+    return rows.withColumn("_n", F.row_number().over(place)).where("_k = 0 OR _n = 1").select("kind", "id", "at_mm", "x", "y")

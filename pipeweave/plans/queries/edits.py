@@ -106,3 +106,33 @@ def moved(s):
     pairs = own.join(links.select("net", F.col("child").alias("parent"), "ax", "ay"), "net").where("child <> parent")
     _, moves = reattach.improved(sized, pairs.select("child", "parent", far(F.col("ax") - F.col("cx"), F.col("ay") - F.col("cy")).alias("length_mm")), 2)
     return moves.select("net", "round", "child", "parent", "delta_cost", "delta_mm")
+
+
+STEP_MM, END_MM, APART_MM = 20000, 2, 8000
+
+
+def bent(s):
+    """A link along the points of every consumer, with its special sections as passages."""
+    at = s.vertices.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
+    held = s.sections.groupBy(F.col("link").alias("id")).agg(F.collect_list(F.struct((F.col("s0") * 1000).cast("bigint").alias("lo_mm"), (F.col("s1") * 1000).cast("bigint").alias("hi_mm"))).alias("passages"))
+    return at.join(held, "id", "left").select(
+        F.col("id").cast("string").alias("child"), F.lit("r").alias("parent"), F.floor(G.length(F.col("line")) * 1000 + 0.5).cast("bigint").alias("length_mm"), "line",
+        F.coalesce("passages", F.array().cast("array<struct<lo_mm:bigint,hi_mm:bigint>>")).alias("passages"), (F.col("id") % 9 * 5000).cast("bigint").alias("reserved_mm"), F.lit(False).alias("junction"))
+
+
+@query("u07_link_points", "vertices", "sections", oracle=f"""WITH steps AS (SELECT a.id, a.k + 1 AS k, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM vertices a JOIN vertices b ON b.id = a.id AND b.k = a.k + 1),
+  marks AS (SELECT id, k, floor(sum(d) OVER (PARTITION BY id ORDER BY k) * 1000 + CAST(0.5 AS DOUBLE))::BIGINT AS m FROM steps),
+  spans AS (SELECT id, greatest(id % 9 * 5000, {END_MM}) AS lo, max(m) - {END_MM} AS hi FROM marks GROUP BY id), own AS (SELECT a.id, a.m FROM marks a JOIN spans s USING (id) WHERE a.k < 5 AND a.m BETWEEN s.lo AND s.hi),
+  grid AS (SELECT id, unnest(range(CAST(ceil(lo / CAST({STEP_MM} AS DOUBLE)) AS BIGINT) * {STEP_MM}, hi + 1, {STEP_MM})) AS m FROM spans),
+  places AS (SELECT id, m FROM own UNION SELECT id, m FROM grid g WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.id = g.id AND abs(o.m - g.m) * 10 < 3 * {STEP_MM}))
+  SELECT id, m::BIGINT AS at_mm FROM places p WHERE NOT EXISTS (SELECT 1 FROM sections s WHERE s.link = p.id AND p.m > s.s0 * 1000 - {APART_MM} AND p.m < s.s1 * 1000 + {APART_MM})""")
+def link_points(s):
+    """Inner vertices and steps of every link, away from its ends and special sections."""
+    return edits.link_points(bent(s), STEP_MM, END_MM, APART_MM).select(F.col("child").cast("bigint").alias("id"), "at_mm")
+
+
+@query("u05_free_junctions", "links", "sections", oracle=f"""WITH {CUTS}, {pieces('true')}, met AS (SELECT parent, count(*) AS n FROM cut GROUP BY parent)
+  SELECT c.child AS id, m.n::BIGINT AS hung FROM cut c JOIN met m ON m.parent = c.child WHERE c.child LIKE '%@%' AND m.n + 1 < {edits.DEGREE}""")
+def free_junctions(s):
+    after = edits.cut(network(s), places(s), margin_mm=MARGIN_MM)
+    return edits.free_nodes(after).join(after.groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("hung")), "id").select("id", "hung")

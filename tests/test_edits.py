@@ -124,3 +124,20 @@ def test_rounds_never_raise_a_score(spark):
     told = {r["net"]: r["d"] for r in moves.groupBy("net").agg(F.sum("delta_score").alias("d")).collect()}
     assert told and all(abs(scores[1][n] - scores[0][n] - told.get(n, 0)) < 1e-9 and scores[1][n] <= scores[0][n] for n in scores[0])
     assert after.count() == links.count() and graph.gathered(after, after.select(F.col("child").alias("id"), "flow_dt"), "flow_dt").count() == links.count()
+
+
+def test_targets_keep_tie_ins_and_fold_places(spark):
+    after = edits.cut(network(spark), spark.createDataFrame([("c", 2000), ("b", 1000)], "child string, at_mm bigint"))
+    points = edits.link_points(after, 1000, 5, 300)
+    told = {}
+    for r in points.collect():
+        told.setdefault(r["child"], []).append(r["at_mm"])
+    # Link a: reserved to 500, its vertex at 5000, passages 1000-2000 and 7000-8000 with 300 around them.
+    assert sorted(told["a"]) == [3000, 4000, 5000, 6000, 9000] and sorted(told["c"]) == [1000] and told["d"] == [50]
+    full = edits.attach(after, spark.createDataFrame([link("n1", "c@2000", 10), link("n2", "c@2000", 20)], LINKS))
+    assert sorted(r["id"] for r in edits.free_nodes(full).collect()) == ["b@1000"]
+    ties = spark.createDataFrame([("t1", 5.0, 0.0), ("t2", 5.0, 0.0)], "id string, x double, y double")
+    found = [(r["kind"], r["id"], r["at_mm"]) for r in edits.targets(ties, full, points).collect()]
+    assert {f for f in found if f[0] == "tie_in"} == {("tie_in", "t1", None), ("tie_in", "t2", None)} and ("link", "a", 5000) not in found and ("link", "a", 4000) in found
+    places = {(r["x"], r["y"]) for r in edits.targets(ties, full, points).where("kind <> 'tie_in'").collect()}
+    assert len(places) == len(found) - 2
