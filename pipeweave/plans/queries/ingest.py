@@ -39,11 +39,22 @@ def typed(s):
     return geojson.typed(rendered(s)).where("feature IS NOT NULL").select("index", "id_text", "object_type", F.floor(F.col("flow_tph") * 10 + 0.5).cast("bigint").alias("flow_dt"))
 
 
-@query("s07_retained_bytes", "consumers", oracle="SELECT id::INT AS index, sum(CASE WHEN id % 23 = 0 OR id % 13 = 0 THEN 256 ELSE 280 END) OVER (ORDER BY id)::BIGINT AS running FROM consumers")
+@query("s07_retained_bytes", "consumers", oracle="SELECT id::INT AS index, sum(CASE WHEN id % 23 = 0 OR id % 13 = 0 THEN 256 ELSE 256 + 24 + 128 END) OVER (ORDER BY id)::BIGINT AS running FROM consumers")
 def retained(s):
     return geojson.retained_bytes(geojson.typed(rendered(s))).select("index", "running")
 
 
+@query("s08_retained_polygons", "consumers", oracle="""SELECT id::INT AS index, (256 + CASE CAST(id % 3 AS INT) WHEN 0 THEN 24 * 10 + 128 + 128 WHEN 1 THEN 24 * 15 + 128 * 2 + 128 ELSE 24 * 2 + 128 END)::BIGINT AS own FROM consumers""")
+def retained_polygons(s):
+    """Polygons with a hole, pairs of polygons of which one has a hole, and lines."""
+    x, y = 37 + F.col("x") / 1000, 55 + F.col("y") / 10000
+    ring = lambda d: F.array(*(F.array(x + dx * d, y + dy * d) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))
+    shape = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("coordinates"))
+    texts = [geojson.feature(shape(k, c), F.struct("id")) for k, c in (("Polygon", F.array(ring(0.1), ring(0.01))), ("MultiPolygon", F.array(F.array(ring(0.1), ring(0.01)), F.array(ring(0.2)))), ("LineString", F.array(F.array(x, y), F.array(y, x))))]
+    rows = s.consumers.select(F.lit("scene").alias("file"), F.col("id").cast("int").alias("index"), F.when(F.col("id") % 3 == 0, texts[0]).when(F.col("id") % 3 == 1, texts[1]).otherwise(texts[2]).alias("feature"))
+    return geojson.retained_bytes(geojson.typed(rows)).select("index", "own")
+
+
 @query("s01_split_scan", "consumers", oracle="SELECT (row_number() OVER (ORDER BY id) - 1)::INT AS index, CASE WHEN id % 23 <> 0 THEN id END AS id, CASE WHEN id % 23 <> 0 THEN CASE WHEN id % 17 = 0 THEN 'lamp' ELSE 'consumer' END END AS object_type FROM consumers")
 def split_scan(s):
     """All consumers written as one collection, then read by as many tasks as the file has splits."""

@@ -20,6 +20,8 @@ POINT_TYPES = ("heat_chamber", "source", "consumer")
 CONSUMER = "oks_connection_point"
 #: Byte estimate of a retained feature: fixed, for each position, part and hole.
 ESTIMATE = (256, 24, 128, 128)
+#: Features whose estimates are summed up in one window.
+BLOCK = 65536
 DEPTH_OF = {"Point": 1, "LineString": 2, "MultiPoint": 2, "Polygon": 3, "MultiLineString": 3, "MultiPolygon": 4}
 
 
@@ -120,10 +122,28 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def retained_bytes(rows: DataFrame) -> DataFrame:
-    """Running byte estimate of what a document retains, in feature order."""
-    base, point, _, _ = ESTIMATE
-    own = base + point * F.coalesce(F.size("lonlat"), F.lit(0))
-    return rows.select("file", "index", own.cast("bigint").alias("own")).withColumn("running", F.sum("own").over(Window.partitionBy("file").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)))
+    """file, index, own, running: byte estimate of each feature and of all up to it; parts and holes count beside positions.
+
+    Sums inside blocks of features and over the blocks of a file, so no window holds a whole file.
+    """
+    base, point, part, hole = ESTIMATE
+    coordinates = F.get_json_object("feature", "$.geometry.coordinates")
+    two, three = (F.from_json(coordinates, kind) for kind in ("array<string>", "array<array<string>>"))
+    multi = F.col("gtype").isin("MultiPoint", "MultiLineString", "MultiPolygon")
+    parts = F.when(multi, F.size(two)).when(F.col("gtype").isin("Point", "LineString", "Polygon") & (F.size("lonlat") > 0), 1)
+    holes = F.when(F.col("gtype") == "Polygon", F.size(two) - 1).when(F.col("gtype") == "MultiPolygon", F.aggregate(three, F.lit(0), lambda n, p: n + F.greatest(F.size(p) - 1, F.lit(0))))
+    count = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
+    own = base + point * count(F.size("lonlat")) + part * count(parts) + hole * count(holes)
+    held = rows.select("file", "index", F.expr(f"index div {BLOCK}").alias("_block"), own.cast("bigint").alias("own"))
+    blocks = held.groupBy("file", "_block").agg(F.sum("own").alias("_of"))
+    blocks = blocks.select("file", "_block", (F.sum("_of").over(Window.partitionBy("file").orderBy("_block")) - F.col("_of")).alias("_before"))
+    inside = F.sum("own").over(Window.partitionBy("file", "_block").orderBy("index").rowsBetween(Window.unboundedPreceding, 0))
+    return held.join(blocks, ["file", "_block"]).select("file", "index", "own", (inside + F.col("_before")).alias("running"))
+
+
+def over_budget(rows: DataFrame, most: int) -> DataFrame:
+    """file, index of the first feature with which a document would retain more than ``most`` bytes; none for a document within it."""
+    return retained_bytes(rows).where(F.col("running") > most).groupBy("file").agg(F.min("index").alias("index"))
 
 
 def point_geometry(lon: Column, lat: Column, decimals: int = 12) -> Column:

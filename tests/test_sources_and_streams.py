@@ -55,3 +55,11 @@ def test_session_stream_equals_batch(spark, tmp_path):
     got = sorted((r.upload, r.n) for r in spark.table("sessions").collect())
     batch = sorted((r.upload, r.n) for r in uploads.sessions(rows.withColumnRenamed("at", "ts")).collect())
     assert batch == [(1, 1), (1, 2), (1, 2), (2, 1)] and got == [b for b in batch if b[0] == 1]  # the last session is still open
+
+
+def test_budget_names_the_first_feature_beyond_it(spark):
+    texts = ['{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[37,55]}}', None, '{"type":"Feature","properties":{},"geometry":{"type":"MultiLineString","coordinates":[[[37,55],[37,56]],[[1,2],[3,4]]]}}', '{"type":"Feature","properties":{}}']
+    rows = geojson.typed(spark.createDataFrame([("a", k, t) for k, t in enumerate(texts)] + [("b", 70000, texts[0]), ("b", 1, texts[0])], "file string, index int, feature string"))
+    got = {(r["file"], r["index"]): (r["own"], r["running"]) for r in geojson.retained_bytes(rows).collect()}
+    assert got == {("a", 0): (408, 408), ("a", 1): (256, 664), ("a", 2): (608, 1272), ("a", 3): (256, 1528), ("b", 1): (408, 408), ("b", 70000): (408, 816)}
+    assert [tuple(r) for r in geojson.over_budget(rows, 1000).collect()] == [("a", 2)]
