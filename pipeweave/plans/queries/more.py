@@ -134,7 +134,7 @@ def overlap(s):
 @query("t02_top_targets", "consumers", "chambers", oracle=f"SELECT id, chamber FROM (SELECT c.id, h.id AS chamber, row_number() OVER (PARTITION BY c.id ORDER BY {D2}, h.id) AS k FROM consumers c JOIN chambers h ON {D2} <= 600*600) x WHERE k <= 12")
 def top_targets(s):
     """Twelve targets for each consumer: the bound is the feature."""
-    return spatial.nearest(spatial.points_near_points(s.consumers, others(s), 600.0), "id", "chamber", 12).select("id", "chamber")
+    return spatial.nearest_points(s.consumers, others(s), "chamber", 600.0, 12).select("id", "chamber")
 
 
 @query("t03_best_attempt", "pieces", oracle="SELECT link, id FROM (SELECT link, id, row_number() OVER (PARTITION BY link ORDER BY length_mm, id) AS k FROM pieces) x WHERE k = 1")
@@ -299,13 +299,15 @@ def crossed_totals(s):
 @query("j18_chain_objects", "links", "restrictions", oracle="""SELECT l.child, count(*)::BIGINT AS objects FROM links l JOIN restrictions r ON r.restriction_type = 'gas_pipeline' AND least(l.ax, l.bx) - 15 <= r.xmax AND greatest(l.ax, l.bx) + 15 >= r.xmin AND least(l.ay, l.by_) - 15 <= r.ymax AND greatest(l.ay, l.by_) + 15 >= r.ymin GROUP BY l.child""")
 def chain_objects(s):
     """Objects whose box lies within 15 m of a link's box."""
-    lines = s.links
-    boxed = spatial.dealt(lines, F.least("ax", "bx"), F.least("ay", "by_"), F.greatest("ax", "bx"), F.greatest("ay", "by_"), 100.0, 15.0)
-    gas = spatial.dealt(s.restrictions.where("restriction_type = 'gas_pipeline'"), "xmin", "ymin", "xmax", "ymax", 100.0)
-    x0, y0, x1, y1 = F.least("ax", "bx") - 15, F.least("ay", "by_") - 15, F.greatest("ax", "bx") + 15, F.greatest("ay", "by_") + 15
-    once = (F.floor(F.greatest(x0, F.col("xmin")) / 100) == F.col("cx")) & (F.floor(F.greatest(y0, F.col("ymin")) / 100) == F.col("cy"))
-    meet = (x0 <= F.col("xmax")) & (x1 >= F.col("xmin")) & (y0 <= F.col("ymax")) & (y1 >= F.col("ymin"))
-    return boxed.join(gas, ["cx", "cy"]).where(once & meet).groupBy("child").agg(F.count(F.lit(1)).alias("objects"))
+    # Links of one box meet the same objects; objects of one shape are counted together.
+    link = {"x0": F.least("ax", "bx") - 15, "y0": F.least("ay", "by_") - 15, "x1": F.greatest("ax", "bx") + 15, "y1": F.greatest("ay", "by_") + 15}
+    lines = s.links.select("child", *(c.alias(n) for n, c in link.items()))
+    boxed = spatial.dealt(lines.select(*link).distinct(), "x0", "y0", "x1", "y1", 100.0)
+    gas = s.restrictions.where("restriction_type = 'gas_pipeline'").groupBy("xmin", "ymin", "xmax", "ymax").agg(F.count(F.lit(1)).alias("n"))
+    once = (F.floor(F.greatest("x0", "xmin") / 100) == F.col("cx")) & (F.floor(F.greatest("y0", "ymin") / 100) == F.col("cy"))
+    meet = (F.col("x0") <= F.col("xmax")) & (F.col("x1") >= F.col("xmin")) & (F.col("y0") <= F.col("ymax")) & (F.col("y1") >= F.col("ymin"))
+    met = boxed.join(spatial.dealt(gas, "xmin", "ymin", "xmax", "ymax", 100.0).hint("merge"), ["cx", "cy"]).where(once & meet)
+    return lines.join(met.groupBy(*link).agg(F.sum("n").alias("objects")), list(link)).select("child", "objects")
 
 
 @query("f50_target_estimate", "consumers", "chambers", "du_table", oracle=f"SELECT c.id, h.id AS chamber, CAST(floor(0.7::DOUBLE * ((sqrt({D2}) * (SELECT min(cost_m) FROM du_table d WHERE d.cap_dt >= c.flow_dt) + 5000000) / 25e6::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS estimate FROM consumers c JOIN chambers h ON {D2} <= 150*150")
