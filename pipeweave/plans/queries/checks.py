@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import engineering as E
 from ...functions import geometry as G
-from ...operators import admissible, graph, lookups, spatial
+from ...operators import admissible, copies, graph, lookups, spatial
 from ...operators import validate as V
 from ..catalog import query
 from .formulas import MICRO, STEPS, TURN, lines, micro
@@ -48,8 +48,14 @@ def depth_cost(s):
 def inside_any_zone(s):
     """Consumers in the zone of an object that is not the building they stand in."""
     ruled = lookups.with_rule(s.restrictions, s.rules).where("kind IS NOT NULL").withColumnRenamed("id", "restriction")
-    own = spatial.points_in_boxes(s.consumers, ruled.where("restriction_type = 'oks'")).select("id", "restriction")
-    return admissible.zones_of(s.consumers, ruled, own, 0.255).select("id", "restriction")
+    # Consumers of one place and objects that are alike are judged once.
+    places, consumers = copies.folded(s.consumers, "id", ["x", "y"])
+    box = ["restriction_type", "xmin", "ymin", "xmax", "ymax"]
+    kinds, objects = copies.folded(ruled, "restriction", box)
+    kinds = kinds.drop("n").join(ruled, ["restriction", *box])
+    own = spatial.points_in_boxes(places.drop("n"), kinds.where("restriction_type = 'oks'")).select("id", "restriction")
+    found = admissible.zones_of(places.drop("n"), kinds, own, 0.255).select("id", "restriction")
+    return copies.expanded(copies.expanded(found, "restriction", objects), "id", consumers)
 
 
 @query("p10_terminals_in_roads", "chambers", "restrictions", oracle=f"SELECT c.id FROM chambers c WHERE EXISTS (SELECT 1 FROM restrictions r WHERE r.restriction_type IN ('road', 'tram_tracks') AND {OFF.format('c')} <= 0.05)")
