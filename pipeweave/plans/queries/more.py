@@ -312,5 +312,7 @@ def chain_objects(s):
 
 @query("f50_target_estimate", "consumers", "chambers", "du_table", oracle=f"SELECT c.id, h.id AS chamber, CAST(floor(0.7::DOUBLE * ((sqrt({D2}) * (SELECT min(cost_m) FROM du_table d WHERE d.cap_dt >= c.flow_dt) + 5000000) / 25e6::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS estimate FROM consumers c JOIN chambers h ON {D2} <= 150*150")
 def estimate(s):
-    near = spatial.points_near_points(s.consumers, others(s), 150.0).withColumn("du", lookups.du_by_flow(F.col("flow_dt"))).join(F.broadcast(s.du_table.select("du", "cost_m")), "du", "left")
+    # Places meet once; chambers and consumers are joined to what met.
+    met = spatial.points_near_points(s.consumers.select("x", "y").distinct(), others(s).select("rx", "ry").distinct(), 150.0)
+    near = s.consumers.join(met.join(others(s), ["rx", "ry"]), ["x", "y"]).withColumn("du", lookups.du_by_flow(F.col("flow_dt"))).join(F.broadcast(s.du_table.select("du", "cost_m")), "du", "left")
     return near.select("id", "chamber", micro(0.7 * ((F.sqrt("d2") * F.col("cost_m") + 5000000) / 25e6)).alias("estimate"))
