@@ -14,6 +14,10 @@ from ..plans import rules
 from .hydraulics import solve
 
 VERTEX_PENALTY = 0.3
+#: What a target that is no root costs besides.
+JUNCTION_PENALTY = 20.0
+#: Pairs of segments and boxes tested by one call.
+AT_ONCE = 200_000
 SCHEMA = "scene bigint, strategy string, child bigint, parent bigint, length_mm bigint, flow_dt bigint, du int, cost bigint, vertices int, connected boolean"
 
 
@@ -52,31 +56,46 @@ class Graph:
         return bool(((b[:, 0] < x) & (x < b[:, 2]) & (b[:, 1] < y) & (y < b[:, 3])).any())
 
     def seen(self, v: int) -> list:
-        """(vertex, length) of all that v sees; found once."""
+        """(vertex, length) of all that v sees; found once, for as many vertices together as stay within ``AT_ONCE``."""
         import numpy as np
 
         if v not in self.edges:
-            a = np.broadcast_to(self.at[v], self.at.shape)
-            free = ~blocked(a[:, 0], a[:, 1], self.at[:, 0], self.at[:, 1], self.boxes)
-            d = np.hypot(self.at[:, 0] - self.at[v, 0], self.at[:, 1] - self.at[v, 1])
-            self.edges[v] = [(int(w), float(d[w])) for w in np.flatnonzero(free) if w != v]
+            n = len(self.at)
+            block = max(1, AT_ONCE // (n * max(1, len(self.boxes))))
+            some = np.arange(v // block * block, min(n, v // block * block + block))
+            a, b = np.repeat(self.at[some], n, axis=0), np.tile(self.at, (len(some), 1))
+            free = ~blocked(a[:, 0], a[:, 1], b[:, 0], b[:, 1], self.boxes).reshape(len(some), n)
+            d = np.hypot(b[:, 0] - a[:, 0], b[:, 1] - a[:, 1]).reshape(len(some), n)
+            free[np.arange(len(some)), some] = False
+            for i, u in enumerate(some.tolist()):
+                to = np.flatnonzero(free[i])
+                self.edges[u] = list(zip(to.tolist(), d[i][to].tolist(), strict=True))
         return self.edges[v]
 
 
-def shortest(graph: Graph, source: int, targets: set, passable) -> dict:
-    """target -> (cost, length, path). Terminals end a path: only ``passable`` vertices are passed through."""
+def shortest(graph: Graph, source: int, targets: set, passable, extra=None) -> dict:
+    """target -> (cost, length, path). Terminals end a path: only ``passable`` vertices are passed through.
+
+    With ``extra``, what a target costs besides, the search ends where no target still to come can be the cheapest.
+    """
     best, queue, found = {source: 0.0}, [(0.0, source, 0.0, (source,))], {}
+    least = float("inf")
     while queue and len(found) < len(targets):
         cost, v, length, path = heappop(queue)
+        if cost > least:
+            break
         if cost > best.get(v, float("inf")):
             continue
         if v in targets and v not in found:
             found[v] = (cost, length, path)
+            if extra is not None:
+                least = min(least, cost + extra(v))
         if v != source and not passable(v):
             continue
         for w, d in graph.seen(v):
             c = cost + d + VERTEX_PENALTY
-            if c < best.get(w, float("inf")):
+            # What is neither a target nor passed through leads nowhere.
+            if c < best.get(w, float("inf")) and c <= least and (w in targets or passable(w)):
                 best[w] = c
                 heappush(queue, (c, w, length + d, (*path, w)))
     return found
@@ -125,11 +144,12 @@ def build(consumers: list, roots: list, boxes: list, strategy: tuple, buildings:
     parent, route = {}, {}
     for c in order_consumers(order, consumers, roots):
         targets = {index[k] for k, free in slots.items() if free > 0} | ({index[k] for k in joined if slots.get(k, 1) > 0} if junctions else set())
-        found = shortest(graph, index["c", c[0]], targets, lambda v: v not in owner)
+        extra = lambda v: 0 if owner[v][0] == "r" else JUNCTION_PENALTY
+        found = shortest(graph, index["c", c[0]], targets, lambda v: v not in owner, extra)
         if not found:
             lost.add(c[0])
             continue
-        target = min(found, key=lambda v: (found[v][0] + (0 if owner[v][0] == "r" else 20.0), v))
+        target = min(found, key=lambda v: (found[v][0] + extra(v), v))
         k = owner[target]
         parent[c[0]] = -1 - k[1] if k[0] == "r" else k[1]
         way = exits[c[0]][2]
@@ -141,32 +161,39 @@ def build(consumers: list, roots: list, boxes: list, strategy: tuple, buildings:
 
 def plan_scenes(features: DataFrame, strategies: list[tuple] | None = None) -> DataFrame:
     """features: scene, kind (consumer, root: existing chamber, tie_in: new chamber on a line, box, building), id, x, y, x1, y1, flow_dt, degree. Links of every strategy."""
+    from pyspark.sql import functions as F
+
     chosen = strategies or rules.STRATEGY_ROWS
     price = {row[0]: row[3] for row in rules.DU_ROWS}
 
-    def kernel(key, group):
-        import pandas as pd
-
-        scene, name = int(key[0]), key[1]
+    def planned(scene: int, name: str, group: list) -> list[tuple]:
         strategy = next(s for s in chosen if s[0] == name)
-        group = group.sort_values(["kind", "id"])
-        pick = lambda k: group[group["kind"] == k]
-        consumers = [(int(r.id), r.x, r.y, int(r.flow_dt)) for r in pick("consumer").itertuples()]
-        roots = [(int(r.id), r.x, r.y, int(r.degree), kind == "tie_in") for kind in ("root", "tie_in") for r in pick(kind).itertuples()]
-        boxes, buildings = ([(r.x, r.y, r.x1, r.y1) for r in pick(kind).itertuples()] for kind in ("box", "building"))
+        pick = lambda k: [f for f in group if f["kind"] == k]
+        consumers = [(f["id"], f["x"], f["y"], f["flow_dt"]) for f in pick("consumer")]
+        roots = [(f["id"], f["x"], f["y"], f["degree"], kind == "tie_in") for kind in ("root", "tie_in") for f in pick(kind)]
+        boxes, buildings = ([(f["x"], f["y"], f["x1"], f["y1"]) for f in pick(kind)] for kind in ("box", "building"))
         parent, route, lost = build(consumers, roots, boxes, strategy, buildings)
         length = {c: int(v[0] * 1000 + 0.5) for c, v in route.items()}
         own = {c[0]: c[3] for c in consumers if c[0] in parent}
         flow, du, _ = solve(parent, own, length)
         rows = [(scene, name, c, parent[c], length[c], flow[c], du.get(c), int(length[c] / 1000 * price[du[c]] + 0.5) if c in du else None, route[c][1], True) for c in sorted(parent)]
-        rows += [(scene, name, c, None, None, next(x[3] for x in consumers if x[0] == c), None, None, None, False) for c in sorted(lost)]
-        kinds = {"parent": "Int64", "length_mm": "Int64", "flow_dt": "Int64", "du": "Int32", "cost": "Int64", "vertices": "Int32"}
-        return pd.DataFrame(rows, columns=["scene", "strategy", "child", "parent", "length_mm", "flow_dt", "du", "cost", "vertices", "connected"]).astype(kinds)
-
-    from pyspark.sql import functions as F
-
-    each = features.withColumn("strategy", F.explode(F.array(*(F.lit(s[0]) for s in chosen))))
-    return each.groupBy("scene", "strategy").applyInPandas(kernel, SCHEMA)
+        return rows + [(scene, name, c, None, None, next(x[3] for x in consumers if x[0] == c), None, None, None, False) for c in sorted(lost)]
+
+    def kernel(batches):
+        import pyarrow as pa
+
+        kinds = [pa.int64(), pa.string(), *(pa.int64(),) * 4, pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        for b in batches:
+            rows = [r for scene, group, name in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for r in planned(scene, name, group)]
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    feature = F.struct("kind", "id", "x", "y", "x1", "y1", F.col("flow_dt").cast("bigint").alias("flow_dt"), "degree")
+    each = features.groupBy(F.col("scene").cast("bigint").alias("scene")).agg(F.array_sort(F.collect_list(feature)).alias("group"))
+    # Strategies of one scene may go to different tasks.
+    every = each.withColumn("strategy", F.explode(F.array(*(F.lit(s[0]) for s in chosen)))).repartition("scene", "strategy")
+    return every.mapInArrow(kernel, SCHEMA)
 
 
 def ranked_variants(links: DataFrame) -> DataFrame:

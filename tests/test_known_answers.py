@@ -168,3 +168,17 @@ def test_line_functions(spark):
     line = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (0.0, 0.0), (5.0, 0.0), (10.0, 0.0), (10.0, 10.0))))
     r = spark.range(1).select(G.clean(line).alias("c"), G.length(G.sub_line(line, F.lit(2.0), F.lit(12.0))).alias("n"), G.point_at(line, F.lit(99.0)).alias("e")).first()
     assert [(p.x, p.y) for p in r.c] == [(0, 0), (10, 0), (10, 10)] and r.n == 10 and (r.e.x, r.e.y) == (10, 10)
+
+
+def test_a_small_scene_is_seen_at_once(monkeypatch):
+    """All vertices of a small scene are tested by one call, and a search ends at the cheapest target."""
+    calls = []
+    real = routing.blocked
+    monkeypatch.setattr(routing, "blocked", lambda *a: calls.append(1) or real(*a))
+    consumers = [(i, float(i * 37 % 97), float(i * 61 % 89), i + 1) for i in range(6)]
+    boxes = [(i * 53 % 80 + 0.5, i * 71 % 80 + 0.5, i * 53 % 80 + 8.5, i * 71 % 80 + 6.5) for i in range(4)]
+    parent, route, lost = routing.build(consumers, [(0, 0.0, 50.0, 2), (1, 100.0, 50.0, 2)], boxes, ("s", "NEAREST", True, "ANY", True))
+    assert len(calls) <= 1 + len(consumers) and not lost
+    # In blocks of one vertex the answer is the same.
+    monkeypatch.setattr(routing, "AT_ONCE", 1)
+    assert routing.build(consumers, [(0, 0.0, 50.0, 2), (1, 100.0, 50.0, 2)], boxes, ("s", "NEAREST", True, "ANY", True)) == (parent, route, lost)
