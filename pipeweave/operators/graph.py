@@ -2,6 +2,8 @@
 
 A tree is links (child, parent): a child has one link, towards its root. The
 number of rounds is the depth of the tree (or its logarithm for components).
+Joins are sort-merge joins: a side that was broadcast would pass through the
+driver, in every round anew, and compressed files are judged too small.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ def closure(links: DataFrame) -> DataFrame:
     Its rows are nodes x depth, so it serves only where the ways themselves are
     asked for; see ``gathered``. A way of more than ``CHECKED`` steps is looked at for a cycle, which is refused.
     """
+    # Written once: a round must not make the links anew.
+    links = table(links.select("child", "parent"), "links")
     up = links.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
     front = table(up.select(F.col("_c").alias("node"), F.col("_c").alias("link"), F.col("_p").alias("top"), F.lit(0).alias("step")), "front")
     parts = [front]
     while not front.isEmpty():
         if len(parts) == CHECKED:
             refuse_cycles(links)
-        front = table(front.join(up, front["top"] == up["_c"]).select("node", F.col("_c").alias("link"), F.col("_p").alias("top"), (F.col("step") + 1).alias("step")), "front")
+        front = table(front.join(up.hint("merge"), front["top"] == up["_c"]).select("node", F.col("_c").alias("link"), F.col("_p").alias("top"), (F.col("step") + 1).alias("step")), "front")
         parts.append(front)
     out = parts[0]
     for p in parts[1:]:
@@ -41,7 +45,7 @@ def refuse_cycles(links: DataFrame) -> None:
     n, steps = at.count(), 1
     while steps <= n:
         far = at.select(F.col("child").alias("top"), F.col("top").alias("far"))
-        at = table(at.join(far, "top").select("child", F.col("far").alias("top")), "tops")
+        at = table(at.join(far.hint("merge"), "top").select("child", F.col("far").alias("top")), "tops")
         if at.isEmpty():
             return
         steps *= 2
@@ -56,13 +60,13 @@ def gathered(links: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     rounds as the logarithm of the depth, each of one row for a link.
     """
     held = nodes.select(F.col("id").alias("child"), F.col(value).alias("_v"))
-    at = links.select("child", F.col("parent").alias("top")).join(held, "child", "left").select("child", "top", F.coalesce("_v", F.lit(0)).alias("total"), F.col("_v").isNotNull().cast("bigint").alias("n"), F.col("_v").alias("most"))
+    at = links.select("child", F.col("parent").alias("top")).join(held.hint("merge"), "child", "left").select("child", "top", F.coalesce("_v", F.lit(0)).alias("total"), F.col("_v").isNotNull().cast("bigint").alias("n"), F.col("_v").alias("most"))
     at = table(at, "gathered")
     rows, steps = at.count(), 1
     while True:
         sent = at.groupBy(F.col("top").alias("child")).agg(F.sum("total").alias("_t"), F.sum("n").alias("_n"), F.max("most").alias("_m"))
         far = at.select(F.col("child").alias("top"), F.col("top").alias("far"))
-        after = (at.join(sent, "child", "left").join(far, "top", "left")
+        after = (at.join(sent.hint("merge"), "child", "left").join(far.hint("merge"), "top", "left")
                  .select("child", F.col("far").alias("top"), (F.col("total") + F.coalesce("_t", F.lit(0))).alias("total"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("most", "_m").alias("most")))
         at = table(after, "gathered")
         steps *= 2
@@ -74,13 +78,14 @@ def gathered(links: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
 
 def depths(links: DataFrame, roots: DataFrame) -> DataFrame:
     """id, depth: breadth first from the roots."""
+    links = table(links.select("child", "parent"), "links")
     down = links.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
     front = table(roots.select("id", F.lit(0).alias("depth")), "level")
     parts = [front]
     while not front.isEmpty():
         if len(parts) == CHECKED:
             refuse_cycles(links)
-        front = table(front.join(down, front["id"] == down["_p"]).select(F.col("_c").alias("id"), (F.col("depth") + 1).alias("depth")), "level")
+        front = table(front.join(down.hint("merge"), front["id"] == down["_p"]).select(F.col("_c").alias("id"), (F.col("depth") + 1).alias("depth")), "level")
         parts.append(front)
     out = parts[0]
     for p in parts[1:]:
@@ -94,10 +99,10 @@ def components(links: DataFrame) -> DataFrame:
     both = table(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
     label = table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "id"), "label")
     while True:
-        near = both.join(label.withColumnRenamed("id", "v").withColumnRenamed("label", "other"), "v").groupBy(F.col("u").alias("id")).agg(F.min("other").alias("other"))
-        hooked = label.join(near, "id").select("id", F.least("label", "other").alias("label"), F.col("label").alias("old"))
+        near = both.join(label.withColumnRenamed("id", "v").withColumnRenamed("label", "other").hint("merge"), "v").groupBy(F.col("u").alias("id")).agg(F.min("other").alias("other"))
+        hooked = label.join(near.hint("merge"), "id").select("id", F.least("label", "other").alias("label"), F.col("label").alias("old"))
         jump = hooked.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        after = table(hooked.join(jump, "label", "left").select("id", F.least("label", "far").alias("label"), "old"), "label")
+        after = table(hooked.join(jump.hint("merge"), "label", "left").select("id", F.least("label", "far").alias("label"), "old"), "label")
         done = after.where("label <> old").isEmpty()
         label = after.select("id", "label")
         if done:
@@ -106,7 +111,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def runs(paths: DataFrame, links: DataFrame) -> DataFrame:
     """node, link, step, run_mm: length of the run of one diameter up to here, from the leaf to the root."""
-    walk = paths.join(links.select(F.col("child").alias("link"), "du", "length_mm"), "link")
+    walk = paths.join(links.select(F.col("child").alias("link"), "du", "length_mm").hint("merge"), "link")
     w = Window.partitionBy("node").orderBy("step")
     walk = walk.withColumn("_new", F.coalesce((F.lag("du").over(w) != F.col("du")).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
     return walk.withColumn("run_mm", F.sum("length_mm").over(Window.partitionBy("node", "_run").orderBy("step"))).drop("_new", "_run")
@@ -129,13 +134,13 @@ def chains(links: DataFrame, breaks: DataFrame) -> DataFrame:
 def ranked_chains(links: DataFrame, breaks: DataFrame) -> DataFrame:
     """child, chain, steps: ``chains`` and the links between each link and the one that names its chain; pointers double each round."""
     met = links.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
-    through = met.where("n = 1").join(breaks.select(F.col("id").alias("parent")), "parent", "left_anti")
+    through = met.where("n = 1").join(breaks.select(F.col("id").alias("parent")).hint("merge"), "parent", "left_anti")
     # The parent link is the one whose child is this node.
-    top = links.join(through, "parent", "left_semi").join(links.select(F.col("child").alias("parent")), "parent", "left_semi").select("child", F.col("parent").alias("up"))
-    at = table(links.select("child").join(top, "child", "left").select("child", F.coalesce("up", "child").alias("chain"), F.col("up").isNotNull().cast("bigint").alias("steps")), "chains")
+    top = links.join(through.hint("merge"), "parent", "left_semi").join(links.select(F.col("child").alias("parent")).hint("merge"), "parent", "left_semi").select("child", F.col("parent").alias("up"))
+    at = table(links.select("child").join(top.hint("merge"), "child", "left").select("child", F.coalesce("up", "child").alias("chain"), F.col("up").isNotNull().cast("bigint").alias("steps")), "chains")
     while True:
         far = at.select(F.col("child").alias("chain"), F.col("chain").alias("far"), F.col("steps").alias("_more"))
-        after = table(at.join(far, "chain").select("child", F.col("far").alias("chain"), (F.col("steps") + F.col("_more")).alias("steps"), (F.col("far") != F.col("chain")).alias("moved")), "chains")
+        after = table(at.join(far.hint("merge"), "chain").select("child", F.col("far").alias("chain"), (F.col("steps") + F.col("_more")).alias("steps"), (F.col("far") != F.col("chain")).alias("moved")), "chains")
         done = after.where("moved").isEmpty()
         at = after.drop("moved")
         if done:

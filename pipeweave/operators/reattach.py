@@ -4,7 +4,7 @@ Hanging a leaf of flow q elsewhere takes q off the links of its old way to the
 root and puts it on those of the new one; links on both keep their flow. So a
 candidate is one row with two walkers that climb from the old and the new
 parent, the deeper one first, until they meet or both are at roots. A round is a
-join with the links; no way is ever held as rows, no forest is in one place.
+sort-merge join with the links; no way is ever held as rows, no forest is in one place.
 
 Diameters follow the flow; the limit of the length of one diameter is a matter of ``hydraulics``.
 """
@@ -34,17 +34,18 @@ def link_price(flow_dt: Column, length_mm: Column) -> Column:
 
 def carried(links: DataFrame) -> DataFrame:
     """links (net, child, parent, flow_dt of the consumer at the child or 0, length_mm) with ``carried``, the flow of the whole link, and ``depth``, its steps to the root."""
+    links = table(links, "links")
     flow = graph.gathered(links, links.select(F.col("child").alias("id"), "flow_dt"), "flow_dt").select(F.col("link").alias("child"), F.col("total").alias("carried"))
-    roots = links.select(F.col("parent").alias("id")).distinct().join(links.select(F.col("child").alias("id")), "id", "left_anti")
+    roots = links.select(F.col("parent").alias("id")).distinct().join(links.select(F.col("child").alias("id")).hint("merge"), "id", "left_anti")
     depth = graph.depths(links, roots).withColumnRenamed("id", "child")
-    return table(links.join(flow, "child").join(depth, "child"), "carried")
+    return table(links.join(flow.hint("merge"), "child").join(depth.hint("merge"), "child"), "carried")
 
 
 def score(links: DataFrame) -> DataFrame:
     """net, cost, length_mm, score of whole networks, every link priced anew; null where a flow is beyond every diameter."""
     flow = graph.gathered(links, links.select(F.col("child").alias("id"), "flow_dt"), "flow_dt").select(F.col("link").alias("child"), F.col("total").alias("_flow"))
     price = link_price(F.col("_flow"), F.col("length_mm"))
-    sums = links.join(flow, "child").groupBy("net").agg(F.when(F.count_if(price.isNull()) == 0, F.sum(price)).alias("cost"), F.sum("length_mm").alias("length_mm"))
+    sums = links.join(flow.hint("merge"), "child").groupBy("net").agg(F.when(F.count_if(price.isNull()) == 0, F.sum(price)).alias("cost"), F.sum("length_mm").alias("length_mm"))
     return sums.withColumn("score", E.score(F.col("cost"), F.col("length_mm") / 1000))
 
 
@@ -55,15 +56,15 @@ def tentative(links: DataFrame, candidates: DataFrame) -> DataFrame:
     whose parent is the one it has, isn't in the same net, or has no slot free.
     """
     inner = links.select(F.col("parent").alias("child")).distinct()
-    leaves = links.join(inner, "child", "left_anti").where("flow_dt > 0").select("net", "child", F.col("parent").alias("old"), F.col("flow_dt").alias("q"), F.col("length_mm").alias("old_mm"))
+    leaves = links.join(inner.hint("merge"), "child", "left_anti").where("flow_dt > 0").select("net", "child", F.col("parent").alias("old"), F.col("flow_dt").alias("q"), F.col("length_mm").alias("old_mm"))
     # Slots by node: links that hang on it, and its own.
     own = links.select("net", F.col("child").alias("parent"), F.lit(1).alias("n"), F.col("depth"))
     hung = links.select("net", "parent", F.lit(1).alias("n"), (F.col("depth") - 1).alias("depth"))
     nodes = own.unionByName(hung).groupBy("net", "parent").agg(F.sum("n").alias("_met"), F.max("depth").alias("_db")).where(F.col("_met") < DEGREE)
-    start = candidates.select("child", "parent", "length_mm").distinct().join(leaves, "child").where("parent <> old AND parent <> child").join(nodes, ["net", "parent"])
+    start = candidates.select("child", "parent", "length_mm").distinct().join(leaves.hint("merge"), "child").where("parent <> old AND parent <> child").join(nodes.hint("merge"), ["net", "parent"])
     olds = hung.groupBy("net", F.col("parent").alias("old")).agg(F.max("depth").alias("_da"))
     own_price = link_price(F.col("q"), F.col("length_mm")) - link_price(F.col("q"), F.col("old_mm"))
-    at = start.join(olds, ["net", "old"]).select("net", "child", "parent", "length_mm", "q", (F.col("length_mm") - F.col("old_mm")).alias("delta_mm"), F.col("old").alias("a"), F.col("_da").alias("da"), F.col("parent").alias("b"), F.col("_db").alias("db"), own_price.alias("delta_cost"))
+    at = start.join(olds.hint("merge"), ["net", "old"]).select("net", "child", "parent", "length_mm", "q", (F.col("length_mm") - F.col("old_mm")).alias("delta_mm"), F.col("old").alias("a"), F.col("_da").alias("da"), F.col("parent").alias("b"), F.col("_db").alias("db"), own_price.alias("delta_cost"))
     at = table(at, "walkers")
     up = links.select(F.col("child").alias("_c"), F.col("parent").alias("_p"), F.col("carried").alias("_flow"), F.col("length_mm").alias("_mm"))
     done = []
@@ -76,7 +77,7 @@ def tentative(links: DataFrame, candidates: DataFrame) -> DataFrame:
         ua, ub = (up.select(*(F.col(c).alias(c + side) for c in up.columns)) for side in ("a", "b"))
         # Depths tell who climbs; two at one depth that haven't met both do.
         climb_a, climb_b = F.col("da") >= F.col("db"), F.col("db") >= F.col("da")
-        moved = going.join(ua, (F.col("a") == F.col("_ca")) & climb_a, "left").join(ub, (F.col("b") == F.col("_cb")) & climb_b, "left")
+        moved = going.join(ua.hint("merge"), (F.col("a") == F.col("_ca")) & climb_a, "left").join(ub.hint("merge"), (F.col("b") == F.col("_cb")) & climb_b, "left")
         less = link_price(F.col("_flowa") - F.col("q"), F.col("_mma")) - link_price(F.col("_flowa"), F.col("_mma"))
         more = link_price(F.col("_flowb") + F.col("q"), F.col("_mmb")) - link_price(F.col("_flowb"), F.col("_mmb"))
         zero = F.lit(0).cast("bigint")
@@ -104,5 +105,5 @@ def improved(links: DataFrame, candidates: DataFrame, rounds: int) -> tuple[Data
         if chosen.isEmpty():
             break
         new = chosen.select("child", F.col("parent").alias("_p"), F.col("length_mm").alias("_mm"))
-        links = table(links.join(new, "child", "left").select("net", "child", F.coalesce("_p", "parent").alias("parent"), "flow_dt", F.coalesce("_mm", "length_mm").alias("length_mm")), "links")
+        links = table(links.join(new.hint("merge"), "child", "left").select("net", "child", F.coalesce("_p", "parent").alias("parent"), "flow_dt", F.coalesce("_mm", "length_mm").alias("length_mm")), "links")
     return links, moves

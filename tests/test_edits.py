@@ -141,3 +141,23 @@ def test_targets_keep_tie_ins_and_fold_places(spark):
     assert {f for f in found if f[0] == "tie_in"} == {("tie_in", "t1", None), ("tie_in", "t2", None)} and ("link", "a", 5000) not in found and ("link", "a", 4000) in found
     places = {(r["x"], r["y"]) for r in edits.targets(ties, full, points).where("kind <> 'tie_in'").collect()}
     assert len(places) == len(found) - 2
+
+
+def test_rounds_send_no_side_through_the_driver(spark):
+    """Small sides of joins aren't broadcast: judged by compressed files, large ones would be too. The links are made once, not in every round."""
+    from pyspark.sql import functions as F
+
+    from pipeweave.operators import graph
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    links = spark.range(1, 65).select(F.col("id").alias("child"), F.expr("id div 2").alias("parent"), F.lit(7).alias("du"), F.lit(5).alias("length_mm"))
+    found = graph.closure(links.mapInArrow(seen, links.schema))
+    assert found.count() == sum(k.bit_length() for k in range(1, 65)) and made.value == 64
+    runs = graph.runs(found, links)
+    assert "BroadcastHashJoin" not in runs._jdf.queryExecution().sparkPlan().toString()
