@@ -214,3 +214,20 @@ def test_csv_rows_keep_their_order(spark, tmp_path):
     geojson.write_csv(rows, str(tmp_path / "out"), ("a", "b"), order=("a", "b"))
     files = glob.glob(f"{tmp_path}/out/part-*")
     assert len(files) == 1 and open(files[0]).read().split() == ["a;b", *(f"{a};{b}" for a, b in sorted((i % 5, 100 - i) for i in range(40)))]
+
+
+def test_shut_segments_are_left_out_early(spark, monkeypatch):
+    """Segments that pass a forbidden polygon are dropped by places on them; what may be taken is as without."""
+    def square(n, x, r):
+        at = [(x - r, -r), (x + r, -r), (x + r, r), (x - r, r)]
+        return [(n, 0, k, *a, *b) for k, (a, b) in enumerate(zip(at, at[1:] + at[:1], strict=True))]
+
+    edges = spark.createDataFrame([r for n, x in ((1, 50.0), (2, 150.0)) for r in square(n, x, 4.0)], "poly bigint, ring int, k int, ax double, ay double, bx double, by_ double")
+    zones = spark.createDataFrame([(1, "oks", "FORBIDDEN", None, 0.0, 100, 5.0), (2, "road", "SPECIAL", 45.0, 3.0, 160, 1.0)], "poly bigint, restriction_type string, kind string, min_angle double, extent_m double, kspec_pct int, need double")
+    rows = [(i, 0.0, float(y), 200.0, float(y)) for i, y in enumerate((-40, -9.1, -8.9, 0, 8, 9.1, 40))] + [(7, 100.0, 0.0, 200.0, 0.0), (8, 46.0, 12.0, 46.0, 60.0), (9, 50.0, 6.0, 50.0, 60.0)]
+    segments = spark.createDataFrame(rows, "chain bigint, ax double, ay double, bx double, by_ double")
+    assert {(r.ay, r.ax) for r in P.open_segments(segments, edges, zones).collect()}.isdisjoint({(-8.9, 0.0), (0.0, 0.0), (8.0, 0.0), (6.0, 50.0)})
+    told = lambda: {r.chain: (r.forward, r.backward) for r in P.verdicts(segments, edges, zones).collect()}
+    early = told()
+    monkeypatch.setattr(P, "open_segments", lambda s, *_: s)
+    assert early == told() and len(early) == len(rows) and early[0] == (True, True) and early[3] == (False, False) and early[7] == (True, True)
