@@ -263,9 +263,10 @@ def plan_network(links: DataFrame, crossings: DataFrame) -> DataFrame:
     def depth_at(points, s):
         """The level of a profile at a measure."""
         pair = F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-        part = F.element_at(F.filter(pair, lambda e: e["q"]["s"] >= s - 1e-9), 1)
+        part = F.try_element_at(F.filter(pair, lambda e: e["q"]["s"] >= s - 1e-9), F.lit(1))
         share = F.when(part["q"]["s"] > part["p"]["s"], F.least(F.lit(1.0), (s - part["p"]["s"]) / (part["q"]["s"] - part["p"]["s"]))).otherwise(1.0)
-        return part["p"]["h"] + (part["q"]["h"] - part["p"]["h"]) * share
+        # A chain of no length has one point and no part.
+        return F.coalesce(part["p"]["h"] + (part["q"]["h"] - part["p"]["h"]) * share, F.element_at(points, -1)["h"])
 
     ready = waiting.where("onto IS NULL").withColumn("end", F.lit(NORMAL))
     parts = []

@@ -206,3 +206,11 @@ def test_networks(spark):
             for a, b in zip(parts, parts[1:]):
                 assert out[a[1]].end_mm == out[b[1]].start_mm
     assert planned > 10 and any(not x.feasible for x in out.values())
+
+
+def test_chains_of_no_length_have_the_depth_they_join(spark):
+    """A link between two consumers at one place: its chain's profile is a single point."""
+    links = spark.createDataFrame([(1, 0, 1, 0, 100.0, 10.0), (2, 1, 2, 0, 0.0, 10.0), (3, 2, 3, 0, 50.0, 10.0)], "child bigint, parent bigint, chain bigint, ord int, length_m double, price double")
+    crossings = spark.createDataFrame([(1, 0.0, 4.0, "COVER", 0.16, None, None, None, 5.0)], "child bigint, lo double, hi double, kind string, new_height double, top double, height double, gap double, cover double")
+    out = {x.child: (x.start_mm, x.end_mm, x.cost, x.feasible) for x in depth.plan_network(links, crossings).collect()}
+    assert out[1][:2] == (5000, 3000) and out[2] == (5000, 5000, 0, True) and out[3][1] == 5000 and out[3][3]
