@@ -135,3 +135,16 @@ def test_ranks_and_strict_reading(spark, at, tmp_path):
         (tmp_path / f"bad-{k}.json").write_text(t)
     good, problems = results.read(spark, f"{tmp_path}/bad-*.json")
     assert {r.file.split("bad-")[1].split(".")[0]: r.problem for r in problems.collect()} == {k: k.split("-")[0] for k in texts} and good.count() == 0
+
+
+def test_documents_are_parsed_and_kinds_found_once(spark):
+    """No later step parses a document again, and a number's kind isn't looked up beside its kind column."""
+    one = '{"features": [{"geometry": null, "properties": {"id": 1, "cost": 2.5, "score": "x"}}]}'
+    found, problems = results.strict(spark.createDataFrame([(1, one), (2, '{"features": []}'), (3, "{"), (4, '{"features": [7]}')], "file bigint, value string"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan(found).lower() and "parse_json" not in plan(problems).lower()
+    assert {(r.file, r["index"], r.problem) for r in problems.collect()} == {(3, None, "MALFORMED_JSON"), (4, 0, "FEATURE_NOT_AN_OBJECT")}
+    typed = results.typed(found)
+    row = typed.collect()[0]
+    assert (row.file, row.k_cost, row.k_score, row.cost, row.score, row.k_rank) == (1, "NUMBER", "STRING", 2.5, None, None)
+    assert plan(typed).count("properties.cost") == 1
