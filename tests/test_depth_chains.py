@@ -214,3 +214,19 @@ def test_chains_of_no_length_have_the_depth_they_join(spark):
     crossings = spark.createDataFrame([(1, 0.0, 4.0, "COVER", 0.16, None, None, None, 5.0)], "child bigint, lo double, hi double, kind string, new_height double, top double, height double, gap double, cover double")
     out = {x.child: (x.start_mm, x.end_mm, x.cost, x.feasible) for x in depth.plan_network(links, crossings).collect()}
     assert out[1][:2] == (5000, 3000) and out[2] == (5000, 5000, 0, True) and out[3][1] == 5000 and out[3][3]
+
+
+def test_like_chains_are_searched_once(spark, monkeypatch):
+    """Chains with the same crossings, in whatever order, are one class; each still gets its own rows."""
+    from pipeweave.operators import copies
+
+    seen, fold = [], copies.folded
+    monkeypatch.setattr(copies, "folded", lambda *args: seen.append(fold(*args)) or seen[-1])
+    road = [(20.0, 24.0, "COVER", 0.16, None, None, None, 4.0), (80.0, 84.0, "GAP", 0.16, 1.0, 0.5, 0.2, None)]
+    rows = [(chain, 200.0, 10.0, *c) for chain, found in ((1, road), (2, road[::-1]), (3, road), (4, road[:1])) for c in found]
+    out = depth.plan_chains(spark.createDataFrame(rows, "chain bigint, length_m double, price double, lo double, hi double, kind string, new_height double, top double, height double, gap double, cover double"))
+    found = defaultdict(list)
+    for r in sorted(out.collect()):
+        found[r.chain].append(tuple(r)[1:])
+    assert set(found) == {1, 2, 3, 4} and found[1] == found[2] == found[3] != found[4]
+    assert seen[0][0].count() == 2
