@@ -231,3 +231,16 @@ def test_shut_segments_are_left_out_early(spark, monkeypatch):
     early = told()
     monkeypatch.setattr(P, "open_segments", lambda s, *_: s)
     assert early == told() and len(early) == len(rows) and early[0] == (True, True) and early[3] == (False, False) and early[7] == (True, True)
+
+
+def test_like_polygons_are_repaired_once(spark, tmp_path, monkeypatch):
+    """Parts whose polygons are alike are one class, and each gets its own row."""
+    from pipeweave.operators import copies
+    from pipeweave.plans import catalog
+
+    seen, fold = [], copies.folded
+    monkeypatch.setattr(copies, "folded", lambda *args: seen.append(fold(*args)) or seen[-1])
+    spark.createDataFrame([(k, 7) for k in (2, 9002, 18002, 3)], "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    out = {r.poly: tuple(r)[1:] for r in catalog.QUERIES["f24_repaired_polygons"](spark, str(tmp_path)).collect()}
+    assert set(out) == {2, 9002, 18002, 3} and out[2] == out[9002] == out[18002] == (104_000_000, 14, True) and out[3] == (25_000_000, 6, True)
+    assert seen[0][0].count() == 2
