@@ -40,7 +40,9 @@ def cut(links: DataFrame, cuts: DataFrame, edit: str = "", margin_mm: int = 0) -
 
     Cuts at one place are one. The lowest piece keeps the name of the link and its reserved part.
     """
-    good = cuts.distinct().join(refused_cuts(links, cuts, margin_mm).select("child", "at_mm"), ["child", "at_mm"], "left_anti")
+    # Written once: what is asked for below would else be made anew for each use.
+    links, cuts = table(links, "links"), table(cuts.distinct(), "cuts")
+    good = cuts.join(refused_cuts(links, cuts, margin_mm).select("child", "at_mm"), ["child", "at_mm"], "left_anti")
     places = good.groupBy("child").agg(F.array_sort(F.collect_set("at_mm")).alias("_at"))
     held = links.join(places, "child", "left").withColumn("_at", F.coalesce("_at", F.array().cast("array<bigint>")))
     n = F.size("_at")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions import geometry as G
 from ...operators import edits, reattach
+from ...operators.shared import table
 from ..catalog import query
 
 MARGIN_MM = 2000
@@ -51,7 +52,7 @@ def cut(s):
 
 def grown(s):
     """The cut forest with a new leaf at every junction, named by it."""
-    after = edits.cut(network(s), places(s), margin_mm=MARGIN_MM)
+    after = table(edits.cut(network(s), places(s), margin_mm=MARGIN_MM), "cut")
     new = after.where("junction").select(F.concat(F.lit("n"), "child").alias("child"), F.col("child").alias("parent"), F.lit(1000).cast("bigint").alias("length_mm"), F.slice("line", 1, 1).alias("line"), F.slice("passages", 1, 0).alias("passages"), F.lit(0).cast("bigint").alias("reserved_mm"), F.lit(False).alias("junction"))
     return edits.attach(after, new)
 
@@ -60,7 +61,7 @@ def grown(s):
   UNION ALL SELECT 'n' || child || '@' || m, child || '@' || m, 1000, 0 FROM judged WHERE reason IS NULL AND m % 3 = 0""")
 def dropped(s):
     """Two thirds of the new leaves go again, and their junctions with them."""
-    full = grown(s)
+    full = table(grown(s), "grown")
     leaves = full.where("child LIKE 'n%' AND CAST(substring_index(child, '@', -1) AS BIGINT) % 3 <> 0").select("child")
     return edits.drop(full, leaves).select("child", "parent", "length_mm", F.size("passages").cast("bigint").alias("passages"))
 

@@ -161,3 +161,13 @@ def test_rounds_send_no_side_through_the_driver(spark):
     assert found.count() == sum(k.bit_length() for k in range(1, 65)) and made.value == 64
     runs = graph.runs(found, links)
     assert "BroadcastHashJoin" not in runs._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_links_are_made_once_for_a_cut(spark):
+    """Every use of links and cuts reads what was written, not its source."""
+    from pipeweave.operators import edits
+
+    links = spark.createDataFrame([("a", "r", 1000, [(0.0, 0.0), (1.0, 0.0)], [], 0, False)], "child string, parent string, length_mm bigint, line array<struct<x:double,y:double>>, passages array<struct<lo_mm:bigint,hi_mm:bigint>>, reserved_mm bigint, junction boolean")
+    out = edits.cut(links, spark.createDataFrame([("a", 400), ("a", 400)], "child string, at_mm bigint"))
+    assert not any(n in out._jdf.queryExecution().optimizedPlan().toString() for n in ("LogicalRDD", "LocalRelation"))
+    assert {(r.child, r.parent, r.length_mm) for r in out.collect()} == {("a", "a@400", 400), ("a@400", "r", 600)}
