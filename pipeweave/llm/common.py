@@ -50,8 +50,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet into the shared folder and read it again.
+def write_table(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet into the shared folder and read it again; ``options`` are the writer's.
 
     The written table cuts the lineage: a lost executor costs no more than the
     tasks that were running on it.
@@ -59,7 +59,7 @@ def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, label)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     free_shuffles(spark)
     return spark.read.schema(schema).parquet(path), path
 

@@ -6,32 +6,37 @@ its own, and all of them share one parent, whose base is uniform over the
 vocabulary and one unknown word. Restaurants, dishes and their tables grow
 with the corpus.
 
-Training counts (context, word) pairs. A dish that one customer of a
-restaurant eats has one table there whatever is drawn, so pairs that occur
-once are never rows of the state: they stand in their context's totals and
-their customer in the parent. Gibbs sweeps reseat the customers of every other
+Training counts (context, word) pairs; each is a dish of its context's
+restaurant. A dish that one customer eats has one table there whatever is
+drawn, so pairs that occur once are never reseated, but they are dishes like
+the others: they hold their table, their customer in the parent and their own
+share of a prediction. Gibbs sweeps reseat the customers of every other
 pair by the Chinese-restaurant process, given the tables of all other dishes
 and the parent's probability of the word; each new table sends a customer to
 the parent, whose dishes are reseated in turn. The wait for the next new table
 is beta-geometric, so all customers up to it are seated at once, with the
 law of seating them one by one and at any count. Discounts come from the
 corpus' counts of ones and twos. After ``burn`` sweeps the seats of
-``samples`` sweeps are averaged: with the mean tables of a pair, of a context
-and the mean probability of the parent,
+``samples`` sweeps are averaged: with the mean tables t of a pair and T of a
+context and the mean probability of the parent,
 
-    p(word | context) = (n - d t) / (s + N) + (s + d T + (1 - d) S) / (s + N) * p(word),
+    p(word | context) = (n - d t) / (s + N) + (s + d T) / (s + N) * p(word).
 
-where S counts the pairs of the context that occur once: their share is the
-parent's. It sums to one over the vocabulary and the unknown word.
+It sums to one over the vocabulary and the unknown word.
+
+Pairs lie in buckets and words in homes, both by their hash. In a sweep a
+bucket sends each home the new tables of the words it holds, summed, and gets
+back the words' seats in the parent and their tables as contexts. All are
+sorted by hash and draws are seeded by bucket, so equal corpora in equally many
+buckets have equal models however rows are dealt.
 
 Scoring: log p splits into a part of the word, a part of the context word and
-a part of the pair, 0 where the pair is no row. Blocks of texts send the hashes
-of their words and pairs, with the texts that hold them, to the bucket of the
-hash; there the sorted model is read once and messages stream past it, and
-only sums by text go on. No group is held whole: messages are bounded by a block, buckets
-are dealt by hashes of words and pairs (a word of a third of all tokens is
-one row there), and their number follows the corpus, so messages number at
-most the distinct words and pairs of the blocks.
+a part of the pair, 0 where the pair was never seen. Blocks of texts ask
+buckets and homes for their distinct words and pairs and keep which texts
+hold each; answers go back to the block and are added up there. So all
+rows sent are bounded by the blocks' words and pairs, whatever the number of
+buckets. No group is held whole: a word of a third of all tokens is one row of
+its home, and the number of buckets follows the corpus.
 
 Defined results: a null or empty text is the end token alone; rows with a null
 id are scored like any other; repeated rows are counted and scored each for
@@ -44,7 +49,7 @@ from __future__ import annotations
 import gc
 import math
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -57,15 +62,24 @@ BURN, SAMPLES = 1, 2
 #: Tokens of a block of texts whose pairs are found at once.
 BLOCK_TOKENS = 3 << 18
 #: Characters of the corpus for each bucket.
-BUCKET_CHARS = 24_000_000
+BUCKET_CHARS = 12_000_000
 #: Texts of a block, so that 16 bits name one.
 BLOCK_TEXTS = 60_000
-#: The same for scoring, where buckets stream.
-SCORE_CHARS = 32_000_000
-#: Shares of the texts that are scored one after the other, so that the messages of one are on disk at a time.
-SHARES = 2
-#: Rows of an Arrow batch that go to Python where a row is a message of a block to a bucket.
-MESSAGES = 16
+#: The same for each home of words.
+SCORE_CHARS = 96_000_000
+#: Buckets of a small corpus, if there are as many partitions.
+LEAST = 64
+#: Shares of the buckets that are counted, and of the texts that are scored, one after the other, so that the messages of one are on disk at a time.
+SHARES = 5
+#: Rows of an Arrow batch that go to Python where a row is a message of a block, or may be the state of a bucket or home.
+MESSAGES, STATES = 16, 4
+#: Kinds of rows: what a bucket or home holds, pairs that occur once, and messages between buckets and homes.
+STATE, ONCE, ASK, ASK_ONCE, ANSWER, ANSWER_ONCE = range(6)
+ROW = "place int, kind int, origin bigint, packed binary, stats array<bigint>"
+#: Formats of packed arrays.
+FORMS = ("u1", "<u2", "<u4", "<u8", "<f4", "<f8")
+#: Parquet pages and row groups are cut by bytes after few rows, where rows hold arrays.
+WIDE = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.block.size": str(16 << 20)}
 
 
 def make_tokens():
@@ -169,110 +183,172 @@ def _counted(*columns):
     return first, np.diff(np.append(first, len(columns[0])))
 
 
-def _lists(values, counts):
+def _buckets(docs: DataFrame, text: str) -> tuple[int, int]:
+    """How many buckets of pairs and homes of words: both follow the corpus."""
+    whole = int(docs.agg(F.sum(F.length(text))).first()[0] or 0)
+    least = min(common.partitions(docs.sparkSession), LEAST)
+    return max(least, whole // BUCKET_CHARS), max(least, whole // SCORE_CHARS)
+
+
+class PitmanYor:
+    """The fitted model: sorted arrays of pairs by bucket and of words by home, and its scalars.
+
+    ``table`` lists them: lp is log10 of a word's probability in the parent against the unknown word's, or of what a pair adds;
+    back: log10 of the share of a word's own restaurant that is the parent's.
+    """
+
+    def __init__(self, packed: DataFrame, buckets: int, homes: int, n_tokens: int, vocabulary: int, unknown: float, discounts: tuple[float, float]):
+        self.packed, self.buckets, self.homes = packed, buckets, homes
+        self.n_tokens, self.vocabulary, self.unknown, self.discounts = n_tokens, vocabulary, unknown, discounts
+        self.table = _listed(packed, buckets)
+
+
+def pack(*arrays) -> bytes:
+    """Arrays as bytes; whole numbers (none is negative) in the fewest bytes that hold them."""
+    import numpy as np
+
+    parts = []
+    for a in arrays:
+        kind = FORMS.index("<f4" if a.dtype == np.float32 else "<f8")
+        if a.dtype.kind in "iu":
+            kind = 0 if not len(a) else int(np.searchsorted([1 << 8, 1 << 16, 1 << 32], int(a.max()), "right"))
+        parts += [bytes([kind]), len(a).to_bytes(8, "little"), a.astype(FORMS[kind], copy=False).tobytes()]
+    return b"".join(parts)
+
+
+def unpack(packed: bytes) -> list:
     import numpy as np
+
+    out, at = [], 0
+    while at < len(packed):
+        form, size = np.dtype(FORMS[packed[at]]), int.from_bytes(packed[at + 1:at + 9], "little")
+        out.append(np.frombuffer(packed, dtype=form, count=size, offset=at + 9))
+        at += 9 + size * form.itemsize
+    return out
+
+
+def _batch(rows: list[tuple]):
+    """Rows (place, kind, origin, packed, stats) as an Arrow batch."""
     import pyarrow as pa
 
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["place", "kind", "origin", "packed", "stats"])
+
 
+def _cut(ids, columns, kind: int, origin: int, homes: int) -> list[tuple]:
+    """Sorted ids and their columns as one message to each home."""
+    at, size = _counted(bucket_of(ids, homes))
+    places = bucket_of(ids[at], homes).tolist()
+    return [(h, kind, origin, pack(ids[a:a + k], *(c[a:a + k] for c in columns)), None) for h, a, k in zip(places, at.tolist(), size.tolist(), strict=True)]
 
-def _flat(batch, column: int):
-    """A list column as one array."""
-    return batch.column(column).flatten().to_numpy(zero_copy_only=False)
 
+def _by_place(rows: DataFrame, run) -> DataFrame:
+    """``run(place, rows (kind, origin, arrays))`` over each place, rows in order of kind and origin."""
+
+    def each(batches):
+        held, at = [], None
+        for b in batches:
+            for place, kind, origin, packed in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if place != at and held:
+                    yield from run(at, held)
+                    held = []
+                at = place
+                held.append((kind, origin, unpack(packed)))
+        if held:
+            yield from run(at, held)
 
-def _streamed(rows: DataFrame, run, schema: str, *order: str) -> DataFrame:
-    """Deal rows by bucket and run over each partition in order; rows are messages, so batches are small."""
     n = common.partitions(rows.sparkSession)
-    return rows.repartition(n, "bucket").sortWithinPartitions(*order).mapInArrow(run, schema)
+    return rows.select("place", "kind", "origin", "packed").repartition(n, "place").sortWithinPartitions("place", "kind", "origin").mapInArrow(each, ROW)
 
 
-def _write_messages(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, label: str, batch: int) -> tuple[DataFrame, str]:
+    """Write rows that hold whole arrays: few to an Arrow batch, and pages are cut by their bytes."""
     spark = df.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = spark.conf.get(key)
-    spark.conf.set(key, str(MESSAGES))
+    spark.conf.set(key, str(batch))
     try:
-        return common.write_table(df, label)
+        return common.write_table(df, label, **WIDE)
     finally:
         spark.conf.set(key, rows)
 
 
-def _buckets(docs: DataFrame, text: str, chars: int) -> int:
-    whole = int(docs.agg(F.sum(F.length(text))).first()[0] or 0)
-    return max(common.partitions(docs.sparkSession), whole // chars)
-
+def _of(rows: DataFrame, *kinds: int) -> DataFrame:
+    return rows.where(F.col("kind").isin(*kinds)).select("place", "kind", "origin", "packed")
 
-class PitmanYor:
-    """The fitted model: a table of words and pairs by their hash, and its scalars.
-
-    lp: log10 of a word's probability in the parent against the unknown word's, or of what a pair adds;
-    back: log10 of the share of a word's own restaurant that is the parent's.
-    """
 
-    def __init__(self, table: DataFrame, n_tokens: int, vocabulary: int, unknown: float, discounts: tuple[float, float]):
-        self.table, self.n_tokens, self.vocabulary, self.unknown, self.discounts = table, n_tokens, vocabulary, unknown, discounts
+def _stats(rows: DataFrame, n: int) -> list[int]:
+    return [int(x or 0) for x in rows.where("kind = 0").agg(*(F.sum(F.col("stats")[k]) for k in range(n))).first()]
 
 
-def count_pairs(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """u, w, n of the pairs that occur twice or more; and, with w null, for a word u of a bucket n and once_w, once_u.
+def count_pairs(docs: DataFrame, text: str, buckets: int, share: int = 0, shares: int = 1) -> DataFrame:
+    """Every distinct pair of the corpus, in the bucket of its hash, each with one table: the state before the first sweep.
 
-    n there: tokens u; once_w and once_u: pairs that occur once and have u as word or as context.
+    A bucket gives its pairs that occur twice or more (STATE) and those that occur once (ONCE): the words of either, and
+    pairs as places in them. Of the buckets only those of a share are counted.
     """
 
     def send(batches):
         import numpy as np
-        import pyarrow as pa
 
         for _, w, u, _ in _blocks(batches, 0, BLOCK_TOKENS):
             key = pair_key(u, w)
-            order = np.argsort(key)
+            mine = np.flatnonzero(bucket_of(key, buckets) % shares == share)
+            order = np.argsort(key[mine])
+            order = mine[order]
             first, n = _counted(key[order])
             order = order[first]
-            key, u, w = key[order], u[order].view(np.int64), w[order].view(np.int64)
-            bucket = bucket_of(key, buckets)
+            u, w, bucket = u[order], w[order], bucket_of(key[order], buckets)
             at, size = _counted(bucket)
-            n = n.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), *(_lists(x, size) for x in (u, w, n))], ["bucket", "u", "w", "n"])
+            yield _batch([(int(bucket[a]), 0, 0, pack(u[a:a + k], w[a:a + k], n[a:a + k]), None) for a, k in zip(at.tolist(), size.tolist(), strict=True)])
 
-    def settle(batches):
+    def settle(bucket, held):
         import numpy as np
-        import pyarrow as pa
 
-        def answer(held):
-            u, w, n = (np.concatenate([x[k] for x in held]) for k in range(3))
-            key = pair_key(u.view(np.uint64), w.view(np.uint64))
-            order = np.argsort(key)
-            u, w = u[order], w[order]
-            first, _ = _counted(key[order])
-            n = np.add.reduceat(n[order].astype(np.int64), first)
-            u, w = u[first], w[first]
-            more, once = n > 1, n == 1
-            size = int(more.sum())
-            yield from rows(u[more], pa.array(w[more]), n[more], np.zeros(size, np.int64), np.zeros(size, np.int64))
-            names, number = np.unique(np.concatenate([w, u]), return_inverse=True)
-            of_w, of_u, k = number[:len(w)], number[len(w):], len(names)
-            yield from rows(names, pa.nulls(k, pa.int64()), np.bincount(of_w, weights=n, minlength=k).astype(np.int64), np.bincount(of_w[once], minlength=k), np.bincount(of_u[once], minlength=k))
-
-        def rows(u, w, n, once_w, once_u):
-            whole = pa.RecordBatch.from_arrays([pa.array(u), w, *(pa.array(x) for x in (n, once_w, once_u))], ["u", "w", "n", "once_w", "once_u"])
-            for a in range(0, whole.num_rows, 50_000):
-                yield whole.slice(a, 50_000)
+        u, w, n = (np.concatenate([x[k] for _, _, x in held]) for k in range(3))
+        held.clear()
+        key = pair_key(u, w)
+        order = np.argsort(key)
+        first, _ = _counted(key[order])
+        del key
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        order = order[first]
+        u, w = u[order], w[order]
+        for some, kind in ((n > 1, STATE), (n == 1, ONCE)):
+            ids, number = np.unique(np.concatenate([u[some], w[some]]), return_inverse=True)
+            m = n[some]
+            iu, iw = number[:len(m)], number[len(m):]
+            if kind == STATE:
+                yield _batch([(bucket, STATE, 0, pack(ids, iu, iw, m, np.ones(len(m), np.int64), np.zeros(len(m), np.int64)), [int((m == 2).sum())])])
+            else:
+                # In order of the context, which is then a count for each word.
+                yield _batch([(bucket, ONCE, 0, pack(ids, np.bincount(iu, minlength=len(ids)), iw[np.argsort(iu, kind="stable")]), None)])
+
+    sent = docs.select(docs[text].alias("text")).mapInArrow(send, ROW)
+    return _by_place(sent, settle)
+
+
+def _asks(states: DataFrame, homes: int, counted: bool) -> DataFrame:
+    """What buckets ask each home: their words there; ``counted``: with what their pairs add to these.
+
+    For pairs that occur once tables and tokens are one number; for the others tables come first, then tokens.
+    """
+
+    def run(batches):
+        import numpy as np
 
-        held, at = [], None
         for b in batches:
-            for r, bucket in enumerate(b.column(0).to_pylist()):
-                if bucket != at and held:
-                    yield from answer(held)
-                    held = []
-                at = bucket
-                row = b.slice(r, 1)
-                held.append([_flat(row, k) for k in (1, 2, 3)])
-        if held:
-            yield from answer(held)
+            for bucket, kind, packed in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                ids, *x = unpack(packed)
+                if not len(ids):
+                    continue
+                each = lambda i, of=None, k=len(ids): np.bincount(i, weights=of, minlength=k).astype(np.int64)
+                columns = ()
+                if counted:
+                    columns = (each(x[1]), each(x[0]), each(x[1], x[2]), each(x[0], x[2])) if kind == STATE else (each(x[1]), x[0])
+                yield _batch(_cut(ids, columns, ASK if kind == STATE else ASK_ONCE, bucket, homes))
 
-    sent = docs.select(docs[text].alias("text")).mapInArrow(send, "bucket int, u array<bigint>, w array<bigint>, n array<int>")
-    return _streamed(sent, settle, "u bigint, w bigint, n bigint, once_w bigint, once_u bigint", "bucket")
+    return states.select("place", "kind", "packed").mapInArrow(run, ROW).select("place", "kind", "origin", "packed")
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -283,47 +359,155 @@ class _Root:
     """Scalars of the parent restaurant: customers and tables."""
 
     def __init__(self, customers: int, tables: int, vocabulary: int, d: float):
-        self.new = (STRENGTHS[0] + d * tables) / (vocabulary + 1)
+        self.d, self.new = d, (STRENGTHS[0] + d * tables) / (vocabulary + 1)
         self.all = STRENGTHS[0] + customers
         self.unknown = self.new / self.all
 
+    def p(self, c, t):
+        """The probability of dishes with c customers at t tables."""
+        return (c - self.d * t + self.new) / self.all
 
-def _seated_words(before: DataFrame, pairs: DataFrame, root: _Root | None, add: bool, d: float, vocabulary: int, seed: list[int]) -> tuple[DataFrame, str, _Root]:
-    """Reseat the parent: words with their customers c0 and tables t0, written; and its new scalars.
 
-    Without ``root`` every dish has one table. ``add``: the parent's probabilities in ``before`` are a sample, added to ``psum``.
+def _first_words(home, held):
+    """A home's words as all buckets see them: tokens, customers from pairs that occur once, customers and tables as a context."""
+    import numpy as np
+
+    names = np.unique(np.concatenate([x[0] for _, _, x in held]))
+    n, once, cu, su, c0, tu = (np.zeros(len(names), dtype=np.int64) for _ in range(6))
+    for kind, _, x in held:
+        i = np.searchsorted(names, x[0])
+        c0[i] += x[1]
+        tu[i] += x[2]
+        n[i] += x[3] if kind == ASK else x[1]
+        cu[i] += x[4] if kind == ASK else x[2]
+        if kind == ASK_ONCE:
+            once[i] += x[1]
+            su[i] += x[2]
+    t0 = np.minimum(c0, 1)
+    stats = [(n > 0).sum(), n.sum(), su.sum(), (c0 == 1).sum(), (c0 == 2).sum(), c0.sum(), t0.sum()]
+    yield _batch([(home, STATE, 0, pack(names, n, once, cu, su, np.zeros(len(names)), c0, t0, tu), [int(x) for x in stats])])
+    for kind, bucket, x in held:
+        if kind == ASK:
+            i = np.searchsorted(names, x[0])
+            yield _batch([(bucket, ANSWER, home, pack(c0[i], t0[i], tu[i]), None)])
+
+
+def _reseat_words(root: _Root, add: bool, means: int, seed: list[int]):
+    """Reseat the parent's dishes. ``add``: the state before is a sample, its probabilities go to ``psum``.
+
+    ``means``: after the last sweep; buckets sent the tables of contexts summed over so many samples.
     """
-    sent = pairs.where("t > 0").groupBy(F.col("w").alias("word_")).agg(F.sum("t").alias("sent")).hint("shuffle_hash")
-    psum = F.col("psum") + (_p0(root, d) if add else 0.0)
-    rows = before.join(sent, F.col("word") == F.col("word_"), "left").select("word", "n", "once_w", "once_u", psum.alias("psum"), (F.col("once_w") + F.coalesce("sent", F.lit(0))).alias("c0"))
-    new = root.new if root else None
 
-    def run(batches):
+    def run(home, held):
         import numpy as np
-        import pyarrow as pa
 
-        for k, b in enumerate(batches):
-            c = b.column(5).to_numpy()
-            if new is None:
-                t = (c > 0).astype(np.int64)
-            else:
-                t = seat(c, np.full(len(c), new), d, np.random.default_rng([*seed, k, int(b.column(0)[0].as_py()) & 0xFFFFFFFF] if len(c) else seed))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t)], [*b.schema.names, "t0"])
+        names, n, once, cu, su, psum, c0, t0, _ = held[0][2]
+        if add:
+            psum = psum + root.p(c0.astype(float), t0)
+        c0, tu = once.astype(np.int64), np.zeros(len(names), dtype=np.int64)
+        for _, _, x in held[1:]:
+            i = np.searchsorted(names, x[0])
+            c0[i] += x[1]
+            tu[i] += x[2]
+        tu = su + tu / means if means else su + tu
+        t0 = seat(c0, np.full(len(c0), root.new), root.d, np.random.default_rng([*seed, home, 1]))
+        yield _batch([(home, STATE, 0, pack(names, n, once, cu, su, psum, c0, t0, tu), [int(c0.sum()), int(t0.sum())])])
+        for _, bucket, x in held[1:] if not means else ():
+            i = np.searchsorted(names, x[0])
+            yield _batch([(bucket, ANSWER, home, pack(c0[i], t0[i], tu[i]), None)])
+
+    return run
 
-    seen = Observation()
-    seated = rows.mapInArrow(run, "word bigint, n bigint, once_w bigint, once_u bigint, psum double, c0 bigint, t0 bigint")
-    out, path = _whole_batches(seated.observe(seen, F.coalesce(F.sum("c0"), F.lit(0)).alias("c"), F.coalesce(F.sum("t0"), F.lit(0)).alias("t")), "words")
-    return out, path, _Root(seen.get["c"], seen.get["t"], vocabulary, d)
 
+def _reseat_pairs(root: _Root, d: float, sample: bool, last: bool, seed: list[int], homes: int):
+    """Reseat the pairs of a bucket that occur twice or more, given the parent and the tables of their contexts."""
+
+    def run(bucket, held):
+        import numpy as np
 
-def _p0(root: _Root, d: float) -> Column:
-    return (F.col("c0") - d * F.col("t0") + root.new) / root.all
+        ids, iu, iw, n, t, ts = held[0][2]
+        if not len(ids):
+            yield _batch([(bucket, STATE, 0, pack(ids, iu, iw, n, t, ts), None)])
+            return
+        # Homes are in order of the hash, so their answers are in order of the ids.
+        c0, t0, tu = (np.concatenate([x[k] for _, _, x in held[1:]]).astype(float) for k in range(3))
+        a = (STRENGTHS[1] + d * (tu[iu] - t)) * root.p(c0, t0)[iw]
+        t = seat(n, a, d, np.random.default_rng([*seed, bucket, 0]))
+        ts = ts + t if sample else ts
+        yield _batch([(bucket, STATE, 0, pack(ids, iu, iw, n, t, ts), None)])
+        each = lambda i, of: np.bincount(i, weights=of, minlength=len(ids)).astype(np.int64)
+        yield _batch(_cut(ids, (each(iw, t), each(iu, ts if last else t)), ASK, bucket, homes))
 
+    return run
 
-def _tables(contexts: DataFrame, pairs: DataFrame, tables: str) -> DataFrame:
-    """The contexts of ``pairs`` (ctx, cu customers, su pairs that occur once) with their tables ``tu``."""
-    own = pairs.groupBy(F.col("u").alias("ctx_")).agg(F.sum(tables).alias("t_"))
-    return own.join(contexts.hint("shuffle_hash"), F.col("ctx_") == F.col("ctx")).select("ctx", "cu", (F.col("su") + F.col("t_")).alias("tu"), "su")
+
+def _predicted(root: _Root, d: float, samples: int):
+    """For the words that buckets ask for: the parent's mean probability, and the parent's share in the word's own restaurant times its room."""
+
+    def run(home, held):
+        import numpy as np
+
+        names, _, _, _, _, psum, c0, t0, tu = held[0][2]
+        p0, share = ((psum + root.p(c0.astype(float), t0)) / samples).astype(np.float32), (STRENGTHS[1] + d * tu).astype(np.float32)
+        for kind, bucket, x in held[1:]:
+            i = np.searchsorted(names, x[0])
+            yield _batch([(bucket, ANSWER if kind == ASK else ANSWER_ONCE, home, pack(p0[i], share[i]), None)])
+
+    return run
+
+
+def _pair_gains(d: float, samples: int):
+    """What each pair adds to the log10 of the parent's share, in order of the pairs' hashes."""
+
+    def run(bucket, held):
+        import numpy as np
+
+        keys, gains = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+        for kind, answer in ((STATE, ANSWER), (ONCE, ANSWER_ONCE)):
+            ids, iu, iw, *state = next(x for k, _, x in held if k == kind)
+            if not len(ids):
+                continue
+            p0, share = (np.concatenate([x[k] for q, _, x in held if q == answer]) for k in range(2))
+            own = state[0] - d * (state[2] / samples) if state else 1.0 - d
+            iu = iu if state else np.repeat(np.arange(len(ids)), iu)
+            gains.append(np.log10(own / (share[iu].astype(float) * p0[iw]) + 1.0).astype(np.float32))
+            keys.append(pair_key(ids[iu].astype(np.uint64), ids[iw].astype(np.uint64)))
+        key, gain = (np.concatenate(x) for x in (keys, gains))
+        order = np.argsort(key)
+        yield _batch([(bucket, STATE, 0, pack(*_short(key[order]), gain[order]), None)])
+
+    return run
+
+
+def _short(key) -> tuple:
+    """Sorted hashes: their high 16 bits with how often each occurs, and the low 48 bits."""
+    import numpy as np
+
+    first, n = _counted(key >> np.uint64(48))
+    return key[first] >> np.uint64(48), n, np.frombuffer(_six(key), dtype=np.uint8)
+
+
+def _long(high, n, six):
+    import numpy as np
+
+    return np.repeat(high.astype(np.uint64), n) << np.uint64(48) | _carried(six)
+
+
+def _word_parts(root: _Root, d: float, samples: int, unknown: float, buckets: int):
+    """lp, back and base of a home's words; the home's place comes after the buckets of pairs."""
+
+    def run(batches):
+        import numpy as np
+
+        for b in batches:
+            for home, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                names, n, _, cu, _, psum, c0, t0, tu = unpack(packed)
+                p0 = (psum + root.p(c0.astype(float), t0)) / samples
+                lp = np.where(n > 0, np.log10(p0) - math.log10(unknown), 0.0)
+                back = np.log10((STRENGTHS[1] + d * tu) / (STRENGTHS[1] + cu.astype(float)))
+                yield _batch([(buckets + home, STATE, 0, pack(*_short(names.astype(np.uint64)), lp, back, np.log10(n.astype(float) + 1.0)), None)])
+
+    return run
 
 
 def fit(docs: DataFrame, *, text: str = "text", burn: int = BURN, samples: int = SAMPLES, seed: int = 11) -> PitmanYor:
@@ -331,103 +515,82 @@ def fit(docs: DataFrame, *, text: str = "text", burn: int = BURN, samples: int =
     common.small_batches(spark)
     if samples < 1:
         raise ValueError("samples: 1 at least")
-    counted, counted_path = _write_messages(count_pairs(docs, text, _buckets(docs, text, BUCKET_CHARS)), "pairs")
-    marks = spark.createDataFrame([(START, 0, 0, 0), (END, 0, 0, 0)], "word bigint, n bigint, once_w bigint, once_u bigint")
-    words = (counted.where("w IS NULL").select(F.col("u").alias("word"), "n", "once_w", "once_u").unionByName(marks)
-             .groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "once_w", "once_u"))))
-    words, words_path = common.write_table(words, "words")
-    pairs = counted.where("w IS NOT NULL").select("u", "w", "n", F.lit(1).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("ts"))
-    vocabulary, n_tokens, ones, = words.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("once_u"), F.lit(0))).first()
-    d1 = _discount(ones, pairs.where("n = 2").count())
-    # A word's customers in the parent, with one table for each pair: its distinct contexts.
-    state, state_path, root = _seated_words(words.withColumn("psum", F.lit(0.0)), pairs, None, False, 0.5, vocabulary, [])
-    parents = state.agg(F.count_if(F.col("c0") == 1), F.count_if(F.col("c0") == 2)).first()
-    d0 = _discount(*parents)
-    root = _Root(*state.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("t0"), F.lit(0))).first(), vocabulary, d0)
-    s1 = STRENGTHS[1]
-    held = pairs.groupBy(F.col("u").alias("ctx")).agg(F.sum("n").alias("n_"))
-    contexts, contexts_path = common.write_table(held.join(words, F.col("ctx") == F.col("word")).select("ctx", (F.col("n_") + F.col("once_u")).alias("cu"), F.col("once_u").alias("su")), "contexts")
-    pairs_path, unknown = counted_path, 0.0
+    buckets, homes = _buckets(docs, text)
+    first, paths = [], []
+    for share in range(SHARES):
+        df, path = _written(count_pairs(docs, text, buckets, share, SHARES), "pairs", MESSAGES)
+        first.append(df)
+        paths.append(path)
+        _free(spark)
+    first = _union(first)
+    pairs, pairs_path = first, None
+    words, words_path = _written(_by_place(_asks(_of(first, STATE, ONCE), homes, True), _first_words), "words", STATES)
+    _free(spark)
+    vocabulary, n_tokens, ones, once0, twice0, customers, tables = _stats(words, 7)
+    d1, d0 = _discount(ones, *_stats(first, 1)), _discount(once0, twice0)
+    root, unknown = _Root(customers, tables, vocabulary, d0), 0.0
     for number in range(1, burn + samples + 1):
-        last = number > burn
-        of_word = state.select(F.col("word").alias("w"), _p0(root, d0).alias("p0")).hint("shuffle_hash")
-        context = _tables(contexts, pairs, "t").select(F.col("ctx").alias("u"), "tu").hint("shuffle_hash")
-        joined = pairs.join(of_word, "w").join(context, "u").select("u", "w", "n", "t", "ts", (F.lit(s1) + d1 * (F.col("tu") - F.col("t"))).alias("s"), "p0")
-
-        def reseat(batches, number=number, last=last):
-            import numpy as np
-            import pyarrow as pa
-
-            for k, b in enumerate(batches):
-                if not b.num_rows:
-                    continue
-                n = b.column(2).to_numpy()
-                rng = np.random.default_rng([seed, number, k, int(b.column(0)[0].as_py()) & 0xFFFFFFFF, int(b.column(1)[0].as_py()) & 0xFFFFFFFF])
-                t = seat(n, b.column(5).to_numpy() * b.column(6).to_numpy(), d1, rng)
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(t), pa.array(b.column(4).to_numpy() + t * last)], ["u", "w", "n", "t", "ts"])
-
+        sample, last = number > burn, number == burn + samples
         old = pairs_path
-        pairs, pairs_path = _whole_batches(joined.mapInArrow(reseat, "u bigint, w bigint, n bigint, t bigint, ts bigint"), "pairs")
+        asked = _of(pairs, STATE).unionByName(_of(words, ANSWER))
+        pairs, pairs_path = _written(_by_place(asked, _reseat_pairs(root, d1, sample, last, [seed, number], homes)), "pairs", STATES)
+        if old:
+            common.remove(spark, old)
+        old = words_path
+        given = _of(words, STATE).unionByName(_of(pairs, ASK))
+        words, words_path = _written(_by_place(given, _reseat_words(root, number > burn + 1, samples if last else 0, [seed, number])), "words", STATES)
         common.remove(spark, old)
-        old = state_path
-        state, state_path, root = _seated_words(state, pairs, root, number > burn + 1, d0, vocabulary, [seed, number])
-        common.remove(spark, old)
-        unknown += root.unknown / samples if last else 0.0
-    # The mean probability of the parent over the samples.
-    means = state.select("word", ((F.col("psum") + _p0(root, d0)) / float(samples)).alias("p0"))
-    k = float(samples)
-    back = lambda cu, tu, su: (s1 + d1 * tu + (1 - d1) * su) / (s1 + cu)
-    of_context = common.table(_tables(contexts, pairs.withColumn("t", F.col("ts") / k), "t").select("ctx", back(F.col("cu"), F.col("tu"), F.col("su")).alias("back"), (s1 + F.col("cu")).alias("room")), "backs")
-    log = F.log10
-    alone = F.col("once_u")  # a context all of whose pairs occur once
-    rows = (words.join(means.hint("shuffle_hash"), "word").join(of_context.hint("shuffle_hash"), F.col("word") == F.col("ctx"), "left").withColumn("back", F.coalesce("back", back(alone, alone, alone)))
-            .select(F.col("word").alias("key"), F.when(F.col("n") > 0, log("p0") - math.log10(unknown)).otherwise(0.0).alias("lp"), log("back").alias("back"), log(F.col("n") + 1.0).alias("base"), (F.col("n") > 0).cast("double").alias("known")))
-    own = pairs.join(means.withColumnRenamed("word", "w").hint("shuffle_hash"), "w").join(of_context.withColumnRenamed("ctx", "u").hint("shuffle_hash"), "u")
-    parent = F.col("back") * F.col("p0")
-    gain = log((F.col("n") - d1 * F.col("ts") / k) / F.col("room") / parent + 1.0)
-    table = rows.unionByName(_keyed(own.select("u", "w", gain.alias("lp"))).withColumns({c: F.lit(0.0) for c in ("back", "base", "known")}))
-    table, _ = _whole_batches(table, "model")
-    for path in (pairs_path, state_path, words_path, contexts_path):
+        del asked, given
+        _free(spark)
+        root = _Root(*_stats(words, 2), vocabulary, d0)
+        unknown += root.unknown / samples if sample else 0.0
+    parts = [_written(_of(words, STATE).select("place", "packed").mapInArrow(_word_parts(root, d1, samples, unknown, buckets), ROW), "model", 1)[0]]
+    for share in range(SHARES):
+        mine = _of(pairs, STATE).unionByName(_of(first, ONCE)).where(F.col("place") % SHARES == share)
+        answers = _by_place(_of(words, STATE).unionByName(_asks(mine, homes, False)), _predicted(root, d1, samples))
+        parts.append(_written(_by_place(mine.unionByName(answers.drop("stats")), _pair_gains(d1, samples)), "model", STATES)[0])
+        del mine, answers
+        _free(spark)
+    for path in (*paths, pairs_path, words_path):
         common.remove(spark, path)
-    return PitmanYor(table, n_tokens, vocabulary, unknown, (d0, d1))
+    return PitmanYor(_union(parts), buckets, homes, n_tokens, vocabulary, unknown, (d0, d1))
 
 
-def _whole_batches(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write with large Arrow batches: rows are plain numbers."""
-    spark = df.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = spark.conf.get(key)
-    spark.conf.set(key, "50000")
-    try:
-        return common.write_table(df, label)
-    finally:
-        spark.conf.set(key, rows)
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
 
+def _free(spark) -> None:
+    """Shuffle files go when no plan claims them, and plans may be held by cycles of Python objects."""
+    gc.collect()
+    common.free_shuffles(spark)
 
-def _keyed(pairs: DataFrame) -> DataFrame:
-    """key, lp of pairs u, w, lp."""
+
+def _listed(packed: DataFrame, buckets: int) -> DataFrame:
+    """The model's packed rows as one row for each word and pair."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            key = pair_key(*(b.column(k).to_numpy().view(np.uint64) for k in (0, 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(2)], ["key", "lp"])
+            for place, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                high, n, six, *columns = unpack(packed)
+                key = _long(high, n, six)
+                columns = columns if place >= buckets else [columns[0], *(np.zeros(len(key)) for _ in range(2))]
+                columns = [pa.array(x.astype(float)) for x in (*columns, columns[2] > 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *columns], ["key", "lp", "back", "base", "known"])
 
-    return pairs.mapInArrow(run, "key bigint, lp double")
+    return packed.select("place", "packed").mapInArrow(run, "key bigint, lp double, back double, base double, known double")
 
 
-MESSAGE = "bucket int, kind int, key array<bigint>, lp array<double>, base array<double>, known array<double>, packed binary, d1 array<bigint>, d2 array<int>"
-SUMS = ("lp", "base", "known", "n_tokens", "copies")
-#: The low bits of a hash that a message carries; the high ones name its bucket, whose keys are a bounded number.
+#: The low bits of a hash that a message carries; the high ones name its place, whose keys are a bounded number.
 CARRIED = (1 << 48) - 1
 
 
-def _of_text(text: str, docs: DataFrame) -> list[Column]:
-    """96 bits that name a text."""
-    whole = F.coalesce(docs[text], F.lit(""))
-    return [F.xxhash64(whole).alias("d1"), F.hash(whole).alias("d2")]
 def pack_message(key, texts, at, n) -> bytes:
     """Keys (48 bits), how many entries each has, and the entries: a text of the message (16 bits), occurrences (8 bits; more are several entries)."""
     import numpy as np
@@ -456,154 +619,161 @@ def unpack_message(packed: bytes):
     return key.view("<u8").ravel(), texts, np.frombuffer(packed, dtype="<u2", count=entries, offset=at), np.frombuffer(packed, dtype=np.uint8, count=entries, offset=at + 2 * entries)
 
 
-def _ask(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """Messages of blocks of texts: for each key the texts that hold it, and how often; d1, d2 name the message's texts."""
+def _six(key) -> bytes:
+    import numpy as np
+
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _carried(six):
+    """The low 48 bits of hashes from their bytes."""
+    import numpy as np
+
+    key = np.zeros((len(six) // 6, 8), dtype=np.uint8)
+    key[:, :6] = six.reshape(-1, 6)
+    return key.view("<u8").ravel()
+
+
+def _ask(docs: DataFrame, doc_id: str, text: str, buckets: int, homes: int) -> DataFrame:
+    """Blocks of texts: a row of each (place -1) keeps its ids and, for each key, the texts that hold it and how often;
+    the others ask a place for the keys of the block that lie there."""
+    form = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        none = [pa.array([[]], pa.list_(k)) for k in (pa.int64(), pa.float64(), pa.float64(), pa.float64())]
+        number = TaskContext.get().partitionId() << 32
         for held, w, u, o in _blocks(batches, 0, BLOCK_TOKENS):
-            d1, d2 = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (1, 2))
-            starts = np.full(len(d1), START, dtype=np.uint64)
-            key = np.concatenate([w, starts, pair_key(u, w)])
-            o = np.concatenate([o, np.arange(len(d1)), o])
-            # In order of bucket, then of what a message carries of the hash.
-            bucket, key = bucket_of(key, buckets), key & np.uint64(CARRIED)
-            order = np.argsort(bucket.astype(np.uint64) << np.uint64(48) | key) if buckets <= 1 << 16 else np.lexsort((key, bucket))
-            bucket, key, o = bucket[order], key[order], o[order]
-            each, size = _counted(bucket, key)
-            held_by = np.sort(np.repeat(np.arange(len(each)), size) << 32 | o)  # key and text
-            first, n = _counted(held_by)
-            o = held_by[first] & 0xFFFFFFFF
-            _, texts = _counted(held_by[first] >> 32)
-            bucket, key = bucket[each], key[each]
-            cut, keys = _counted(bucket)
-            edges = np.concatenate([[0], np.cumsum(np.add.reduceat(texts, cut))])
-            for k, (a, e) in enumerate(zip(cut.tolist(), (cut + keys).tolist(), strict=True)):
-                x, y = int(edges[k]), int(edges[k + 1])
-                there = np.zeros(len(d1), dtype=bool)
-                there[o[x:y]] = True
-                here = np.flatnonzero(there)
-                at = (np.cumsum(there) - 1)[o[x:y]]
-                packed = pack_message(key[a:e], texts[a:e], at, n[x:y])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[a])], pa.int32()), pa.array([1], pa.int32()), *none, pa.array([packed], pa.binary()), _lists(d1[here], [len(here)]), _lists(d2[here], [len(here)])],
-                    [f.split()[0] for f in MESSAGE.split(", ")])
-
-    return docs.select(docs[text].alias("text"), *_of_text(text, docs)).mapInArrow(run, MESSAGE)
-
-
-def _packed_model(table: DataFrame, buckets: int) -> DataFrame:
-    """The model's rows as messages to their buckets."""
+            ids = pa.concat_arrays([b.column(1) for b in held])
+            texts = np.arange(len(ids))
+            words, pairs = np.concatenate([w, np.full(len(ids), START, dtype=np.uint64)]), pair_key(u, w)
+            place, keys, size, at, n = [], [], [], [], []
+            for key, owner, count, first in ((pairs, o, buckets, 0), (words, np.concatenate([o, texts]), homes, buckets)):
+                # High bits name the place, so hashes in order are places in order; there the low bits are put in order.
+                spot = bucket_of(key, count)
+                order = np.argsort(spot.astype(np.uint64) << np.uint64(48) | key & np.uint64(CARRIED)) if count <= 1 << 16 else np.lexsort((key & np.uint64(CARRIED), spot))
+                key, spot = key[order] & np.uint64(CARRIED), spot[order]
+                each, many = _counted(spot, key)
+                # A key and a text, in order.
+                both = np.sort(np.repeat(np.arange(len(each)), many) << 32 | owner[order])
+                start, times = _counted(both)
+                place.append(spot[each] + first)
+                keys.append(key[each])
+                size.append(_counted(both[start] >> 32)[1])
+                at.append(both[start] & 0xFFFFFFFF)
+                n.append(times)
+            place, keys = np.concatenate(place), np.concatenate(keys)
+            kept = pack_message(keys, *(np.concatenate(x) for x in (size, at, n)))
+            cut, many = _counted(place)
+            asks = [_six(keys[a:a + k]) for a, k in zip(cut.tolist(), many.tolist(), strict=True)]
+            rows = len(asks) + 1
+            lists = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * rows], pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([-1, *place[cut].tolist()], pa.int32()), pa.array([number] * rows, pa.int64()), pa.array([None, *asks], pa.binary()), pa.array([kept, *[None] * len(asks)], pa.binary()), lists],
+                ["place", "origin", "packed", "kept", "ids"])
+            number += 1
+
+    return docs.select(docs[text].alias("text"), docs[doc_id].alias("doc_id")).mapInArrow(run, f"place int, origin bigint, packed binary, kept binary, ids array<{form}>")
+
+
+def _answers(buckets: int):
+    """The model's row of a place comes first, then the blocks that ask, each answered as it comes, in order of its keys."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
+        at, keys, columns = None, None, None
         for b in batches:
-            at, size = _counted(b.column(0).to_numpy())
-            if not len(at):
-                continue
-            columns = [_lists(b.column(k).to_numpy(), size) for k in range(1, 5)]
-            none = [pa.array([b""] * len(at), pa.binary()), *(pa.array([[]] * len(at), pa.list_(t)) for t in (pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([0] * len(at), pa.int32()), *columns, *none], [f.split()[0] for f in MESSAGE.split(", ")])
+            out = []
+            for place, kind, origin, packed in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if place != at:
+                    at, keys = place, None
+                if kind == 0:
+                    _, _, six, *columns = unpack(packed)
+                    keys = _carried(six)
+                    order = np.argsort(keys)
+                    keys = keys[order]
+                    # A word is the context of the next one.
+                    columns = [columns[0][order]] if place < buckets else [(columns[0] + columns[1])[order], columns[2][order]]
+                    continue
+                key = _carried(np.frombuffer(packed, dtype=np.uint8))
+                found = [np.zeros(len(key), dtype=x) for x in ((np.float32,) if place < buckets else (float, float))]
+                if keys is not None and len(keys):
+                    i = np.searchsorted(keys, key)
+                    i[i == len(keys)] = 0
+                    ok = keys[i] == key
+                    for f, c in zip(found, columns, strict=True):
+                        f[ok] = c[i[ok]]
+                out.append((place, origin, pack(*found)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["place", "origin", "packed"])
 
-    bucket = F.shiftright(F.shiftrightunsigned("key", 33) * buckets, 31).cast("int")
-    rows = table.select(bucket.alias("bucket"), "key", (F.col("lp") + F.col("back")).alias("lp"), "base", "known")
-    return rows.repartition(common.partitions(table.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, MESSAGE)
+    return run
 
 
-def _sums(batches):
-    """Messages in order of bucket, the model's first: sums by text."""
-    import numpy as np
-    import pyarrow as pa
+def _added_up(buckets: int):
+    """What a block keeps, then its answers in order of place: the sums of its texts."""
 
-    model, at, keys, values = [], None, None, None
-    waiting: dict[str, list] = {"d1": [], "d2": [], "sums": []}
+    def sums(ids, kept, answers):
+        import numpy as np
+        import pyarrow as pa
 
-    def given():
-        d1, d2 = np.concatenate(waiting["d1"]), np.concatenate(waiting["d2"])
-        order = np.lexsort((d2, d1))
-        first, _ = _counted(d1[order], d2[order])
-        sums = np.add.reduceat(np.concatenate(waiting["sums"])[order], first)
-        for x in waiting.values():
-            x.clear()
-        return pa.RecordBatch.from_arrays([pa.array(d1[order][first]), pa.array(d2[order][first]), *(pa.array(sums[:, k].copy()) for k in range(len(SUMS)))], ["d1", "d2", *SUMS])
+        key, texts, at, times = unpack_message(kept)
+        pairs = np.concatenate([np.zeros(0), *(unpack(x)[0] for p, x in answers if p < buckets)])
+        lp, base = (np.concatenate([unpack(x)[k] for p, x in answers if p >= buckets]) for k in range(2))
+        first = len(pairs)  # words come after pairs
+        lp, base = np.concatenate([pairs, lp]), np.concatenate([np.zeros(first), base])
+        end = np.zeros(len(key), dtype=bool)
+        end[first:] = key[first:] != START
+        times = times.astype(float)
+        total = [np.bincount(at, weights=times * np.repeat(x, texts), minlength=len(ids)) for x in (lp, base, base > 0, end)]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(x) for x in total)], ["doc_id", "lp", "base", "known", "n_tokens"])
 
-    size = 0
-    for b in batches:
-        for r, (bucket, kind) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-            if bucket != at:
-                model, at, keys = [], bucket, None
-            row = b.slice(r, 1)
-            if kind == 0:
-                model.append([_flat(row, k) for k in (2, 3, 4, 5)])
-                continue
-            if keys is None:
-                keys = (np.concatenate([m[0] for m in model]) if model else np.zeros(0, dtype=np.int64)).view(np.uint64) & np.uint64(CARRIED)
-                order = np.argsort(keys)
-                keys = keys[order]
-                values = np.stack([np.concatenate([m[k] for m in model])[order] for k in (1, 2, 3)], axis=1) if model else np.zeros((0, 3))
-                model = []
-            key, texts, place, n = unpack_message(row.column(6)[0].as_py())
-            known = np.zeros((len(key), 3))
-            if len(keys):
-                i = np.searchsorted(keys, key)
-                i[i == len(keys)] = 0
-                ok = keys[i] == key
-                known[ok] = values[i[ok]]
-            d1, d2 = _flat(row, 7), _flat(row, 8)
-            sums = np.zeros((len(d1), len(SUMS)))
-
-            def add(which, *columns):
-                """Sum over the entries of some keys: column of SUMS and the key's value, 1 if none."""
-                entry = np.repeat(which, texts)
-                at, times = place[entry], n[entry].astype(float)
-                each = np.repeat(np.flatnonzero(which), texts[which])
-                for k, value in columns:
-                    sums[:, k] += np.bincount(at, weights=times if value is None else times * value[each], minlength=len(d1))
-
-            word = key & np.uint64(1) == 1
-            add(known[:, 0] != 0, (0, known[:, 0]))  # most pairs are no row of the model
-            add(word & (key != START), (1, known[:, 1]), (2, known[:, 2]), (3, None))
-            add(key == END, (4, None))
-            waiting["d1"].append(d1)
-            waiting["d2"].append(d2)
-            waiting["sums"].append(sums)
-            size += len(d1)
-            if size >= 500_000:
-                yield given()
-                size = 0
-    if size:
-        yield given()
+    def run(batches):
+        at, ids, kept, answers = None, None, None, []
+        for b in batches:
+            for r, (place, origin) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if origin != at:
+                    if at is not None:
+                        yield sums(ids, kept, answers)
+                    at, answers = origin, []
+                if place < 0:
+                    ids, kept = b.column(4).slice(r, 1).flatten(), b.column(3)[r].as_py()
+                else:
+                    answers.append((place, b.column(2)[r].as_py()))
+        if at is not None:
+            yield sums(ids, kept, answers)
+
+    return run
 
 
 def score(docs: DataFrame, model: PitmanYor, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every whole text."""
-    common.small_batches(docs.sparkSession)
-    buckets = _buckets(docs, text, SCORE_CHARS)
-    packed, packed_path = _whole_batches(_packed_model(model.table, buckets), "packed-model")
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    n = common.partitions(spark)
+    form = docs.schema[doc_id].dataType.simpleString()
+
     def summed(k: int) -> DataFrame:
-        share = docs.where(F.pmod(F.xxhash64(docs[text]), F.lit(SHARES)) == k)
-        messages = _ask(share, text, buckets).unionByName(packed)
-        sums = _streamed(messages, _sums, "d1 bigint, d2 int, " + ", ".join(f"{c} double" for c in SUMS), "bucket", "kind")
-        # Rows with the same text are summed together, so each sum is divided by their number.
-        return _write_messages(sums.groupBy("d1", "d2").agg(*(F.sum(c).alias(c) for c in SUMS)), "sums")[0]
+        share = docs.where(F.pmod(F.coalesce(F.xxhash64(docs[text]), F.lit(0)), F.lit(SHARES)) == k)
+        asked, path = common.write_table(_ask(share, doc_id, text, model.buckets, model.homes), "asked", **WIDE)
+        messages = asked.where("place >= 0").select("place", F.lit(1).alias("kind"), "origin", "packed").unionByName(_of(model.packed, STATE))
+        answers = messages.repartition(n, "place").sortWithinPartitions("place", "kind").mapInArrow(_answers(model.buckets), "place int, origin bigint, packed binary")
+        both = answers.withColumns({"kept": F.lit(None).cast("binary"), "ids": F.lit(None).cast(f"array<{form}>")}).unionByName(asked.where("place < 0"))
+        rows = both.repartition(n, "origin").sortWithinPartitions("origin", "place").mapInArrow(_added_up(model.buckets), f"doc_id {form}, lp double, base double, known double, n_tokens double")
+        sums, _ = _written(rows, "sums", MESSAGES)
+        common.remove(spark, path)
+        return sums
 
     parts = []
     for k in range(SHARES):
         parts.append(summed(k))
-        gc.collect()  # with the plan goes its claim on the share's shuffle files
-        common.free_shuffles(docs.sparkSession)
-    sums = parts[0]
-    for part in parts[1:]:
-        sums = sums.unionByName(part)
-    common.remove(docs.sparkSession, packed_path)
-    rows = docs.select(docs[doc_id].alias("doc_id"), *_of_text(text, docs))
-    each = lambda c: F.col(c) / F.col("copies")
-    n, spread = F.round(each("n_tokens")), math.log10(model.n_tokens + model.vocabulary + 1)
-    log_unknown = math.log10(model.unknown)
-    return rows.join(sums, ["d1", "d2"]).select(
-        "doc_id", n.cast("bigint").alias("n_tokens"), F.round(each("known")).cast("bigint").alias("n_known"),
-        (each("base") - n * spread).alias("base_score"), F.least(F.lit(0.0), each("lp") + n * log_unknown).alias("score"))
+        _free(spark)
+    sums = _union(parts)
+    spread, log_unknown = math.log10(model.n_tokens + model.vocabulary + 1), math.log10(model.unknown)
+    return sums.select(
+        "doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("known").cast("bigint").alias("n_known"),
+        (F.col("base") - F.col("n_tokens") * spread).alias("base_score"), F.least(F.lit(0.0), F.col("lp") + F.col("n_tokens") * log_unknown).alias("score"))
