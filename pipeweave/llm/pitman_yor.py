@@ -69,8 +69,8 @@ BLOCK_TEXTS = 60_000
 SCORE_CHARS = 96_000_000
 #: Buckets of a small corpus, if there are as many partitions.
 LEAST = 64
-#: Shares of the buckets that are counted, and of the texts that are scored, one after the other, so that the messages of one are on disk at a time.
-SHARES = 5
+#: Shares of the texts that are scored and of the buckets that are predicted, and of the buckets that are counted, one after the other, so that the messages of one are on disk at a time.
+SHARES, COUNTED = 5, 2
 #: Rows of an Arrow batch that go to Python where a row is a message of a block, or may be the state of a bucket or home.
 MESSAGES, STATES = 16, 4
 #: Kinds of rows: what a bucket or home holds, pairs that occur once, and messages between buckets and homes.
@@ -135,7 +135,10 @@ def seat(c, a, d, rng):
 
     c = np.asarray(c, dtype=np.int64)
     t = (c > 0).astype(np.int64)
-    live, i = np.flatnonzero(c > 1), np.ones(len(c), dtype=np.int64)
+    # The second of two customers: one draw, with the mean of that chance.
+    two = np.flatnonzero(c == 2)
+    t[two] += rng.random(len(two)) < a[two] / (a[two] + 1 - d)
+    live, i = np.flatnonzero(c > 2), np.ones(len(c), dtype=np.int64)
     while len(live):
         chance = np.maximum(rng.beta(a[live], i[live] - d * t[live]), 1e-15)
         i[live] += np.minimum(rng.geometric(chance), c[live])
@@ -517,8 +520,8 @@ def fit(docs: DataFrame, *, text: str = "text", burn: int = BURN, samples: int =
         raise ValueError("samples: 1 at least")
     buckets, homes = _buckets(docs, text)
     first, paths = [], []
-    for share in range(SHARES):
-        df, path = _written(count_pairs(docs, text, buckets, share, SHARES), "pairs", MESSAGES)
+    for share in range(COUNTED):
+        df, path = _written(count_pairs(docs, text, buckets, share, COUNTED), "pairs", MESSAGES)
         first.append(df)
         paths.append(path)
         _free(spark)
