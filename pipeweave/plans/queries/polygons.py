@@ -92,7 +92,10 @@ def ring_edges(s):
 @query("p04_points_in_polygons", "consumers", "rings", oracle=f"""SELECT c.id, r.poly FROM consumers c JOIN (SELECT poly, min(ax) AS x0, min(ay) AS y0, max(ax) AS x1, max(ay) AS y1 FROM rings GROUP BY poly) b ON c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1 JOIN rings r ON r.poly = b.poly GROUP BY c.id, r.poly, c.x, c.y HAVING {PARITY.format('c.x', 'c.y')}""")
 def points_in_polygons(s):
     """Consumers inside polygons, holes excepted."""
-    return P.points_inside(s.consumers.select("id", "x", "y"), s.rings)
+    # Consumers of one place and polygons that are alike are judged once.
+    places, lists = copies.folded(s.consumers, "id", ["x", "y"])
+    edges, _, polygons = P.folded_polygons(s.rings)
+    return copies.expanded_both(P.points_inside(places, edges), ("poly", polygons), ("id", lists)).select("id", "poly")
 
 
 @query("f17_polygon_intervals", "legs", "rings", oracle=f"WITH {PARTS} SELECT chain, poly, {MICRO.format('lo')} AS lo_micro, {MICRO.format('hi')} AS hi_micro, {MICRO.format('entry')} AS entry_micro FROM held")
