@@ -240,11 +240,11 @@ def visible_pairs(s):
     return P.visible(s.chambers, s.rings, s.zones, 300.0).select("a", "b", "forward", "backward", "special", micro(F.col("weight")).alias("weight_micro"))
 
 
-def chamber_paths(s):
-    """Least costs between all chambers over visible segments."""
+def chamber_paths(s, terminals=None):
+    """Least costs between all chambers over visible segments; none passes one of ``terminals``."""
     pairs = table(P.visible(s.chambers, s.rings, s.zones, 300.0), "visible")
     scene = F.lit(0).alias("scene")
-    return paths.shortest(P.directed(pairs).select(scene, "src", "dst", "weight"), s.chambers.select(scene, F.col("id").alias("source")))
+    return paths.shortest(P.directed(pairs).select(scene, "src", "dst", "weight"), s.chambers.select(scene, F.col("id").alias("source")), terminals)
 
 
 BEST = f"""ways AS MATERIALIZED (WITH {VISIBLE} SELECT a AS src, b AS dst, weight FROM seen WHERE forward UNION ALL SELECT b, a, weight FROM seen WHERE backward),
@@ -274,8 +274,10 @@ def path_nodes(s):
   SELECT source, node AS target, {MICRO.format('cost')} AS cost_micro FROM met WHERE k = 1""")
 def separate_distances(s):
     """The nearest other chamber by way, for each chamber."""
-    found = table(chamber_paths(s), "paths")
-    return paths.nearest_targets(found, s.chambers.select(F.lit(0).alias("scene"), F.col("id").alias("node"))).select("source", "target", micro(F.col("cost")).alias("cost_micro"))
+    # Every vertex costs something, so the way to the nearest chamber passes no other: ways end at the first.
+    targets = s.chambers.select(F.lit(0).alias("scene"), F.col("id").alias("node"))
+    found = table(chamber_paths(s, targets), "paths")
+    return paths.nearest_targets(found, targets).select("source", "target", micro(F.col("cost")).alias("cost_micro"))
 
 
 @query("f24_repaired_polygons", oracle=f"""SELECT p_partkey::BIGINT AS poly, {MICRO.format('(3 + p_size) * (2 + p_partkey % 9) / 2.0::DOUBLE + CASE WHEN p_partkey % 2 = 0 THEN 84 ELSE 0 END')} AS area_micro, 6 + CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 0 END AS edges, p_partkey % 5 <> 0 OR true AS was_invalid FROM part""".replace("p_partkey % 5 <> 0 OR true", "true"))

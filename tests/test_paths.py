@@ -70,3 +70,15 @@ def test_visible_pairs_follow_direction(spark):
     assert got[1, 2] == got[2, 5][1:2] + got[2, 5][:1] + (True, 120 + 41 * 0.6, 120.0) == (True, False, True, 144.6, 120.0)
     assert got[1, 3] == (True, True, False, 150.0, 150.0) and (3, 4) not in got and (1, 5) not in got and (1, 6) not in got
     assert P.directed(P.visible(vertices, P.edges(nested), zones, 160.0)).where("src = 2 AND dst IN (1, 5)").count() == 0
+
+
+def test_nearest_targets_need_no_way_past_another_target(spark):
+    """Where ways end at the first target, the nearest one is the same and far pairs aren't looked for."""
+    r = random.Random(2)
+    edges = [(0, a, b, float(r.randrange(0, 9))) for a in range(12) for b in range(12) if a != b and r.random() < 0.3]
+    ways = spark.createDataFrame(edges, "scene int, src bigint, dst bigint, weight double")
+    nodes = spark.range(12).select(F.lit(0).alias("scene"), F.col("id").alias("node"))
+    sources = nodes.select("scene", F.col("node").alias("source"))
+    every, first = paths.shortest(ways, sources), paths.shortest(ways, sources, nodes)
+    assert sorted(paths.nearest_targets(every, nodes).collect()) == sorted(paths.nearest_targets(first, nodes).collect())
+    assert first.count() == 12 + len(edges) < every.count()
